@@ -59,3 +59,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     measured = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
+@query
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.repeats import repeats
+
+    return repeats(table(spark, sf_dir, "documents"))

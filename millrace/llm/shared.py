@@ -25,6 +25,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Most ids that are broadcast to narrow a table: 8 bytes each.
+NARROW_IDS = 1_000_000
+
+
+def narrowed(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is among ids, so that fewer rows are shuffled: a broadcast up to NARROW_IDS ids.
+
+    Beyond that df comes back whole, for a join that shuffles both sides.
+    """
+    if ids.count() > NARROW_IDS:
+        return df
+    return df.join(F.broadcast(ids), key, "left_semi")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component_id) for every id in a link; component_id is the smallest id that links reach.
 
