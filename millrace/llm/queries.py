@@ -66,3 +66,10 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.repeats import repeats
 
     return repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.fuzzy import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
