@@ -186,7 +186,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blocks = candidates.groupBy("pivot").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("chunks"))
     dealt = candidates.join(blocks, "pivot").select("pivot", F.expr("cast(pmod(xxhash64(id), chunks) AS int)").alias("chunk"), "id")
     hosts = blocks.select("pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("pivot").alias("id"))
-    members = dealt.unionByName(hosts).join(source, "id")
+    members = dealt.unionByName(hosts).hint("merge").join(source, "id")
     links = written(_tree_links(members, ["pivot", "chunk"], n, percent), "links")
     classes = written(components(links), "classes")
 
@@ -200,7 +200,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         parts = apart.groupBy("pivot").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("parts"))
         left = apart.join(parts, "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.expr("cast(pmod(xxhash64(id), parts) AS int)").alias("part"), "id", F.lit(True).alias("side"))
         right = spread.join(parts, "pivot").select("pivot", "chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", F.lit(False).alias("side"))
-        more = _tree_links(left.unionByName(right).join(source, "id"), ["pivot", "chunk", "part"], n, percent, sides=True)
+        more = _tree_links(left.unionByName(right).hint("merge").join(source, "id"), ["pivot", "chunk", "part"], n, percent, sides=True)
         classes = written(components(links.unionByName(more)), "classes")
 
     known = sets.join(first, ["hi", "lo", "size"], "left").join(classes.select(F.col("id").alias("rep"), "component_id"), "rep", "left")

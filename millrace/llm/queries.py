@@ -73,3 +73,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.fuzzy import fingerprints
 
     return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

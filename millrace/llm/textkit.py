@@ -67,15 +67,21 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int,
         first = last
 
 
-def words(data: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words [^\\x20\\x09-\\x0D]+ of each row: (64-bit hash of each word, its row's word range as offsets, word byte starts).
+#: Bytes of a word, and of a term: letters, digits and all beyond ASCII.
+WORD = ~_SPACE
+TERM = np.zeros(256, dtype=bool)
+TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def words(data: np.ndarray, offs: np.ndarray, lower: bool = True, of: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words [^\\x20\\x09-\\x0D]+ (or runs of the bytes in `of`) of each row: (64-bit hash of each word, its row's word range as offsets, word byte starts).
 
     Words never run from a row into the next.
     """
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64), np.zeros(0, np.int64)
-    solid = ~_SPACE[data]
+    solid = of[data]
     starts = solid.copy()
     starts[1:] &= ~solid[:-1]
     edges = offs[1:-1]
