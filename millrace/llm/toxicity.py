@@ -20,18 +20,23 @@ from pyspark.sql import functions as F
 from millrace.llm.textkit import TERM, slices, words
 
 FEATURES, FACTORS = 1 << 17, 4
-TRAIN_ROWS = 6_000
-#: Terms in fewer training rows have no weight: they'd learn single documents by heart.
-LEAST_ROWS = 4
-#: Passes over the sample, step size, and the penalties on |w| and |v|: above a chance term's mean gradient.
-STEPS, RATE, SPARSE = 120, 0.3, 3e-3
+TRAIN_ROWS = 8_000
+#: Terms in a smaller share of training rows, or in fewer, have no weight: they'd learn single documents by heart.
+LEAST_SHARE, LEAST_ROWS = 0.002, 4
+#: Bytes of the word beginnings that are terms beside the word: forms of one stem share them.
+STEMS = (4, 5)
+#: Passes over the sample with weights alone, then with factors; step size; penalties on |w|, above a chance term's mean
+#: gradient (a tenth of it once the terms are chosen), and on |v|^2.
+ALONE, STEPS, RATE, SPARSE, DECAY = 60, 100, 0.3, 3e-3, 1e-2
 
 
 def terms(texts: pa.Array, active: np.ndarray | None = None) -> Iterator[np.ndarray]:
-    """Each text's distinct hashed terms, lower-cased runs of letters and digits; only active ones, if given."""
+    """Each text's distinct hashed terms: lower-cased runs of letters and digits, and their beginnings; only active ones, if given."""
     for first, last, data, offs in slices(texts):
         h, at, _ = words(data, offs, of=TERM)
-        ids = (h >> np.uint64(40)).astype(np.int64) % FEATURES
+        more = [words(data, offs, of=TERM, upto=k)[0] for k in STEMS]
+        ids = (np.stack([h, *more], axis=1).reshape(-1) >> np.uint64(40)).astype(np.int64) % FEATURES
+        at = at * (1 + len(STEMS))
         if active is not None:
             use = active[ids]
             at = np.concatenate([[0], np.cumsum(use)])[at]
@@ -69,33 +74,37 @@ class Machine:
         if not len(rows):
             return
         seen = np.bincount(np.concatenate([*rows, np.zeros(0, np.int64)]), minlength=FEATURES)
-        self.active = seen >= min(LEAST_ROWS, max(1, len(rows) // 50))
+        self.active = seen >= max(LEAST_SHARE * len(rows), min(LEAST_ROWS, max(1, len(rows) // 50)))
         rows = [r[self.active[r]] for r in rows]
-        rng = np.random.default_rng(seed)
-        self.v[self.active] = rng.normal(0, 0.01, (int(self.active.sum()), FACTORS))
         share = np.clip(labels.mean(), 0.01, 0.99)
         self.bias = float(np.log(share / (1 - share)))
         gw, gv, gb = np.full(FEATURES, 1e-6), np.full((FEATURES, FACTORS), 1e-6), 1e-6
-        for step in range(STEPS):
+        for step in range(ALONE + STEPS):
+            if step == ALONE:  # factors for the terms that have weights
+                self.v[self.active] = np.random.default_rng(seed).normal(0, 0.1, (int(self.active.sum()), FACTORS))
             if step % 10 == 0:  # terms that the penalties hold at zero take no further part
                 flat, starts = np.concatenate([*rows, np.zeros(1, np.int64)]), np.cumsum([0, *map(len, rows)])
                 of = np.repeat(np.arange(len(rows)), np.diff(starts))
                 touched, where = np.unique(flat[:-1], return_inverse=True)
-            odds, s, v = self._odds(flat, starts)
+            if step < ALONE:
+                odds = self.bias + np.bincount(of, self.w[flat[:-1]], len(rows))
+            else:
+                odds, s, v = self._odds(flat, starts)
             miss = (1 / (1 + np.exp(-np.clip(odds, -700, 700))) - labels) / len(rows)
             e = miss[of]
             dw = np.bincount(where, e, len(touched))
-            dv = np.stack([np.bincount(where, e * (s[of, f] - v[:-1, f]), len(touched)) for f in range(FACTORS)], axis=1)
             gw[touched] += dw * dw
-            gv[touched] += dv * dv
-            for x, d, g, least in ((self.w, dw, gw, SPARSE), (self.v, dv, gv, SPARSE / 10)):
-                rate = RATE / np.sqrt(g[touched])
-                moved = x[touched] - rate * d
-                x[touched] = np.sign(moved) * np.maximum(np.abs(moved) - rate * least, 0)
+            rate = RATE / np.sqrt(gw[touched])
+            moved = self.w[touched] - rate * dw
+            self.w[touched] = np.sign(moved) * np.maximum(np.abs(moved) - rate * (SPARSE if step < ALONE else SPARSE / 10), 0)
+            if step >= ALONE:
+                dv = np.stack([np.bincount(where, e * (s[of, f] - v[:-1, f]), len(touched)) for f in range(FACTORS)], axis=1)
+                gv[touched] += dv * dv
+                self.v[touched] -= RATE / np.sqrt(gv[touched]) * (dv + DECAY * self.v[touched])
             gb += miss.sum() ** 2
             self.bias -= RATE * miss.sum() / np.sqrt(gb)
-            if step % 10 == 9:
-                self.active &= (self.w != 0) | (self.v != 0).any(axis=1)
+            if step % 10 == 9 and step < ALONE:
+                self.active &= self.w != 0
                 rows = [r[self.active[r]] for r in rows]
 
     def to_bytes(self) -> bytes:
