@@ -80,3 +80,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.toxicity import toxicity
 
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.pitmanyor import score
+
+    return score(table(spark, sf_dir, "documents"))
