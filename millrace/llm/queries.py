@@ -87,3 +87,24 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.pitmanyor import score
 
     return score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from millrace.llm import warc
+    from millrace.llm.shared import shared_dir
+
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+
+
+ORACLES["op9_warc"] = """
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to, true AS digest_ok
+FROM (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS payload_digest,
+  max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
+"""
