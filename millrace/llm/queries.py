@@ -108,3 +108,19 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, payload_digest,
 FROM (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS payload_digest,
   max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
 """
+
+
+@query
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def _licenses_sql() -> str:
+    from millrace.llm.licenses import sql
+
+    return sql()
+
+
+ORACLES["op5_licenses"] = _licenses_sql()
