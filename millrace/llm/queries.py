@@ -124,3 +124,19 @@ def _licenses_sql() -> str:
 
 
 ORACLES["op5_licenses"] = _licenses_sql()
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def _mixing_sql() -> str:
+    from millrace.llm.mixing import sql
+
+    return sql()
+
+
+ORACLES["op8_mixing"] = _mixing_sql()
