@@ -121,7 +121,8 @@ def _find(ids: np.ndarray, lows: np.ndarray, counts: np.ndarray, hot: np.ndarray
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes kept); with texts, also kept_text.
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes kept); with texts, also kept_text, null
+    where nothing is removed.
 
     A byte of the UTF-8 text goes if a 100-byte string that covers it also starts earlier: in a document with a smaller
     id, or earlier in the same one.  Strings may overlap, never cross documents, and are judged on the input.
@@ -232,8 +233,6 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tex
     cut = narrowed(source, by_doc.select("id"), "id").hint("merge").join(by_doc, "id").select("id", "text", "start", "stop").mapInArrow(remove, "id long, removed long, spans long, kept string, kept_text string").dropDuplicates(["id"])
 
     out = measured.join(firsts, "sha").select("id", "n", "sha", F.expr(f"id <> rep AND n >= {WINDOW}").alias("copy"))
-    if texts:
-        out = out.join(source.select("id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), "text").dropDuplicates(["id", "sha"]), ["id", "sha"])
     out = out.join(cut, "id", "left")
     empty = hashlib.sha256(b"").hexdigest()
     copy = F.col("copy")
@@ -245,5 +244,5 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tex
         F.when(copy, empty).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
     ]
     if texts:
-        cols.append(F.when(copy, "").otherwise(F.coalesce("kept_text", "text", F.lit(""))).alias("kept_text"))
+        cols.append(F.when(copy, "").otherwise(F.col("kept_text")).alias("kept_text"))
     return out.select(*cols)

@@ -39,6 +39,12 @@ def narrowed(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids), key, "left_semi")
 
 
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is not among ids; null keys stay.  Up to NARROW_IDS ids are broadcast, more are shuffled."""
+    few = ids.count() <= NARROW_IDS
+    return df.join(F.broadcast(ids) if few else ids, key, "left_anti")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component_id) for every id in a link; component_id is the smallest id that links reach.
 
