@@ -69,21 +69,22 @@ def _covered(df: DataFrame, size: int = 5) -> DataFrame:
     return df.withColumn("n_repeat_words", F.coalesce(count, F.lit(0)).cast("long"))
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept")
+
+
 def score(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr and kept.
+    """row, a struct of all columns of docs, and the MEASURES of its text.  ratios: each bucket's log ratio.
 
-    ratios: each bucket's log ratio.  llr is null without words.  A null text counts as empty: no words, so base_failed.
+    llr is null without words.  A null text counts as empty: no words, so base_failed.
     """
-    keep = [c for c in docs.columns if c not in ("text",)]
-    df = with_hashes(docs.withColumn("_text", F.coalesce(F.col("text"), F.lit(""))), "_text")
-    df = df.withColumn("lines", F.filter(F.split("_text", "\n"), lambda x: removed(x, SPACES) != ""))
+    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    df = with_hashes(df, "_text").withColumn("lines", F.filter(F.split("_text", "\n"), lambda x: removed(x, SPACES) != ""))
     df = _covered(with_buckets(df, len(ratios)))
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
     total = F.aggregate("g", F.lit(0.0), lambda a, b: a + F.get(table, b))
     n = F.size("w").cast("long")
     df = df.select(
-        *keep,
-        "text",
+        "row",
         n.alias("n_words"),
         F.length(removed(F.col("_text"), SPACES)).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(removed(F.col("_text"), SYMBOLS))).cast("long").alias("n_symbols"),
@@ -95,24 +96,31 @@ def score(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) ->
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
-def kept_rows(scored: DataFrame) -> DataFrame:
-    """The rows that are kept.  They pass through a generator, so that the filter isn't pushed below it, where every
-    measure would be worked out a second time."""
-    return scored.select(F.inline_outer(F.array(F.struct(*scored.columns)))).where("kept")
+def scored(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """score() with the corpus's own ratios.  labels (doc_id, quality): rows of quality 1 name the trusted documents."""
+    trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ratios = [0.0] * buckets
+    for row in bucket_ratios(plain, trusted, buckets, trusted_rows).collect():  # at most `buckets` rows
+        ratios[row["bucket"]] = row["log_ratio"]
+    return score(docs, ratios, threshold)
 
 
 def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """Every row of docs (doc_id, text and others) with its measures and `kept`.
+    """Every row of docs (doc_id, text and others) with the MEASURES of its text; `kept` is the verdict.
 
-    labels (doc_id, quality): rows of quality 1 name the trusted documents.  Without any, all log ratios follow from
-    smoothing alone.  Rows with null ids, repeated rows and ties are scored alike, each on its own text.  Extra columns
-    stay unless they have a measure's name; an empty table gives no rows.
+    Without trusted documents all log ratios follow from smoothing alone.  Rows with null ids, repeated rows and ties are
+    scored alike, each on its own text.  Extra columns stay unless they have a measure's name; an empty table gives no rows.
     """
-    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"}
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in made | {"w", "h", "g", "lines", "windows", "ranked", "starts", "_text"}))
-    trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
-    found = bucket_ratios(docs, trusted, buckets, trusted_rows).collect()  # at most `buckets` rows
-    ratios = [0.0] * buckets
-    for row in found:
-        ratios[row["bucket"]] = row["log_ratio"]
-    return score(docs, ratios, threshold)
+    others = [c for c in docs.columns if c.lower() not in MEASURES]
+    return scored(docs, labels, buckets, trusted_rows, threshold).select(*(F.col(f"row.`{c}`") for c in others), *MEASURES)
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep, with the columns of docs.
+
+    They pass through a generator, so that the filter isn't pushed below it, where every measure would be worked out a
+    second time.
+    """
+    verdicts = scored(docs, labels).select(F.inline_outer(F.array(F.struct("row", "kept"))))
+    return verdicts.where("kept").select("row.*")

@@ -99,8 +99,9 @@ class Machine:
             self.w[touched] = np.sign(moved) * np.maximum(np.abs(moved) - rate * (SPARSE if step < ALONE else SPARSE / 10), 0)
             if step >= ALONE:
                 dv = np.stack([np.bincount(where, e * (s[of, f] - v[:-1, f]), len(touched)) for f in range(FACTORS)], axis=1)
+                dv += DECAY * self.v[touched]
                 gv[touched] += dv * dv
-                self.v[touched] -= RATE / np.sqrt(gv[touched]) * (dv + DECAY * self.v[touched])
+                self.v[touched] -= RATE * dv / np.sqrt(gv[touched])
             gb += miss.sum() ** 2
             self.bias -= RATE * miss.sum() / np.sqrt(gb)
             if step % 10 == 9 and step < ALONE:
@@ -137,7 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> b
         m.fit(found, np.array(wanted, dtype=np.float64))
         yield pa.RecordBatch.from_pydict({"model": pa.array([m.to_bytes()], pa.binary())})
 
-    return rows.repartition(1).sortWithinPartitions("h", "text").mapInArrow(fit, "model binary").first()["model"]
+    made = rows.repartition(1).sortWithinPartitions("h", "text").mapInArrow(fit, "model binary").first()
+    return made["model"] if made else Machine().to_bytes()  # no rows, no task
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, train_rows: int = TRAIN_ROWS) -> DataFrame:
