@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from millrace.llm.jaccard import jaccard_join
 from millrace.llm.mixing import mix
 from millrace.llm.packing import pack
-from millrace.llm.quality import kept_rows, quality
+from millrace.llm.quality import keep
 from millrace.llm.repeats import repeats
 from millrace.llm.shared import narrowed, without, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return kept_rows(quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).select(*docs.columns)
+    return keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that 100-byte strings repeat from earlier; those of which nothing is left go."""
-    cut = written(repeats(docs, texts=True).where("n_removed > 0").select("doc_id", "kept_text"), "cut")
+    cut = written(repeats(docs, texts=True).where("n_removed > 0").select("doc_id", F.col("kept_text").alias("_cut_text")), "cut")
     ids = cut.select("doc_id")
-    new = narrowed(docs, ids, "doc_id").hint("merge").join(cut, "doc_id").withColumn("text", F.col("kept_text")).where("text <> ''")
+    new = narrowed(docs, ids, "doc_id").hint("merge").join(cut, "doc_id").withColumn("text", F.col("_cut_text")).where("text <> ''")
     new = new.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
     return without(docs, ids, "doc_id").unionByName(new)
 
