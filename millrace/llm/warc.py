@@ -10,6 +10,7 @@ the record they continue, ordered by segment number and checked against the tota
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -109,11 +110,13 @@ def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> No
             yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
 
     lines = rows.join(seen, ["page_id", "sha"], "left").select("page_id", "url", "html", "sha", "response").mapInArrow(run, "value string")
-    lines.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    lines.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_A_FILE).option("compression", "gzip").text(path)
 
 
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-cased name, block) of each record of a file."""
+    """(headers by lower-cased name, block) of each record of a file, plain or in gzip members."""
+    if raw[:2] == b"\x1f\x8b":
+        raw = gzip.decompress(raw)
     at = 0
     while at < len(raw):
         stop = raw.index(b"\r\n\r\n", at)
