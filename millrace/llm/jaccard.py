@@ -6,8 +6,10 @@
    its keys (a set near the end of its size range also uses the next range's).  The smallest id with a key is the
    key's pivot; documents that share a pivot form its block.  A key stands for several shingles at once, so a
    common word, line or passage brings no documents together that aren't similar in a whole part.
-3. Blocks are dealt in chunks of bounded size, each with the pivot, and each chunk is joined by a signature tree.
-4. What a chunk couldn't see are links across the chunks of one block.  A link between documents that aren't connected
+3. A block's members whose bitmaps rule out every partner in it, by a dual traversal of signature trees over the bitmaps,
+   leave it.
+4. What is left of blocks is dealt in chunks of bounded size, each with the pivot, and each chunk is joined by a signature tree.
+5. What a chunk couldn't see are links across the chunks of one block.  A link between documents that aren't connected
    yet has an end that isn't connected to the pivot: those are joined with all chunks, chunk by chunk, by trees again.
 
 Only connecting links are kept (a group of n copies has n - 1), so groups of any size stay linear.
@@ -29,6 +31,8 @@ from millrace.llm.textkit import mix, per_slice, signed
 
 #: Shingles in a chunk of a block, about: what one task's tree holds at once.
 CHUNK = 400_000
+#: Members of a block whose bitmaps one task compares at once.
+TILE = 2_000
 #: Ratio of a size range's ends.
 RANGE = 1.5
 #: Parts beyond h + 1: a set with no more empty parts than that needs no keys for empty parts.
@@ -132,6 +136,26 @@ def _tree_links(members: DataFrame, by: list[str], n: int, percent: int, sides:
     return members.select(*cols).repartition(*by).sortWithinPartitions(*by, "id").mapInArrow(run, "a long, b long")
 
 
+def _with_partners(pivots: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(pivot, id, size) of the blocks' members that may have a partner in the block; pivots has the others (id, pivot)."""
+    tiles = pivots.groupBy("pivot").agg(F.ceil((F.count("*") + 1) / TILE).cast("int").alias("tiles"))
+    members = pivots.unionByName(tiles.select(F.col("pivot").alias("id"), "pivot")).join(tiles, "pivot").hint("merge").join(reps, "id")
+    members = members.withColumn("tile", F.expr("cast(pmod(xxhash64(id), tiles) AS int)"))
+    pairs = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    by = ["pivot", "one", "two"]
+    pairs = pairs.select("pivot", F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two"), (F.col("tile") < F.col("other")).alias("side"), "id", "size", "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches, by):
+            maps = [np.frombuffer(x, np.uint64) for x in t.column("bits").to_pylist()]
+            apart = t.column("one")[0].as_py() < t.column("two")[0].as_py()
+            found = sigtree.partners(maps, t.column("size").to_numpy(), percent, t.column("side").to_numpy() if apart else None)
+            yield from t.select(["pivot", "id", "size"]).filter(pa.array(found)).to_batches()
+
+    found = pairs.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "pivot long, id long, size long")
+    return found.distinct()
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """One row per input row: (doc_id, n_shingles, component_id).
 
@@ -145,13 +169,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, hi, lo = [], [], []
+            size, hi, lo, bits = [], [], [], []
             for s in shingle_sets(batch.column(1), n):
                 size.append(len(s))
+                bits.append(sigtree.bitmap(s, sigtree.width_of(len(s))).tobytes())
                 h, g = _set_key(s)
                 hi.append(h)
                 lo.append(g)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (size, hi, lo))], names=["id", "size", "hi", "lo"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (size, hi, lo)), pa.array(bits, pa.binary())], names=["id", "size", "hi", "lo", "bits"])
 
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds, seen = ranges(1000), {}
@@ -174,14 +199,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if made:
                 yield _pairs(made, ids)
 
-    sets = written(source.mapInArrow(measure, "id long, size long, hi long, lo long"), "sets")
+    sets = written(source.mapInArrow(measure, "id long, size long, hi long, lo long, bits binary"), "sets")
     full = sets.where("size > 0 AND id IS NOT NULL")
-    first = full.groupBy("hi", "lo", "size").agg(F.min("id").alias("rep"))
+    first = written(full.groupBy("hi", "lo", "size").agg(F.min("id").alias("rep"), F.any_value("bits").alias("bits")), "firsts")
+    reps, first = first.select(F.col("rep").alias("id"), "size", "bits"), first.drop("bits")
 
     rows = source.where("id IS NOT NULL").mapInArrow(key_rows, "key long, id long")
     pivots = rows.withColumn("pivot", F.expr("min(id) OVER (PARTITION BY key)")).where("id <> pivot").select("id", "pivot").distinct()
-    candidates = pivots.join(first.select(F.col("rep").alias("id"), "size"), "id")
-    candidates = written(candidates.repartition("pivot"), "candidates")
+    pivots = written(pivots.join(reps.select("id"), "id"), "pivots")
+    candidates = written(_with_partners(pivots, reps, percent).where("id <> pivot"), "candidates")
 
     blocks = candidates.groupBy("pivot").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("chunks"))
     dealt = candidates.join(blocks, "pivot").select("pivot", F.expr("cast(pmod(xxhash64(id), chunks) AS int)").alias("chunk"), "id")

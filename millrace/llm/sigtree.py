@@ -40,25 +40,77 @@ class Forest:
         return x != y
 
 
-def bitmaps(sets: list[np.ndarray], width: int) -> np.ndarray:
-    out = np.zeros((len(sets), width), dtype=np.uint8)
-    for row, s in zip(out, sets, strict=True):
-        row[(s >> np.uint64(20)).astype(np.int64) & (width - 1)] = 1
-    return np.packbits(out, axis=1).view(np.uint64)
+def width_of(size: int) -> int:
+    """Bits of a set's own bitmap: a power of two, about two for each token."""
+    return 1 << max(8, min(16, int(2 * size - 1).bit_length()))
 
 
-def build(sets: list[np.ndarray], width: int) -> Node:
-    """A tree over sets, which must be in order of size."""
-    bits = bitmaps(sets, width)
-    sizes = np.array([len(s) for s in sets])
+def bitmap(s: np.ndarray, width: int) -> np.ndarray:
+    row = np.zeros(width, dtype=np.uint8)
+    row[(s >> np.uint64(20)).astype(np.int64) & (width - 1)] = 1
+    return np.packbits(row).view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap of a smaller width: what falls on one bit there is OR-ed."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
+def build(bits: np.ndarray, sizes: np.ndarray) -> Node:
+    """A tree over sets in order of size, by their bitmaps of one width."""
     excess = sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
-    level = [Node(i, j, np.bitwise_or.reduce(bits[i:j]), int(sizes[i]), int(sizes[j - 1]), int(excess[i:j].max()), []) for i in range(0, len(sets), LEAF) for j in (min(i + LEAF, len(sets)),)]
+    n = len(sizes)
+    level = [Node(i, j, np.bitwise_or.reduce(bits[i:j]), int(sizes[i]), int(sizes[j - 1]), int(excess[i:j].max()), []) for i in range(0, n, LEAF) for j in (min(i + LEAF, n),)]
     while len(level) > 1:
         groups = [level[i : i + FAN] for i in range(0, len(level), FAN)]
         level = [Node(g[0].first, g[-1].last, np.bitwise_or.reduce([x.bits for x in g]), g[0].least, g[-1].most, max(x.excess for x in g), g) for g in groups]
     return level[0]
 
 
+def expand(x: Node, y: Node) -> Iterator[tuple[Node, Node]]:
+    """The pairs of children of a pair of nodes; of a node with itself, each pair once."""
+    if x is y:
+        return ((x.children[i], x.children[j]) for i in range(len(x.children) - 1, -1, -1) for j in range(len(x.children) - 1, i - 1, -1))
+    return ((p, q) for p in x.children or [x] for q in y.children or [y])
+
+
+def partners(maps: list[np.ndarray], sizes: np.ndarray, percent: int, side: np.ndarray | None = None) -> np.ndarray:
+    """Which sets may have a similar one among the others (on the other side, if sides are given), as far as bitmaps tell.
+
+    No set that has one is left out.
+    """
+    order = np.argsort(sizes, kind="stable")
+    words = min(len(m) for m in maps)
+    bits = np.stack([folded(maps[i], words) for i in order])
+    sizes = sizes[order]
+    excess = sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+    if side is not None:
+        side = side[order]
+    found = np.zeros(len(order), dtype=bool)
+    root = build(bits, sizes)
+    stack = [(root, root)]
+    while stack:
+        x, y = stack.pop()
+        if found[x.first : x.last].all() and found[y.first : y.last].all() or not may_link(x, y, percent):
+            continue
+        if x.children or y.children:
+            stack.extend(expand(x, y))
+            continue
+        i, j = np.arange(x.first, x.last)[:, None], np.arange(y.first, y.last)[None, :]
+        shared = np.bitwise_count(bits[x.first : x.last, None] & bits[None, y.first : y.last]).sum(axis=2).astype(np.int64) + np.minimum(excess[i], excess[j])
+        near = np.minimum(shared, np.minimum(sizes[i], sizes[j])) * (100 + percent) >= percent * (sizes[i] + sizes[j])
+        near &= i != j
+        if side is not None:
+            near &= side[i] != side[j]
+        found[x.first : x.last] |= near.any(axis=1)
+        found[y.first : y.last] |= near.any(axis=0)
+    out = np.zeros(len(order), dtype=bool)
+    out[order] = found
+    return out
+
+
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
     """Elements two sorted sets share."""
     if len(x) > len(y):
@@ -87,7 +139,7 @@ def links(sets: list[np.ndarray], percent: int, apart: Callable[[int], bool] | N
     if len(sets) < 2:
         return
     width = 1 << max(8, min(16, int(4 * len(ordered[-1])).bit_length()))
-    root, known = build(ordered, width), Forest(len(sets))
+    root, known = build(np.stack([bitmap(s, width) for s in ordered]), np.array([len(s) for s in ordered])), Forest(len(sets))
     side = [bool(apart(i)) for i in order] if apart else None
 
     def connected(x: Node, y: Node) -> bool:
@@ -102,10 +154,7 @@ def links(sets: list[np.ndarray], percent: int, apart: Callable[[int], bool] | N
         if spanning and connected(x, y):
             continue
         if x.children or y.children:
-            if x is y:
-                stack.extend((x.children[i], x.children[j]) for i in range(len(x.children) - 1, -1, -1) for j in range(len(x.children) - 1, i - 1, -1))
-            else:
-                stack.extend((p, q) for p in x.children or [x] for q in y.children or [y])
+            stack.extend(expand(x, y))
             continue
         for i in range(x.first, x.last):
             for j in range(max(y.first, i + 1) if x is y else y.first, y.last):
