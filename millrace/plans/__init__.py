@@ -1,6 +1,6 @@
 """Named queries over the tables, and their SQL."""
 
-from millrace.plans import frames, returns
+from millrace.plans import analysis, frames, returns
 from millrace.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "frames", "returns"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "frames", "returns"]

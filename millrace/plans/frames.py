@@ -63,12 +63,14 @@ def monthly_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 FLOATS = ["mid_price", "price_range", "price_range_pct", "return_1d", "return_1d_bps", "log_return_1d", "return_overnight", "return_intraday", "volatility_7d", "volatility_14d", "volatility_30d", "sma_7", "sma_14", "sma_30", "price_vs_sma_7", "price_vs_sma_14", "price_vs_sma_30", "price_percentile_30d", "price_percentile_60d", "price_percentile_90d", "implied_move_1d", "support_level", "resistance_level", "distance_to_support", "distance_to_resistance", "gap_size", "gap_size_pct", "volume_ratio", "dollar_volume", "vwap_approx", "upper_wick", "lower_wick", "body_size", "body_size_pct"]
 #: Sums of cents over small counts often end in a 5 that rounding could turn either way; both engines shift them alike.
 OFF_TIES = 3.7e-7
+#: Fewer where values are so large that four digits are beyond a double's precision.
+DIGITS = {"implied_move_1d": 1}
 FLAGS = ["is_gap_up", "is_gap_down", "is_local_high", "is_local_low"]
 
 
 def _indicators(spark: SparkSession, sf_dir: str, variant: str) -> DataFrame:
     out = indicators(daily(spark, sf_dir), variant)
-    return out.select("asset", "date", *[F.round(F.col(c) + OFF_TIES, 4).alias(c) for c in FLOATS], *FLAGS)
+    return out.select("asset", "date", *[F.round(F.col(c) + OFF_TIES, DIGITS.get(c, 4)).alias(c) for c in FLOATS], *FLAGS)
 
 
 def _indicators_sql(variant: str) -> str:
@@ -91,7 +93,7 @@ def _indicators_sql(variant: str) -> str:
         cols += ["(high + low + close) / 3 AS vwap_approx", "gap_size_pct > 1 AS is_gap_up", "gap_size_pct < -1 AS is_gap_down"]
         cols += [f"{x} = {f}({x}) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS {name}" for x, f, name in (("high", "max", "is_local_high"), ("low", "min", "is_local_low"))]
     move = "volatility_30d / sqrt(365.0)" + ("" if a else " * close")
-    final = [f"round({c} + {OFF_TIES}, 4) AS {c}" for c in FLOATS]
+    final = [f"round({c} + {OFF_TIES}, {DIGITS.get(c, 4)}) AS {c}" for c in FLOATS]
     return f"""WITH {DAILY}, prev AS (SELECT *, lag(close) OVER (PARTITION BY asset ORDER BY date) AS before FROM daily),
 base AS (SELECT *, (high + low) / 2 AS mid_price, high - low AS price_range, (high - low) / nullif(close, 0) * 100 AS price_range_pct, close / nullif(before, 0) - 1 AS return_1d,
   (close / nullif(before, 0) - 1) * 10000 AS return_1d_bps, CASE WHEN close > 0 AND before > 0 THEN ln(close / before) END AS log_return_1d,
