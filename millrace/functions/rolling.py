@@ -9,12 +9,16 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DAYS = W.partitionBy("asset").orderBy("date")
 YEAR = 365.0
 
 
-def last(n: int, of: WindowSpec = DAYS) -> WindowSpec:
-    return of.rowsBetween(-(n - 1), 0)
+def days() -> WindowSpec:
+    """An asset's days in order."""
+    return W.partitionBy("asset").orderBy("date")
+
+
+def last(n: int) -> WindowSpec:
+    return days().rowsBetween(-(n - 1), 0)
 
 
 def full(n: int, over: Column, f) -> Column:
@@ -33,7 +37,7 @@ def percentile_rank(x: Column, n: int) -> Column:
 def indicators(prices: DataFrame, variant: str = "a") -> DataFrame:
     """prices (asset, date, open, high, low, close, volume) with the indicators of variant a or b; ratios over zero are null."""
     open_, high, low, close, volume = (F.col(c) for c in ("open", "high", "low", "close", "volume"))
-    before = F.lag("close").over(DAYS)
+    before = F.lag("close").over(days())
     df = prices.withColumns(
         {
             "mid_price": (high + low) / 2,
@@ -66,10 +70,10 @@ def indicators(prices: DataFrame, variant: str = "a") -> DataFrame:
         rolled["volume_ratio"] = F.try_divide(volume, full(20, volume, F.avg))
         rolled["vwap_approx"] = F.try_divide(full(20, volume * close, F.sum), full(20, volume, F.sum))
         rolled["is_gap_up"], rolled["is_gap_down"] = F.col("gap_size") > 0, F.col("gap_size") < 0
-        rolled["is_local_high"] = (high > F.lag("high").over(DAYS)) & (high > F.lead("high").over(DAYS))
-        rolled["is_local_low"] = (low < F.lag("low").over(DAYS)) & (low < F.lead("low").over(DAYS))
+        rolled["is_local_high"] = (high > F.lag("high").over(days())) & (high > F.lead("high").over(days()))
+        rolled["is_local_low"] = (low < F.lag("low").over(days())) & (low < F.lead("low").over(days()))
     else:
-        around = DAYS.rowsBetween(-2, 2)
+        around = days().rowsBetween(-2, 2)
         rolled["volume_ratio"] = F.try_divide(volume, full(30, volume, F.avg))
         rolled["vwap_approx"] = (high + low + close) / 3
         rolled["is_gap_up"], rolled["is_gap_down"] = F.col("gap_size_pct") > 1.0, F.col("gap_size_pct") < -1.0
