@@ -1,6 +1,6 @@
 """Named queries over the tables, and their SQL."""
 
-from millrace.plans import analysis, frames, returns, texts
+from millrace.plans import analysis, frames, returns, scores, texts
 from millrace.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analysis", "frames", "returns", "texts"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "frames", "returns", "scores", "texts"]
