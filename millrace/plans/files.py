@@ -11,7 +11,7 @@ from millrace.sources.scratch import fresh
 from millrace.tables import ARTICLES, DAILY, articles, daily, load
 
 
-@query(f"WITH {ARTICLES} SELECT CAST(article_id AS VARCHAR) AS title, theme AS primary_theme, bias AS directional_bias, round(signal, 6) AS signal_strength, date, 'unknown' AS risk_level, 2 AS num_images, true AS has_body_text FROM articles")
+@query(f"WITH {ARTICLES} SELECT CAST(article_id AS VARCHAR) AS title, theme AS primary_theme, bias AS directional_bias, round(signal, 9) AS signal_strength, date, 'unknown' AS risk_level, 2 AS num_images, true AS has_body_text FROM articles")
 def articles_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles as nested JSON files, read back as the flattened frame."""
     a = articles(spark, sf_dir)
@@ -22,7 +22,7 @@ def articles_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = a.withColumn("part", F.floor(F.col("article_id") / 1000)).groupBy("part").agg(F.collect_list(one).alias("unified_articles"))
     batches.select("unified_articles").write.json(path)
     out = readers.articles_json(spark, path, lines=True)
-    return out.select("title", "primary_theme", "directional_bias", F.round("signal_strength", 6).alias("signal_strength"), F.to_date("date").alias("date"), "risk_level", "num_images", "has_body_text")
+    return out.select("title", "primary_theme", "directional_bias", F.round("signal_strength", 9).alias("signal_strength"), F.to_date("date").alias("date"), "risk_level", "num_images", "has_body_text")
 
 
 @query(f"WITH {DAILY} SELECT asset, count(*) AS rows, min(close) AS least, max(close) AS most, round(avg(close), 4) AS mean, round(stddev_samp(close), 4) AS sd, min(date) AS first, max(date) AS last FROM daily GROUP BY 1")
