@@ -62,7 +62,7 @@ def vendor_prices(spark: SparkSession, path: str, asset: str) -> DataFrame:
 def feed_items(spark: SparkSession, path: str) -> DataFrame:
     """(title, link, published) of RSS files, each link once: its smallest title."""
     raw = spark.read.schema("title STRING, link STRING, pubDate STRING").format("xml").option("rowTag", "item").load(path)
-    return raw.where("link IS NOT NULL").groupBy("link").agg(F.min(F.struct("title", "pubDate")).alias("x")).select("x.title", "link", F.try_to_timestamp(F.col("x.pubDate"), F.lit("EEE, d MMM yyyy HH:mm:ss Z")).alias("published"))
+    return raw.where("link IS NOT NULL").groupBy("link").agg(F.min(F.struct("title", "pubDate")).alias("x")).select("x.title", "link", F.try_to_timestamp(F.regexp_replace("x.pubDate", "^[A-Za-z]+, *", ""), F.lit("d MMM yyyy HH:mm:ss Z")).alias("published"))
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
