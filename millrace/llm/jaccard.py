@@ -1,14 +1,15 @@
 """N-gram Jaccard join: which documents' shingle sets are similar, exactly, and the components that such links form.
 
 1. Each document becomes its set of distinct word shingles; equal sets collapse to the smallest id.
-2. Sets that can be similar must meet.  For sizes up to u, similar sets differ in at most h = 2u(100-p)/(100+p) tokens, so
-   when tokens are dealt to more than h parts by hash, similar sets agree in a whole part.  A set's parts, hashed, are
-   its keys (a set near the end of its size range also uses the next range's).  The smallest id with a key is the
-   key's pivot; documents that share a pivot form its block.  A key stands for several shingles at once, so a
-   common word, line or passage brings no documents together that aren't similar in a whole part.
+2. Sets that can be similar must meet.  A set of n shingles keeps at least percent/100 of them in any similar set, so under
+   one order of all shingles similar sets share one of their first n - ceil(percent * n / 100) + 1.  Those are a set's
+   keys.  The order puts shingles that are common in the corpus last (by a sketch of counts over all documents, of fixed
+   size), so a common line or passage brings no documents together that are otherwise different.  Any order is exact;
+   the sketch only saves work.  The smallest id with a key is the key's pivot; documents that share a pivot form its block.
 3. A block's members whose bitmaps rule out every partner in it, by a dual traversal of signature trees over the bitmaps,
    leave it.
-4. What is left of blocks is dealt in chunks of bounded size, each with the pivot, and each chunk is joined by a signature tree.
+4. What is left of blocks is dealt in chunks of bounded size, each with the pivot, and each chunk is joined by a signature
+   tree.
 5. What a chunk couldn't see are links across the chunks of one block.  A link between documents that aren't connected
    yet has an end that isn't connected to the pivot: those are joined with all chunks, chunk by chunk, by trees again.
 
@@ -33,10 +34,8 @@ from millrace.llm.textkit import mix, per_slice, signed
 CHUNK = 400_000
 #: Members of a block whose bitmaps one task compares at once.
 TILE = 2_000
-#: Ratio of a size range's ends.
-RANGE = 1.5
-#: Parts beyond h + 1: a set with no more empty parts than that needs no keys for empty parts.
-SPARE = 2
+#: Counters of the sketch, a byte each in a task: how common shingles are.
+SKETCH, SKETCH_ROW = 1 << 20, 1 << 14
 _SEEN = 100_000
 
 
@@ -60,33 +59,21 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
                 yield rows[:0]
 
 
-def ranges(most: int) -> list[tuple[int, int]]:
-    """Size ranges (least, most), without gaps."""
-    out, least = [], 1
-    while least <= most:
-        out.append((least, max(least, int(least * RANGE))))
-        least = out[-1][1] + 1
-    return out
+def commonness(counts: np.ndarray) -> np.ndarray:
+    """A class for each counter of the sketch: 0 for what is about as common as the mean, more for each doubling."""
+    return np.log2(1 + counts / (2 * counts.mean() + 8)).astype(np.uint8)
 
 
-def keys(s: np.ndarray, percent: int, bounds: list[tuple[int, int]]) -> np.ndarray:
-    """The keys of a set: two different sets of the asked similarity share one."""
+def counter(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(44)).astype(np.int64) % SKETCH
+
+
+def keys(s: np.ndarray, percent: int, classes: np.ndarray) -> np.ndarray:
+    """The keys of a set: two sets of the asked similarity share one."""
     n = len(s)
-    own = next(i for i, (_, most) in enumerate(bounds) if n <= most)
-    out = []
-    for j in (own, own + 1) if n * 100 // percent > bounds[own][1] else (own,):
-        h = 2 * bounds[j][1] * (100 - percent) // (100 + percent)
-        if not h:
-            continue  # only equal sets are similar
-        parts = h + 1 + SPARE
-        salted = mix(s ^ np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        part = (salted >> np.uint64(33)).astype(np.int64) % parts
-        sums = np.zeros(parts, dtype=np.uint64)
-        np.add.at(sums, part, salted)
-        filled = np.bincount(part, minlength=parts) > 0
-        made = mix(mix(sums) + (np.arange(parts, dtype=np.uint64) << np.uint64(8)) + np.uint64(j))
-        out.append(made[filled] if parts - filled.sum() <= SPARE else made)
-    return np.concatenate(out) if out else s[:0]
+    first = n + percent * n // -100 + 1  # n - ceil(percent * n / 100) + 1
+    order = np.lexsort((s, classes[counter(s)]))
+    return s[order[:first]]
 
 
 def _set_key(s: np.ndarray) -> tuple[int, int]:
@@ -168,18 +155,35 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SKETCH, dtype=np.int64)
+        names = ["id", "size", "hi", "lo", "bits", "part"]
         for batch in batches:
             size, hi, lo, bits = [], [], [], []
             for s in shingle_sets(batch.column(1), n):
                 size.append(len(s))
                 bits.append(sigtree.bitmap(s, sigtree.width_of(len(s))).tobytes())
+                np.add.at(counts, counter(s), 1)
                 h, g = _set_key(s)
                 hi.append(h)
                 lo.append(g)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (size, hi, lo)), pa.array(bits, pa.binary())], names=["id", "size", "hi", "lo", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (size, hi, lo)), pa.array(bits, pa.binary()), pa.nulls(len(size), pa.int32())], names=names)
+        parts = np.minimum(counts, 255).astype(np.uint8).reshape(-1, SKETCH_ROW)
+        part = np.flatnonzero(parts.any(axis=1)).astype(np.int32)
+        none = pa.nulls(len(part), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([parts[i].tobytes() for i in part], pa.binary()), pa.array(part)], names=names)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sums of a task's rows of counters."""
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                row = np.frombuffer(raw.as_py(), np.uint8)
+                sums[part] = sums[part] + row if part in sums else row.astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "sums"])
 
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds, seen = ranges(1000), {}
+        seen: dict[tuple[int, int], int] = {}
+        rank = shared.value
         for batch in batches:
             made, ids = [], []
             held = 0
@@ -188,9 +192,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     continue  # an equal set with a smaller id has given these keys
                 if len(seen) < _SEEN:
                     seen[k] = doc
-                while 2 * len(s) > bounds[-1][1]:
-                    bounds = ranges(2 * bounds[-1][1])
-                made.append(keys(s, percent, bounds))
+                made.append(keys(s, percent, rank))
                 ids.append(doc)
                 held += len(made[-1])
                 if held > 100_000:
@@ -199,7 +201,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if made:
                 yield _pairs(made, ids)
 
-    sets = written(source.mapInArrow(measure, "id long, size long, hi long, lo long, bits binary"), "sets")
+    measured = written(source.mapInArrow(measure, "id long, size long, hi long, lo long, bits binary, part int"), "sets")
+    sets = measured.where("part IS NULL").drop("part")
+    counts = np.zeros((SKETCH // SKETCH_ROW, SKETCH_ROW), dtype=np.int64)
+    rows = measured.where("part IS NOT NULL").select("part", "bits").repartition("part").mapInArrow(add_up, "part int, sums binary")
+    for row in rows.toLocalIterator():  # SKETCH counters in all
+        counts[row["part"]] += np.frombuffer(row["sums"], np.int64)
+    shared = source.sparkSession.sparkContext.broadcast(commonness(counts.reshape(-1)))
     full = sets.where("size > 0 AND id IS NOT NULL")
     first = written(full.groupBy("hi", "lo", "size").agg(F.min("id").alias("rep"), F.any_value("bits").alias("bits")), "firsts")
     reps, first = first.select(F.col("rep").alias("id"), "size", "bits"), first.drop("bits")

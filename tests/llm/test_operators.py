@@ -106,19 +106,19 @@ def test_jaccard_chains_of_near_copies(spark, monkeypatch):
 
 
 def test_keys_meet_whatever_the_edit():
-    from millrace.llm.jaccard import keys, ranges
+    from millrace.llm.jaccard import SKETCH, commonness, keys
 
     g = np.random.default_rng(5)
-    bounds = ranges(4000)
-    for percent in (80, 90):
-        for _ in range(400):
-            n = int(g.integers(4, 300))
-            s = np.unique(g.integers(0, 2**63, n).astype(np.uint64))
-            out = g.integers(0, max(1, int(len(s) * (100 - percent) / 100)) + 1)
-            t = np.unique(np.concatenate([g.permutation(s)[out:], g.integers(0, 2**63, int(g.integers(0, 1 + n // 10))).astype(np.uint64)]))
-            both = len(np.intersect1d(s, t))
-            if 100 * both >= percent * (len(s) + len(t) - both) and not np.array_equal(s, t):
-                assert np.intersect1d(keys(s, percent, bounds), keys(t, percent, bounds)).size, (n, percent)
+    for classes in (np.zeros(SKETCH, np.uint8), commonness(g.integers(0, 300, SKETCH))):
+        for percent in (80, 90):
+            for _ in range(300):
+                n = int(g.integers(1, 300))
+                s = np.unique(g.integers(0, 2**63, n).astype(np.uint64))
+                out = g.integers(0, max(1, int(len(s) * (100 - percent) / 100)) + 1)
+                t = np.unique(np.concatenate([g.permutation(s)[out:], g.integers(0, 2**63, int(g.integers(0, 1 + n // 10))).astype(np.uint64)]))
+                both = len(np.intersect1d(s, t))
+                if both and 100 * both >= percent * (len(s) + len(t) - both):
+                    assert np.intersect1d(keys(s, percent, classes), keys(t, percent, classes)).size, (n, percent)
 
 
 def test_quality_measures(docs, empty, rows, labels):
