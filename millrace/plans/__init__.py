@@ -1,7 +1,7 @@
 """Named queries over the tables, and their SQL."""
 
-from millrace.plans import analysis, files, frames, returns, scores, texts
+from millrace.plans import analysis, files, frames, more, returns, scores, texts
 from millrace.plans.registry import ORACLES, QUERIES
 from millrace.streaming import queries as streams
 
-__all__ = ["ORACLES", "QUERIES", "analysis", "files", "frames", "returns", "scores", "streams", "texts"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "files", "frames", "more", "returns", "scores", "streams", "texts"]
