@@ -155,7 +155,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tex
                 use = ~skip[row]
                 h, low, high, row = h[use], low[use], high[use], row[use]
                 where = (low - offs[row] << 8) | (high - low)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(ids[first + row]), pa.array(where)], names=["h", "id", "place"])
+                # One row for an anchor and document, however often a line repeats in it.
+                order = np.lexsort((where, h, row))
+                h, row, where = h[order], row[order], where[order]
+                heads = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if len(h) else row
+                places = pa.ListArray.from_arrays(pa.array(np.append(heads, len(h)), pa.int32()), pa.array(where))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h[heads])), pa.array(ids[first + row[heads]]), places], names=["h", "id", "places"])
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,8 +220,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tex
     named = measured.groupBy("id").agg(F.min("sha").alias("sha"), F.max("sha").alias("other"), F.max("n").alias("n")).where(f"sha = other AND n >= {WINDOW}")
     reps = named.join(firsts, "sha").where("id = rep").select("id")
 
-    found = source.mapInArrow(find_anchors, "h long, id long, place long")
-    counted = found.withColumn("occurs", F.expr("count(1) OVER (PARTITION BY h)")).where("occurs > 1")
+    found = source.mapInArrow(find_anchors, "h long, id long, places array<long>")
+    counted = found.withColumn("occurs", F.expr("sum(size(places)) OVER (PARTITION BY h)")).where("occurs > 1")
+    counted = counted.select("h", "id", F.explode("places").alias("place"), "occurs")
     places = counted.join(reps, "id", "left_semi").groupBy("id").agg(F.collect_list(F.struct("place", "h", "occurs")).alias("x"))
     places = written(places.select("id", F.col("x.place").alias("place"), F.col("x.h").alias("h"), F.col("x.occurs").alias("occurs")), "places")
     strings = narrowed(source, places.select("id"), "id").hint("merge").join(places, "id").select("id", "text", "place", "h", "occurs").mapInArrow(cut_out, "h long, id long, low long, windows long, occurs long, bytes binary")
