@@ -8,10 +8,10 @@
    the sketch only saves work.  The smallest id with a key is the key's pivot; documents that share a pivot form its block.
 3. A block's members whose bitmaps rule out every partner in it, by a dual traversal of signature trees over the bitmaps,
    leave it.
-4. What is left of blocks is dealt in chunks of bounded size, each with the pivot, and each chunk is joined by a signature
-   tree.
+4. Blocks that still share a document become one, dealt in chunks of bounded size, each with the smallest id, and each
+   chunk is joined by a signature tree.
 5. What a chunk couldn't see are links across the chunks of one block.  A link between documents that aren't connected
-   yet has an end that isn't connected to the pivot: those are joined with all chunks, chunk by chunk, by trees again.
+   yet has an end that isn't connected to the smallest id: those are joined with all chunks, chunk by chunk, by trees again.
 
 Only connecting links are kept (a group of n copies has n - 1), so groups of any size stay linear.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import sigtree
-from millrace.llm.shared import components, written
+from millrace.llm.shared import components, narrowed, written
 from millrace.llm.textkit import mix, per_slice, signed
 
 #: Shingles in a chunk of a block, about: what one task's tree holds at once.
@@ -215,12 +215,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = source.where("id IS NOT NULL").mapInArrow(key_rows, "key long, id long")
     pivots = rows.withColumn("pivot", F.expr("min(id) OVER (PARTITION BY key)")).where("id <> pivot").select("id", "pivot").distinct()
     pivots = written(pivots.join(reps.select("id"), "id"), "pivots")
-    candidates = written(_with_partners(pivots, reps, percent).where("id <> pivot"), "candidates")
+    near = written(_with_partners(pivots, reps, percent).where("id <> pivot"), "near")
+    # Blocks that share a document become one, so that each document's text moves once.
+    blocks = components(near, "id", "pivot").where("id <> component_id").withColumnRenamed("component_id", "pivot")
+    candidates = written(blocks.join(reps.select("id", "size"), "id"), "candidates")
 
     blocks = candidates.groupBy("pivot").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("chunks"))
     dealt = candidates.join(blocks, "pivot").select("pivot", F.expr("cast(pmod(xxhash64(id), chunks) AS int)").alias("chunk"), "id")
     hosts = blocks.select("pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("pivot").alias("id"))
-    members = dealt.unionByName(hosts).hint("merge").join(source, "id")
+    members = written(dealt.unionByName(hosts), "members")
+    texts = narrowed(source, members.select("id").distinct(), "id")
+    members = members.hint("merge").join(texts, "id")
     links = written(_tree_links(members, ["pivot", "chunk"], n, percent), "links")
     classes = written(components(links), "classes")
 
@@ -234,7 +239,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         parts = apart.groupBy("pivot").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("parts"))
         left = apart.join(parts, "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.expr("cast(pmod(xxhash64(id), parts) AS int)").alias("part"), "id", F.lit(True).alias("side"))
         right = spread.join(parts, "pivot").select("pivot", "chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", F.lit(False).alias("side"))
-        more = _tree_links(left.unionByName(right).hint("merge").join(source, "id"), ["pivot", "chunk", "part"], n, percent, sides=True)
+        more = _tree_links(left.unionByName(right).hint("merge").join(texts, "id"), ["pivot", "chunk", "part"], n, percent, sides=True)
         classes = written(components(links.unionByName(more)), "classes")
 
     known = sets.join(first, ["hi", "lo", "size"], "left").join(classes.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
