@@ -91,12 +91,10 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     from millrace.llm import warc
-    from millrace.llm.shared import shared_dir
+    from millrace.sources.scratch import fresh
 
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = fresh(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
     return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
 
