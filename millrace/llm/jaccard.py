@@ -5,11 +5,11 @@
    one order of all shingles similar sets share one of their first n - ceil(percent * n / 100) + 1.  Those are a set's
    keys.  The order puts shingles that are common in the corpus last (by a sketch of counts over all documents, of fixed
    size), so a common line or passage brings no documents together that are otherwise different.  Any order is exact;
-   the sketch only saves work.  The smallest id with a key is the key's pivot; documents that share a pivot form its block.
-3. A block's members whose bitmaps rule out every partner in it, by a dual traversal of signature trees over the bitmaps,
-   leave it.
-4. Blocks that still share a document become one, dealt in chunks of bounded size, each with the smallest id, and each
-   chunk is joined by a signature tree.
+   the sketch only saves work.  The smallest id with a key is the key's pivot.
+3. Documents that share a pivot are compared by their bitmaps alone, by a dual traversal of signature trees: whatever may be
+   similar becomes connected, and most of what only shares a key falls apart.  What is connected makes a block.
+4. Blocks are dealt in chunks of bounded size, each with the block's smallest id, and each chunk is joined exactly by a
+   signature tree over the texts' sets.
 5. What a chunk couldn't see are links across the chunks of one block.  A link between documents that aren't connected
    yet has an end that isn't connected to the smallest id: those are joined with all chunks, chunk by chunk, by trees again.
 
@@ -32,7 +32,7 @@ from millrace.llm.textkit import mix, per_slice, signed
 
 #: Shingles in a chunk of a block, about: what one task's tree holds at once.
 CHUNK = 400_000
-#: Members of a block whose bitmaps one task compares at once.
+#: Documents of a pivot whose bitmaps one task compares at once, half of them on each side.
 TILE = 2_000
 #: Counters of the sketch, a byte each in a task: how common shingles are.
 SKETCH, SKETCH_ROW = 1 << 20, 1 << 14
@@ -123,8 +123,8 @@ def _tree_links(members: DataFrame, by: list[str], n: int, percent: int, sides:
     return members.select(*cols).repartition(*by).sortWithinPartitions(*by, "id").mapInArrow(run, "a long, b long")
 
 
-def _with_partners(pivots: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(pivot, id, size) of the blocks' members that may have a partner in the block; pivots has the others (id, pivot)."""
+def _partners(pivots: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect all members of a block which bitmaps let be similar; pivots has the others (id, pivot)."""
     tiles = pivots.groupBy("pivot").agg(F.ceil((F.count("*") + 1) / TILE).cast("int").alias("tiles"))
     members = pivots.unionByName(tiles.select(F.col("pivot").alias("id"), "pivot")).join(tiles, "pivot").hint("merge").join(reps, "id")
     members = members.withColumn("tile", F.expr("cast(pmod(xxhash64(id), tiles) AS int)"))
@@ -137,10 +137,11 @@ def _with_partners(pivots: DataFrame, reps: DataFrame, percent: int) -> DataFram
             maps = [np.frombuffer(x, np.uint64) for x in t.column("bits").to_pylist()]
             apart = t.column("one")[0].as_py() < t.column("two")[0].as_py()
             found = sigtree.partners(maps, t.column("size").to_numpy(), percent, t.column("side").to_numpy() if apart else None)
-            yield from t.select(["pivot", "id", "size"]).filter(pa.array(found)).to_batches()
+            ids = t.column("id").to_numpy()
+            ends = np.array(found, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[ends[:, 0]]), pa.array(ids[ends[:, 1]])], names=["a", "b"])
 
-    found = pairs.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "pivot long, id long, size long")
-    return found.distinct()
+    return pairs.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -215,9 +216,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = source.where("id IS NOT NULL").mapInArrow(key_rows, "key long, id long")
     pivots = rows.withColumn("pivot", F.expr("min(id) OVER (PARTITION BY key)")).where("id <> pivot").select("id", "pivot").distinct()
     pivots = written(pivots.join(reps.select("id"), "id"), "pivots")
-    near = written(_with_partners(pivots, reps, percent).where("id <> pivot"), "near")
-    # Blocks that share a document become one, so that each document's text moves once.
-    blocks = components(near, "id", "pivot").where("id <> component_id").withColumnRenamed("component_id", "pivot")
+    # A block is what such links connect, so each document is in one, and its text moves once.
+    blocks = components(_partners(pivots, reps, percent)).where("id <> component_id").withColumnRenamed("component_id", "pivot")
     candidates = written(blocks.join(reps.select("id", "size"), "id"), "candidates")
 
     blocks = candidates.groupBy("pivot").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("chunks"))

@@ -76,10 +76,10 @@ def expand(x: Node, y: Node) -> Iterator[tuple[Node, Node]]:
     return ((p, q) for p in x.children or [x] for q in y.children or [y])
 
 
-def partners(maps: list[np.ndarray], sizes: np.ndarray, percent: int, side: np.ndarray | None = None) -> np.ndarray:
-    """Which sets may have a similar one among the others (on the other side, if sides are given), as far as bitmaps tell.
+def partners(maps: list[np.ndarray], sizes: np.ndarray, percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs that connect all sets which may be similar (on two sides, if sides are given), as far as bitmaps tell.
 
-    No set that has one is left out.
+    Similar sets are always connected; pairs and node pairs that are connected already are passed over.
     """
     order = np.argsort(sizes, kind="stable")
     words = min(len(m) for m in maps)
@@ -88,12 +88,15 @@ def partners(maps: list[np.ndarray], sizes: np.ndarray, percent: int, side: np.n
     excess = sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
     if side is not None:
         side = side[order]
-    found = np.zeros(len(order), dtype=bool)
+    out, known = [], Forest(len(order))
     root = build(bits, sizes)
     stack = [(root, root)]
     while stack:
         x, y = stack.pop()
-        if found[x.first : x.last].all() and found[y.first : y.last].all() or not may_link(x, y, percent):
+        if not may_link(x, y, percent):
+            continue
+        top = known.find(x.first)
+        if all(known.find(i) == top for n in (x, y) for i in range(n.first, n.last)):
             continue
         if x.children or y.children:
             stack.extend(expand(x, y))
@@ -104,10 +107,9 @@ def partners(maps: list[np.ndarray], sizes: np.ndarray, percent: int, side: np.n
         near &= i != j
         if side is not None:
             near &= side[i] != side[j]
-        found[x.first : x.last] |= near.any(axis=1)
-        found[y.first : y.last] |= near.any(axis=0)
-    out = np.zeros(len(order), dtype=bool)
-    out[order] = found
+        for p, q in np.argwhere(near):
+            if known.join(x.first + int(p), y.first + int(q)):
+                out.append((int(order[x.first + p]), int(order[y.first + q])))
     return out
 
 
