@@ -40,9 +40,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the blocks that come before a source runs out, so that every source has its weight."""
-    out = mix(docs).where("NOT in_mix").select("doc_id").distinct()
-    return without(docs, out, "doc_id")
+    """All documents in the order of the mix: sources alternate by weight, and one that has run out leaves its share to the others.
+
+    Rows with one id, source and size stand together, at the first of their slots.
+    """
+    key = ["_id", "_source", "_chars"]
+    slots = mix(docs, whole=True).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("chars").alias("_chars")).agg(F.min("slot").alias("_slot"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.coalesce("source", F.lit("")) == F.col("_source")) & (F.coalesce(F.length("text"), F.lit(0)) == F.col("_chars"))
+    return docs.join(written(slots, "slots"), same).orderBy("_slot", "doc_id").drop(*key, "_slot")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,9 @@ may not run before slot floor(j * P / q), its release, and must run by slot ceil
 slot the released block with the earliest deadline runs.  The weights sum to one, so every deadline is met, and after any
 number of slots each source is less than one block from its share.  After P slots the schedule repeats: one period is worked
 out, and every block finds its slot by its number, all in parallel.
+
+A source that has run out of blocks leaves: its slots stay empty and are passed over, so the others keep their weights
+among themselves and its share goes to them in proportion.
 """
 
 from __future__ import annotations
@@ -56,11 +59,12 @@ def period(quota: DataFrame) -> DataFrame:
     return named.select("x.source", "x.q", "n", nth.cast("long").alias("nth"), "slot")
 
 
-def mix(docs: DataFrame, block_chars: int = BLOCK_CHARS, parts: int = PARTS, power: float = POWER, weights: DataFrame | None = None) -> DataFrame:
+def mix(docs: DataFrame, block_chars: int = BLOCK_CHARS, parts: int = PARTS, power: float = POWER, weights: DataFrame | None = None, whole: bool = False) -> DataFrame:
     """One row per input row (doc_id, text, source): doc_id, source, chars, block, slot, in_mix.
 
     slot: the block's place in the interleaving.  in_mix: whether it stands before the first slot whose source has run
-    out of blocks; up to there every slot is filled, and beyond it the weights can't be kept.  A document belongs to the
+    out of blocks; up to there every slot is filled.  With weights only sources that have one above zero end the mix, and
+    with `whole` none does: in_mix is true everywhere.  A document belongs to the
     block in which it starts.  A null source counts as the source ''; a null id comes first; null text has no characters.
     Ties and repeated rows follow one another in order of size.  Extra columns are ignored; an empty table gives no rows.
     """
@@ -80,9 +84,13 @@ def mix(docs: DataFrame, block_chars: int = BLOCK_CHARS, parts: int = PARTS, pow
     placed = at(blocks.join(F.broadcast(table.withColumnRenamed("source", "of")), F.expr("source = of AND block % q = nth")))
     # The first block that each source hasn't got: the block after the one in which its text ends.
     missing = sizes.select("source", F.expr(f"(greatest(chars, 1) + {block_chars - 1}) div {block_chars}").alias("block"))
+    if whole:
+        missing = missing.limit(0)
+    elif weights is not None:
+        missing = missing.join(weights.where("weight > 0").select(F.coalesce("source", F.lit("")).alias("source")).distinct(), "source", "left_semi")
     missing = at(missing.join(F.broadcast(table.withColumnRenamed("source", "of")), F.expr("source = of AND block % q = nth")))
     ends = missing.agg(F.min("slot").alias("ends"))
-    return placed.join(F.broadcast(ends)).select("doc_id", "source", "chars", "block", "slot", (F.col("slot") < F.col("ends")).alias("in_mix"))
+    return placed.join(F.broadcast(ends)).select("doc_id", "source", "chars", "block", "slot", F.coalesce(F.col("slot") < F.col("ends"), F.lit(True)).alias("in_mix"))
 
 
 def sql(block_chars: int = BLOCK_CHARS, parts: int = PARTS, power: float = POWER) -> str:
