@@ -48,7 +48,7 @@ def encoder(vocabulary: str):
     """Encodes texts with the byte-level BPE in `vocabulary`, a file of `tokenizers`.
 
     `tiktoken` gives the same ids from the file's own vocabulary at several times the speed (a test holds the two
-    against each other); special tokens' strings in a text are ordinary text.
+    against each other).  The file's added tokens, as `<|endoftext|>`, are single ids where their strings stand in a text, as in `tokenizers`.
     """
     import json
 
@@ -59,14 +59,16 @@ def encoder(vocabulary: str):
         model = json.load(f)
     if model["model"]["type"] != "BPE" or model["pre_tokenizer"]["type"] != "ByteLevel":
         raise ValueError(f"{vocabulary} holds no byte-level BPE")
-    special = {x["content"] for x in model.get("added_tokens", []) if x.get("special")}
+    added = {x["content"]: x["id"] for x in model.get("added_tokens", [])}
+    if any(x.get(k) for x in model.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")) or model.get("normalizer"):
+        raise ValueError(f"{vocabulary} has added tokens that take white space or word bounds with them, or a normalizer")
     # Byte-level vocabularies spell each byte as a printable character: printable ones stand for themselves,
     # the others for 256, 257, ... in order.
     printable = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
     spelled = {chr(b): b for b in printable}
     spelled |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
-    ranks = {bytes(spelled[c] for c in k): v for k, v in model["model"]["vocab"].items() if k not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(spelled[c] for c in k): v for k, v in model["model"]["vocab"].items() if k not in added}
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -147,7 +149,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.encode_ordinary(text.as_py() or "")
+                ids = enc.encode(text.as_py() or "", allowed_special="all")
                 ids.append(end_id)
                 raw, n, start = np.array(ids, dtype="<u4").tobytes(), len(ids), 0
                 for length in cut(n, capacity):
