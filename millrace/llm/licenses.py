@@ -1,7 +1,7 @@
 """License scans: known licence sentences, and ordered rules over their sequence.  DataFrame functions only.
 
-A text is cut into sentences, each is normalised, and those that stand in SENTENCES give the document's sequence of
-sentence identifiers.  RULES are tried in order, longest and most specific first: each takes all places where its
+A text is cut into sentences, each is normalised, and those that stand in SENTENCES or NOTICES give the document's sequence
+of sentence identifiers.  A sentence may be wrapped over lines, with comment marks before each.  RULES are tried in order, longest and most specific first: each takes all places where its
 identifiers follow one another, so that a later rule only sees what earlier ones left.
 """
 
@@ -40,6 +40,15 @@ SENTENCES = {
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
     "all rights reserved": "reserved",
 }
+_GPL = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+# Sentences in which the notices go on further, and their identifiers, separated by spaces.  The SQL hasn't got them.
+NOTICES = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    f"{_GPL} either version 3 of the license or at your option any later version": "gpl-redistribute gpl3-or-later",
+    f"{_GPL} either version 2 of the license or at your option any later version": "gpl-redistribute gpl2-or-later",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0": "license-copy-at",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "license-copy-at",
+}
 # Licences and the identifier sequences that grant them, in the order of trial.
 RULES = [
     ("Apache-2.0", ["apache2-the", "apache2-comply", "license-copy-at"]),
@@ -67,11 +76,21 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def identifiers(text: Column) -> Column:
-    """The identifiers of a text's known sentences, in order.  A sentence ends at a line's end, or at .!?;: before a space."""
-    lines = F.split(F.regexp_replace(F.translate(text, UPPER, LOWER), r"([.!?;:])[ \t\r\f\x0B]+", "$1\n"), "\n")
-    plain = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, "[^a-z0-9]+", " ")))
-    known = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
-    return F.filter(F.transform(plain, lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull())
+    """The identifiers of a text's known sentences, in order.
+
+    A sentence starts at a line's start or after an end, and stops at a line's end or at an end; between, its words may be
+    wrapped over lines.  An end is .!?;: before white space, or a line without letters and digits.  Of several sentences
+    from one place the longest counts.
+    """
+    ended = F.regexp_replace(F.translate(text, UPPER + "\x01", LOWER + " "), r"[.!?;:][ \t\r\f\x0B\n]+", "\x01")
+    ended = F.regexp_replace(ended, r"\n([^a-z0-9\n\x01]*\n)+", "\x01")
+    plain = F.regexp_replace(F.regexp_replace(ended, r"[^a-z0-9\n\x01]+", " "), r" ?([\n\x01]) ?", "$1")
+    plain = F.concat(F.lit("\x01"), F.trim(plain), F.lit("\x01"))
+    table = {**SENTENCES, **NOTICES}
+    words = "|".join(x.replace(" ", "[ \n]") for x in sorted(table, key=lambda x: (-len(x), x)))
+    found = F.regexp_extract_all(plain, F.lit(f"(?<=[\n\x01])({words})(?=[\n\x01])"), F.lit(1))
+    known = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return F.flatten(F.transform(found, lambda x: F.split(F.try_element_at(known, F.translate(x, "\n", " ")), " ")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,7 +120,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def sql() -> str:
-    """The scan in DuckDB's SQL."""
+    """The scan in DuckDB's SQL, for sentences that stand on one line: it differs from scan() on wrapped ones and NOTICES."""
     known = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items()) + "}"
     left = "list_aggregate(list_transform(ids, lambda x: '|' || x || '|'), 'string_agg', '')"
     left = f"coalesce({left}, '')"
