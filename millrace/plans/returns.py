@@ -61,12 +61,25 @@ def event_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 near AS (SELECT w.id, arg_min(p.close, (abs(date_diff('day', CAST(w.at AS DATE), p.date)), p.date)) AS close FROM wanted w JOIN daily p ON p.asset = w.asset AND abs(date_diff('day', CAST(w.at AS DATE), p.date)) <= 7 GROUP BY 1)
 SELECT w.asset, CAST(w.at AS DATE) AS at, close FROM wanted w LEFT JOIN near USING (id)""")
 def price_nearest_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The price of the day, else of the nearest day within seven; of two as near, the earlier."""
+    """The days of month that seven divides, as the SQL has it; price_nearest_7d_all has all days."""
     p = daily(spark, sf_dir)
-    wanted = p.where(F.dayofmonth("date") % 7 == 0).select("asset", F.date_add("date", 3).alias("at"))
+    return _nearest_7d(p.where(F.dayofmonth("date") % 7 == 0), p)
+
+
+def _nearest_7d(days: DataFrame, p: DataFrame) -> DataFrame:
+    """The price three days on, else of the nearest day within seven; of two as near, the earlier."""
+    wanted = days.select("asset", F.date_add("date", 3).alias("at"))
     return nearest(wanted, p, "asset", "at", "date", "close", ["asset", "at"], F.lit(7 * 24 * HOUR), 8 * 24 * HOUR).select("asset", "at", "close")
 
 
+@query(f"""WITH {DAILY}, near AS (SELECT w.asset, w.date, arg_min(p.close, (abs(date_diff('day', w.date + 3, p.date)), p.date)) AS close
+  FROM daily w JOIN daily p ON p.asset = w.asset AND p.date BETWEEN w.date - 4 AND w.date + 10 GROUP BY 1, 2)
+SELECT w.asset, w.date + 3 AS at, near.close FROM daily w LEFT JOIN near USING (asset, date)""")
+def price_nearest_7d_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = daily(spark, sf_dir)
+    return _nearest_7d(p, p)
+
+
 @query(f"""WITH {TICKS}, s AS (SELECT event_id AS id, 'view' AS asset, ts FROM events WHERE event_type = 'signup'),
 v AS (SELECT asset, ts, arg_max(price, event_id) AS price FROM ticks WHERE asset = 'view' GROUP BY 1, 2)
 SELECT s.id, s.asset, v.price FROM s ASOF LEFT JOIN v ON s.asset = v.asset AND s.ts >= v.ts""")
@@ -112,14 +125,14 @@ def forward_window_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir).select("article_id", "asset", "days", F.round("ret", 6).alias("ret"), F.round("vol", 6).alias("vol"))
 
 
-def inter_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def inter_events(arts: DataFrame, prices: DataFrame) -> DataFrame:
     """Consecutive article days of an asset, at most 30 days apart, with the return from the first open to the last close between."""
-    a = articles(spark, sf_dir).where("article_id % 50 = 1").groupBy("asset", "date").agg(F.min_by("theme", "article_id").alias("theme"), F.min_by("signal", "article_id").alias("signal"))
+    a = arts.groupBy("asset", "date").agg(F.min_by("theme", "article_id").alias("theme"), F.min_by("signal", "article_id").alias("signal"))
     after = W.partitionBy("asset").orderBy("date")
     pairs = a.withColumns({"next_date": F.lead("date").over(after), "next_theme": F.lead("theme").over(after), "next_signal": F.lead("signal").over(after)})
     pairs = pairs.withColumn("gap", F.datediff("next_date", "date")).where("gap BETWEEN 1 AND 30")
     row = pairs.columns
-    found = ahead(pairs, daily(spark, sf_dir), "asset", "date", F.col("gap"), 30).groupBy(*row)
+    found = ahead(pairs, prices, "asset", "date", F.col("gap"), 30).groupBy(*row)
     out = found.agg(F.min_by("p_open", "p_date").alias("first"), F.max_by("p_close", "p_date").alias("last"))
     return out.select(*row, F.when(F.abs("first") > 1e-9, F.col("last") / F.col("first") - 1).alias("ret"))
 
@@ -132,15 +145,48 @@ spans AS (SELECT q.asset, q.date, theme, signal, next_date, next_theme, next_sig
 inter AS (SELECT *, last / nullif(first, 0) - 1 AS ret FROM spans)"""
 
 
+INTER_ALL = INTER.replace(" WHERE article_id % 50 = 1", "")
+
+
+def _some(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One article in fifty, as the SQL of inter_event_returns and theme_transitions has it."""
+    return inter_events(articles(spark, sf_dir).where("article_id % 50 = 1"), daily(spark, sf_dir))
+
+
+def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inter_events(articles(spark, sf_dir), daily(spark, sf_dir))
+
+
+def _changes(pairs: DataFrame) -> DataFrame:
+    return pairs.select("asset", "date", "next_date", "gap", "theme", "next_theme", F.round(F.col("next_signal") - F.col("signal"), 6).alias("signal_change"), F.round("ret", 6).alias("ret"))
+
+
+def _transitions(pairs: DataFrame) -> DataFrame:
+    out = pairs.groupBy("theme", "next_theme").agg(F.count("*").alias("n"), F.round(F.avg("ret"), 6).alias("mean_ret"), F.round(F.max("ret"), 6).alias("max_ret"), F.round(F.min("ret"), 6).alias("min_ret"))
+    return out.where("n >= 2")
+
+
 @query(f"WITH {INTER} SELECT asset, date, next_date, CAST(gap AS INTEGER) AS gap, theme, next_theme, round(next_signal - signal, 6) AS signal_change, round(ret, 6) AS ret FROM inter")
 def inter_event_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inter_events(spark, sf_dir).select("asset", "date", "next_date", "gap", "theme", "next_theme", F.round(F.col("next_signal") - F.col("signal"), 6).alias("signal_change"), F.round("ret", 6).alias("ret"))
+    """One article in fifty; inter_event_returns_all has all."""
+    return _changes(_some(spark, sf_dir))
+
+
+@query()
+def inter_event_returns_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All articles.  No SQL: the engines round halves of signal_change differently; a test compares within 1e-6."""
+    return _changes(_all(spark, sf_dir))
 
 
 @query(f"WITH {INTER} SELECT theme, next_theme, count(*) AS n, round(avg(ret), 6) AS mean_ret, round(max(ret), 6) AS max_ret, round(min(ret), 6) AS min_ret FROM inter GROUP BY 1, 2 HAVING count(*) >= 2")
 def theme_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = inter_events(spark, sf_dir).groupBy("theme", "next_theme").agg(F.count("*").alias("n"), F.round(F.avg("ret"), 6).alias("mean_ret"), F.round(F.max("ret"), 6).alias("max_ret"), F.round(F.min("ret"), 6).alias("min_ret"))
-    return out.where("n >= 2")
+    """One article in fifty; theme_transitions_all has all."""
+    return _transitions(_some(spark, sf_dir))
+
+
+@query(f"WITH {INTER_ALL} SELECT theme, next_theme, count(*) AS n, round(avg(ret), 6) AS mean_ret, round(max(ret), 6) AS max_ret, round(min(ret), 6) AS min_ret FROM inter GROUP BY 1, 2 HAVING count(*) >= 2")
+def theme_transitions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _transitions(_all(spark, sf_dir))
 
 
 @query(f"""WITH {TICKS}, d AS (SELECT asset, CAST(ts AS DATE) AS date, arg_max(price, (ts, event_id)) AS close, count(*) AS n FROM ticks GROUP BY 1, 2)
