@@ -7,11 +7,11 @@
    size), so a common line or passage brings no documents together that are otherwise different.  Any order is exact;
    the sketch only saves work.  The smallest id with a key is the key's pivot; documents that share a pivot form its block.
 3. A block's members whose bitmaps rule out every partner in it, by a dual traversal of signature trees over the bitmaps,
-   leave it.
-4. What is left of blocks is dealt in chunks of bounded size, each with the pivot, and each chunk is joined by a signature
-   tree.
-5. What a chunk couldn't see are links across the chunks of one block.  A link between documents that aren't connected
-   yet has an end that isn't connected to the pivot: those are joined with all chunks, chunk by chunk, by trees again.
+   leave it.  (Blocks of more than TILE members keep all.)
+4. Texts move.  Each document goes first to the block of its smallest pivot only; blocks are dealt in chunks of bounded
+   size, each with the pivot, and each chunk is joined by a signature tree.  The links form components.
+5. A link that is still missing joins two components, so one of its ends isn't connected to the pivot of their block.
+   Those ends are joined with all members of the block that bitmaps allow and that lie in other components.
 
 Only connecting links are kept (a group of n copies has n - 1), so groups of any size stay linear.
 """
@@ -23,17 +23,19 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import sigtree
-from millrace.llm.shared import components, narrowed, written
+from millrace.llm.shared import by_key, components, dropped, narrowed, written
 from millrace.llm.textkit import mix, per_slice, signed
 
 #: Shingles in a chunk of a block, about: what one task's tree holds at once.
 CHUNK = 400_000
 #: Members of a block whose bitmaps one task compares at once.
 TILE = 2_000
+#: Most pivots of large blocks that are broadcast.
+LARGE = 100_000
 #: Counters of the sketch, a byte each in a task: how common shingles are.
 SKETCH, SKETCH_ROW = 1 << 20, 1 << 14
 _SEEN = 100_000
@@ -102,7 +104,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Ta
 
 
 def _tree_links(members: DataFrame, by: list[str], n: int, percent: int, sides: bool = False) -> DataFrame:
-    """Join each group of members (with id, text, and side if sides) by a signature tree: rows (a, b)."""
+    """Join each group of members (id, text) by a signature tree: rows (a, b).  sides: members also have side and label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[int] = []
@@ -110,8 +112,8 @@ def _tree_links(members: DataFrame, by: list[str], n: int, percent: int, sides:
         for t in _grouped(batches, by):
             ids = t.column("id").to_pylist()
             sets = list(shingle_sets(t.column("text"), n))
-            side = t.column("side").to_pylist() if sides else None
-            for i, j in sigtree.links(sets, percent, side.__getitem__ if side else None):
+            side, label = (t.column("side").to_numpy(), t.column("label").to_numpy()) if sides else (None, None)
+            for i, j in sigtree.links(sets, percent, side, label):
                 a.append(ids[i])
                 b.append(ids[j])
             if len(a) > 10_000:
@@ -119,28 +121,52 @@ def _tree_links(members: DataFrame, by: list[str], n: int, percent: int, sides:
                 a, b = [], []
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    cols = [*by, "id", "text", *["side"] * sides]
+    cols = [*by, "id", "text", *["side", "label"] * sides]
     return members.select(*cols).repartition(*by).sortWithinPartitions(*by, "id").mapInArrow(run, "a long, b long")
 
 
-def _with_partners(pivots: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(pivot, id, size) of the blocks' members that may have a partner in the block; pivots has the others (id, pivot)."""
-    tiles = pivots.groupBy("pivot").agg(F.ceil((F.count("*") + 1) / TILE).cast("int").alias("tiles"))
-    members = pivots.unionByName(tiles.select(F.col("pivot").alias("id"), "pivot")).join(tiles, "pivot").hint("merge").join(reps, "id")
-    members = members.withColumn("tile", F.expr("cast(pmod(xxhash64(id), tiles) AS int)"))
-    pairs = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    by = ["pivot", "one", "two"]
-    pairs = pairs.select("pivot", F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two"), (F.col("tile") < F.col("other")).alias("side"), "id", "size", "bits")
+def _possible(rows: DataFrame, by: list[str], percent: int, sides: bool = False) -> DataFrame:
+    """The rows (pivot, id, size and, with sides, label, side) of each group that may have a partner in it, by their `bits`."""
+    cols = ["pivot", "id", "size", *["label", "side"] * sides]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, by):
             maps = [np.frombuffer(x, np.uint64) for x in t.column("bits").to_pylist()]
-            apart = t.column("one")[0].as_py() < t.column("two")[0].as_py()
-            found = sigtree.partners(maps, t.column("size").to_numpy(), percent, t.column("side").to_numpy() if apart else None)
-            yield from t.select(["pivot", "id", "size"]).filter(pa.array(found)).to_batches()
+            side, label = (t.column("side").to_numpy(), t.column("label").to_numpy()) if sides else (None, None)
+            found = sigtree.partners(maps, t.column("size").to_numpy(), percent, side, label)
+            yield from t.select(cols).filter(pa.array(found)).to_batches()
+
+    made = rows.select(*dict.fromkeys([*by, *cols, "bits"])).repartition(*by).sortWithinPartitions(*by)
+    return made.mapInArrow(run, "pivot long, id long, size long" + ", label long, side boolean" * sides)
+
+
+def _with_partners(pivots: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(pivot, id, size) of the blocks' members that may have a partner in the block; pivots has the others (id, pivot)."""
+    counts = written(pivots.groupBy("pivot").agg(F.count("*").alias("n")), "counts")
+    small = counts.where(F.col("n") < TILE).select("pivot")
+    large = counts.where(F.col("n") >= TILE).select("pivot")
+    hosts = small.select(F.col("pivot").alias("id"), "pivot")
+    found = _possible(pivots.join(small, "pivot", "left_semi").unionByName(hosts).join(reps, "id"), ["pivot"], percent)
+    whole = pivots.join(F.broadcast(large), "pivot", "left_semi") if large.count() <= LARGE else pivots.join(large, "pivot", "left_semi")
+    return found.unionByName(whole.join(reps.select("id", "size"), "id").select("pivot", "id", "size")).where("id <> pivot").distinct()
 
-    found = pairs.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "pivot long, id long, size long")
-    return found.distinct()
+
+def _dealt(c: str, n: str) -> Column:
+    return F.expr(f"cast(pmod(xxhash64({c}), {n}) AS int)")
+
+
+def _all_of(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def _meetings(rows: DataFrame, each: str, most: int) -> DataFrame:
+    """Deal blocks so that each row with side meets all rows without: rows by (pivot, part, chunk); `each` is a row's load."""
+    load = lambda side: F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("side") == side, F.expr(each)).otherwise(0)) / most)).cast("int")
+    n = rows.groupBy("pivot").agg(load(True).alias("parts"), load(False).alias("chunks"))
+    rows = rows.join(n, "pivot")
+    left = rows.where("side").withColumn("part", _dealt("id", "parts")).withColumn("chunk", _all_of("chunks"))
+    right = rows.where("NOT side").withColumn("part", _all_of("parts")).withColumn("chunk", _dealt("id", "chunks"))
+    return left.unionByName(right).drop("parts", "chunks")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -149,7 +175,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a set holds the distinct n-word shingles, or with fewer words the
     whole sequence as one.  Two documents link when 100 * |intersection| >= percent * |union|.  component_id is the
     smallest id reachable by links.  Null, empty and blank texts have an empty set and are linked with nothing.
-    Repeated rows are all kept; rows with a null id are kept, with their size and a null component, and link nothing.
+    Repeated rows are all kept; rows of one id with several texts are one document that links by each of its texts; rows with a null id are kept, with their size and a null component, and link nothing.
     Extra columns are ignored; an empty table gives no rows.  Shingles are told apart by 64-bit hashes.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -209,38 +235,49 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         counts[row["part"]] += np.frombuffer(row["sums"], np.int64)
     shared = source.sparkSession.sparkContext.broadcast(commonness(counts.reshape(-1)))
     full = sets.where("size > 0 AND id IS NOT NULL")
-    first = written(full.groupBy("hi", "lo", "size").agg(F.min("id").alias("rep"), F.any_value("bits").alias("bits")), "firsts")
-    reps, first = first.select(F.col("rep").alias("id"), "size", "bits"), first.drop("bits")
-
-    rows = source.where("id IS NOT NULL").mapInArrow(key_rows, "key long, id long")
-    pivots = rows.withColumn("pivot", F.expr("min(id) OVER (PARTITION BY key)")).where("id <> pivot").select("id", "pivot").distinct()
-    pivots = written(pivots.join(reps.select("id"), "id"), "pivots")
-    candidates = written(_with_partners(pivots, reps, percent).where("id <> pivot"), "candidates")
-
-    blocks = candidates.groupBy("pivot").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("chunks"))
-    dealt = candidates.join(blocks, "pivot").select("pivot", F.expr("cast(pmod(xxhash64(id), chunks) AS int)").alias("chunk"), "id")
-    hosts = blocks.select("pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("pivot").alias("id"))
-    members = written(dealt.unionByName(hosts), "members")
-    texts = narrowed(source, members.select("id").distinct(), "id")
-    members = members.hint("merge").join(texts, "id")
-    links = written(_tree_links(members, ["pivot", "chunk"], n, percent), "links")
+    first = written(full.groupBy("hi", "lo", "size").agg(F.min("id").alias("rep"), F.any_value("bits").alias("bits"), F.count("*").alias("n")), "firsts")
+    reps = first.select(F.col("rep").alias("id"), "size", "bits")
+
+    keyed = written(narrowed(source.where("id IS NOT NULL"), reps, "id").select("id", "text").mapInArrow(key_rows, "key long, id long"), "keys")
+    met = written(keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "met")
+    pivots = by_key(narrowed(keyed, met, "key"), met, ["key"]).where("id <> pivot").select("id", "pivot").distinct()
+    pivots = written(pivots.join(reps.select("id"), "id", "left_semi"), "pivots")
+    dropped(keyed, met)
+    candidates = written(_with_partners(pivots, reps, percent), "candidates")
+    dropped(pivots)
+
+    once = candidates.groupBy("id").agg(F.min("pivot").alias("pivot"), F.max("size").alias("size"))
+    blocks = once.groupBy("pivot").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("chunks"))
+    members = once.join(blocks, "pivot").select("pivot", _dealt("id", "chunks").alias("chunk"), "id")
+    hosts = blocks.select("pivot", _all_of("chunks").alias("chunk"), F.col("pivot").alias("id"))
+    members = written(members.unionByName(hosts), "members")
+    links = written(_tree_links(members.hint("merge").join(narrowed(source, members, "id"), "id"), ["pivot", "chunk"], n, percent), "links")
     classes = written(components(links), "classes")
-
-    split = blocks.where("chunks > 1")
-    if not split.isEmpty():
-        of = classes.select("id", F.col("component_id").alias("own"))
-        pivot_of = classes.select(F.col("id").alias("pivot"), F.col("component_id").alias("theirs"))
-        spread = candidates.join(split, "pivot").select("pivot", "id", "size", "chunks", F.expr("cast(pmod(xxhash64(id), chunks) AS int)").alias("chunk"))
-        apart = spread.join(of, "id", "left").join(pivot_of, "pivot", "left").where("coalesce(own, id) <> coalesce(theirs, pivot)")
-        apart = written(apart.select("pivot", "id", "size", "chunks"), "apart")
-        parts = apart.groupBy("pivot").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("parts"))
-        left = apart.join(parts, "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.expr("cast(pmod(xxhash64(id), parts) AS int)").alias("part"), "id", F.lit(True).alias("side"))
-        right = spread.join(parts, "pivot").select("pivot", "chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", F.lit(False).alias("side"))
-        more = _tree_links(left.unionByName(right).hint("merge").join(texts, "id"), ["pivot", "chunk", "part"], n, percent, sides=True)
-        classes = written(components(links.unionByName(more)), "classes")
-
-    known = sets.join(first, ["hi", "lo", "size"], "left").join(classes.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
-    return known.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "rep", "id")).alias("component_id"))
+    dropped(members)
+
+    label = lambda c, name: classes.select(F.col("id").alias(c), F.col("component_id").alias(name))
+    rest = candidates.join(label("id", "own"), "id", "left").withColumn("label", F.coalesce("own", "id"))
+    rest = rest.join(label("pivot", "theirs"), "pivot", "left").withColumn("side", F.col("label") != F.coalesce("theirs", "pivot"))
+    rest = written(rest.select("pivot", "id", "size", "label", F.coalesce("theirs", "pivot").alias("theirs"), "side"), "rest")
+    mixed = written(rest.where("side").groupBy("pivot").agg(F.any_value("theirs").alias("label")), "mixed")
+    if not mixed.isEmpty():
+        host = mixed.select("pivot", F.col("pivot").alias("id"), "label").join(reps.select("id", "size"), "id").withColumn("side", F.lit(False))
+        apart = rest.where("side").drop("theirs")
+        both = rest.join(mixed.select("pivot"), "pivot", "left_semi").drop("theirs").withColumn("side", F.lit(False)).unionByName(host).unionByName(apart)
+        found = _possible(_meetings(both, "1", TILE).join(reps.select("id", "bits"), "id"), ["pivot", "part", "chunk"], percent, sides=True)
+        found = written(found.distinct(), "found")
+        meetings = written(_meetings(found, "size", CHUNK), "meetings")
+        more = _tree_links(meetings.hint("merge").join(narrowed(source, meetings, "id"), "id"), ["pivot", "part", "chunk"], n, percent, sides=True)
+        more = written(more, "links")
+        done, classes = classes, written(components(links.unionByName(more)), "classes")
+        dropped(done, found, meetings, more)
+    dropped(rest, mixed, candidates, links)
+
+    named = first.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("hi", "lo", "size", "n", F.coalesce("component_id", "rep").alias("component_id"))
+    named = written(named, "named")
+    known = by_key(sets.where("size > 0").select("id", "hi", "lo", "size"), named, ["hi", "lo", "size"], how="left").select("id", "size", "component_id")
+    known = known.unionByName(sets.where("size = 0").select("id", "size", F.col("id").alias("component_id")))
+    return known.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
 def _pairs(made: list[np.ndarray], ids: list[int]) -> pa.RecordBatch:

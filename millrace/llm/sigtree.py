@@ -58,6 +58,21 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
+def size_classes(sizes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Sets by the width of their own bitmaps: (sets in order of size, how many of them have that width, the width).
+
+    After a class's own sets stand those of wider classes that are small enough to be similar to one of them, so a pair is
+    compared at the width of its smaller set and a few short sets don't blur the bitmaps of long ones.
+    """
+    order = np.argsort(sizes, kind="stable")
+    widths = np.array([width_of(int(s)) for s in sizes[order]])
+    for width in np.unique(widths):
+        own = order[widths == width]
+        upper = order[(widths > width) & (percent * sizes[order] <= 100 * sizes[own[-1]])]
+        if len(own) + len(upper) > 1:
+            yield np.concatenate([own, upper]), len(own), int(width)
+
+
 def build(bits: np.ndarray, sizes: np.ndarray) -> Node:
     """A tree over sets in order of size, by their bitmaps of one width."""
     excess = sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
@@ -76,24 +91,25 @@ def expand(x: Node, y: Node) -> Iterator[tuple[Node, Node]]:
     return ((p, q) for p in x.children or [x] for q in y.children or [y])
 
 
-def partners(maps: list[np.ndarray], sizes: np.ndarray, percent: int, side: np.ndarray | None = None) -> np.ndarray:
-    """Which sets may have a similar one among the others (on the other side, if sides are given), as far as bitmaps tell.
+def may_link(x: Node, y: Node, percent: int) -> bool:
+    """Whether any pair below can reach the Jaccard similarity: its overlap must be percent/(100+percent) of both sizes' sum."""
+    if 100 * x.most < percent * y.least or 100 * y.most < percent * x.least:
+        return False
+    shared = int(np.bitwise_count(x.bits & y.bits).sum()) + min(x.excess, y.excess)
+    return min(shared, x.most, y.most) * (100 + percent) >= percent * (x.least + y.least)
 
-    No set that has one is left out.
+
+def traverse(bits: np.ndarray, sizes: np.ndarray, percent: int, own: int, skip: Callable[[Node, Node], bool]) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """Leaf pairs of a tree with itself: (first, last, first, last, which of their pairs bitmaps and sizes don't rule out).
+
+    Each pair of sets comes once, and none of two sets beyond the first `own`.  skip is asked for node pairs before they are opened.
     """
-    order = np.argsort(sizes, kind="stable")
-    words = min(len(m) for m in maps)
-    bits = np.stack([folded(maps[i], words) for i in order])
-    sizes = sizes[order]
     excess = sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
-    if side is not None:
-        side = side[order]
-    found = np.zeros(len(order), dtype=bool)
     root = build(bits, sizes)
     stack = [(root, root)]
     while stack:
         x, y = stack.pop()
-        if found[x.first : x.last].all() and found[y.first : y.last].all() or not may_link(x, y, percent):
+        if (x.first >= own and y.first >= own) or not may_link(x, y, percent) or skip(x, y):
             continue
         if x.children or y.children:
             stack.extend(expand(x, y))
@@ -101,14 +117,30 @@ def partners(maps: list[np.ndarray], sizes: np.ndarray, percent: int, side: np.n
         i, j = np.arange(x.first, x.last)[:, None], np.arange(y.first, y.last)[None, :]
         shared = np.bitwise_count(bits[x.first : x.last, None] & bits[None, y.first : y.last]).sum(axis=2).astype(np.int64) + np.minimum(excess[i], excess[j])
         near = np.minimum(shared, np.minimum(sizes[i], sizes[j])) * (100 + percent) >= percent * (sizes[i] + sizes[j])
-        near &= i != j
-        if side is not None:
-            near &= side[i] != side[j]
-        found[x.first : x.last] |= near.any(axis=1)
-        found[y.first : y.last] |= near.any(axis=0)
-    out = np.zeros(len(order), dtype=bool)
-    out[order] = found
-    return out
+        near &= (i < j) if x is y else True
+        near &= np.minimum(i, j) < own
+        if near.any():
+            yield x.first, x.last, y.first, y.last, near
+
+
+def partners(maps: list[np.ndarray], sizes: np.ndarray, percent: int, side: np.ndarray | None = None, label: np.ndarray | None = None) -> np.ndarray:
+    """Which sets may have a similar one among the others, as far as bitmaps tell: on the other side, if sides are given, and
+    of another label, if labels are.
+
+    No set that has one is left out.
+    """
+    found = np.zeros(len(maps), dtype=bool)
+    for order, own, width in size_classes(sizes, percent):
+        bits = np.stack([folded(maps[i], width // 64) for i in order])
+        done = found[order]
+        for a, b, c, d, near in traverse(bits, sizes[order], percent, own, lambda x, y: done[x.first : x.last].all() and done[y.first : y.last].all()):
+            for of in (side, label):
+                if of is not None:
+                    near &= of[order[a:b], None] != of[None, order[c:d]]
+            done[a:b] |= near.any(axis=1)
+            done[c:d] |= near.any(axis=0)
+        found[order] |= done
+    return found
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -120,50 +152,31 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def may_link(x: Node, y: Node, percent: int) -> bool:
-    """Whether any pair below can reach the Jaccard similarity: its overlap must be percent/(100+percent) of both sizes' sum."""
-    if 100 * x.most < percent * y.least or 100 * y.most < percent * x.least:
-        return False
-    shared = int(np.bitwise_count(x.bits & y.bits).sum()) + min(x.excess, y.excess)
-    return min(shared, x.most, y.most) * (100 + percent) >= percent * (x.least + y.least)
-
-
-def links(sets: list[np.ndarray], percent: int, apart: Callable[[int], bool] | None = None, spanning: bool = True) -> Iterator[tuple[int, int]]:
-    """Pairs of sets with 100 * |intersection| >= percent * |union|, by a dual traversal of one tree with itself.
+def links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, label: np.ndarray | None = None, spanning: bool = True) -> Iterator[tuple[int, int]]:
+    """Pairs of sets with 100 * |intersection| >= percent * |union|, by dual traversals of one tree for each size class.
 
-    spanning: only as many pairs as connect what is linked; pairs and node pairs that are connected already are passed over.
-    apart: if given, only pairs whose two sides it tells apart count.
+    spanning: only as many pairs as connect what is linked; pairs and node pairs that are connected already are passed over,
+    and so are sets with one label, if labels are given.  side: if given, only pairs on different sides count.
     """
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), i))
-    ordered = [sets[i] for i in order]
-    if len(sets) < 2:
-        return
-    width = 1 << max(8, min(16, int(4 * len(ordered[-1])).bit_length()))
-    root, known = build(np.stack([bitmap(s, width) for s in ordered]), np.array([len(s) for s in ordered])), Forest(len(sets))
-    side = [bool(apart(i)) for i in order] if apart else None
-
-    def connected(x: Node, y: Node) -> bool:
-        top = known.find(x.first)
-        return all(known.find(i) == top for n in (x, y) for i in range(n.first, n.last))
-
-    stack = [(root, root)]
-    while stack:
-        x, y = stack.pop()
-        if not may_link(x, y, percent):
-            continue
-        if spanning and connected(x, y):
-            continue
-        if x.children or y.children:
-            stack.extend(expand(x, y))
-            continue
-        for i in range(x.first, x.last):
-            for j in range(max(y.first, i + 1) if x is y else y.first, y.last):
-                if (side and side[i] == side[j]) or (spanning and known.find(i) == known.find(j)):
-                    continue
-                p, q = ordered[i], ordered[j]
-                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+    known = Forest(len(sets))
+    if label is not None and spanning:
+        first: dict[int, int] = {}
+        for i, x in enumerate(label.tolist()):
+            known.join(i, first.setdefault(x, i))
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    for order, own, width in size_classes(sizes, percent):
+
+        def connected(x: Node, y: Node, order: np.ndarray = order) -> bool:
+            top = known.find(int(order[x.first]))
+            return spanning and all(known.find(int(i)) == top for n in (x, y) for i in order[n.first : n.last])
+
+        bits = np.stack([bitmap(sets[i], 2 * width) for i in order])
+        for a, _, c, _, near in traverse(bits, sizes[order], percent, own, connected):
+            for p, q in zip(*np.nonzero(near), strict=True):
+                i, j = int(order[a + p]), int(order[c + q])
+                if (side is not None and side[i] == side[j]) or (spanning and known.find(i) == known.find(j)):
                     continue
-                both = overlap(p, q)
-                if 100 * both >= percent * (len(p) + len(q) - both):
+                both = overlap(sets[i], sets[j])
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                     known.join(i, j)
-                    yield order[i], order[j]
+                    yield i, j
