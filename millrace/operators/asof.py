@@ -20,16 +20,22 @@ def nearest(left: DataFrame, right: DataFrame, key: str, at: str, ts: str, value
 
     row: left columns that identify a row; they come back with `value`, null where nothing is near enough.  most_us is at
     least any row's tolerance and sets the bucket size.  Ties: the earlier ts, then the smaller `tie`.  A null key or time
-    matches nothing.
+    matches nothing.  Both sides are sorted together within key and bucket, and only each row's neighbours before and after
+    are looked at, so the work grows with the rows and not with their pairs.
     """
-    l = left.withColumn("_at", micros(F.col(at))).withColumn("_tol", tolerance_us)
-    l = l.withColumn("_bucket", F.explode_outer(F.sequence(F.floor((F.col("_at") - F.col("_tol")) / most_us), F.floor((F.col("_at") + F.col("_tol")) / most_us))))
-    r = right.select(F.col(key).alias("_key"), micros(F.col(ts)).alias("_ts"), F.col(value).alias("_value"), (F.col(tie) if tie else F.lit(0)).alias("_tie"))
-    r = r.withColumn("_bucket", F.floor(F.col("_ts") / most_us))
-    gap = F.abs(F.col("_ts") - F.col("_at"))
-    near = l.join(r.withColumnRenamed("_bucket", "_in"), (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_in")) & (gap <= F.col("_tol")))
-    best = near.groupBy(*row).agg(F.min_by("_value", F.struct(gap, "_ts", "_tie")).alias(value))
-    return left.select(*row).distinct().join(best, row, "left")
+    cols = [f"_r{i}" for i in range(len(row))]
+    l = left.select(F.col(key).alias("_key"), micros(F.col(at)).alias("_t"), tolerance_us.alias("_tol"), *[F.col(c).alias(n) for c, n in zip(row, cols, strict=True)]).distinct()
+    l = l.withColumn("_bucket", F.explode_outer(F.sequence(F.floor((F.col("_t") - F.col("_tol")) / most_us), F.floor((F.col("_t") + F.col("_tol")) / most_us))))
+    r = right.select(F.col(key).alias("_key"), micros(F.col(ts)).alias("_t"), F.col(value).alias("_v"), (F.col(tie) if tie else F.lit(0)).alias("_tie")).where("_key IS NOT NULL AND _t IS NOT NULL")
+    r = r.groupBy("_key", "_t").agg(F.min_by(F.struct("_t", "_v"), "_tie").alias("_right")).withColumn("_bucket", F.floor(F.col("_t") / most_us))
+    both = l.withColumn("_is_left", F.lit(True)).unionByName(r.withColumn("_is_left", F.lit(False)), allowMissingColumns=True)
+    inside = W.partitionBy("_key", "_bucket")
+    before = F.last("_right", ignorenulls=True).over(inside.orderBy("_t", "_is_left").rowsBetween(W.unboundedPreceding, 0))
+    after = F.last("_right", ignorenulls=True).over(inside.orderBy(F.desc("_t"), F.desc("_is_left")).rowsBetween(W.unboundedPreceding, 0))
+    found = both.withColumns({"_before": before, "_after": after}).where("_is_left")
+    near = found.withColumn("_near", F.explode_outer(F.filter(F.array("_before", "_after"), lambda x: F.abs(x["_t"] - F.col("_t")) <= F.col("_tol"))))
+    best = near.groupBy(*cols).agg(F.min_by("_near._v", F.when(F.col("_near").isNotNull(), F.struct(F.abs(F.col("_near._t") - F.col("_t")), F.col("_near._t")))).alias(value))
+    return best.select(*[F.col(n).alias(c) for c, n in zip(row, cols, strict=True)], value)
 
 
 def last_before(left: DataFrame, right: DataFrame, key: str, at: str, ts: str, value: str, order: str, bucket_us: int = 86_400_000_000) -> DataFrame:

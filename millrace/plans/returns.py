@@ -98,14 +98,16 @@ def forward_windows(arts: DataFrame, prices: DataFrame, days: list[int] = DAYS_A
     """(article_id, theme, bias, signal, confidence, asset, date, days, ret, vol): first open to last close in [date, date + days].
 
     vol: the sample deviation of daily returns there, times sqrt(days).  Windows without prices give no row.
+    The result depends on asset and date alone, so it is worked out once for each such pair and then joined to the articles.
     """
     spark = arts.sparkSession
     horizon = spark.createDataFrame([(d,) for d in days], "days int")
-    points = arts.crossJoin(F.broadcast(horizon))
-    row = [*arts.columns, "days"]
+    points = arts.select("asset", "date").distinct().crossJoin(F.broadcast(horizon))
+    row = ["asset", "date", "days"]
     found = ahead(points, with_returns(prices), "asset", "date", F.col("days"), max(days)).groupBy(*row)
     out = found.agg(F.min_by("p_open", "p_date").alias("first"), F.max_by("p_close", "p_date").alias("last"), F.stddev_samp("p_return_1d").alias("sd"))
-    return out.select(*row, (F.try_divide(F.col("last"), F.col("first")) - 1).alias("ret"), (F.col("sd") * F.sqrt(F.col("days").cast("double"))).alias("vol"))
+    out = out.select(*row, (F.try_divide(F.col("last"), F.col("first")) - 1).alias("ret"), (F.col("sd") * F.sqrt(F.col("days").cast("double"))).alias("vol"))
+    return arts.join(out, ["asset", "date"]).select(*arts.columns, "days", "ret", "vol")
 
 
 FACTS = f"""{DAILY}, {ARTICLES},
