@@ -3,7 +3,7 @@
 1. Each document becomes its set of distinct word shingles; equal sets collapse to the smallest id.
 2. Sets that can be similar must meet.  A set of n shingles keeps at least percent/100 of them in any similar set, so under
    one order of all shingles similar sets share one of their first n - ceil(percent * n / 100) + 1.  Those are a set's
-   keys.  The order puts shingles that are common in the corpus last (by a sketch of counts over all documents, of fixed
+   keys, each with the band of sizes in which a similar set can lie.  The order puts shingles that are common in the corpus last (by a sketch of counts over all documents, of fixed
    size), so a common line or passage brings no documents together that are otherwise different.  Any order is exact;
    the sketch only saves work.  The smallest id with a key is the key's pivot; documents that share a pivot form its block.
 3. A block's members whose bitmaps rule out every partner in it, by a dual traversal of signature trees over the bitmaps,
@@ -70,12 +70,26 @@ def counter(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(44)).astype(np.int64) % SKETCH
 
 
-def keys(s: np.ndarray, percent: int, classes: np.ndarray) -> np.ndarray:
-    """The keys of a set: two sets of the asked similarity share one."""
+def size_bands(percent: int, most: int = 1 << 40) -> np.ndarray:
+    """Least sizes of bands about (100 / percent)^4 wide."""
+    edges = [1]
+    while edges[-1] < most:
+        edges.append(max(edges[-1] + 1, int(edges[-1] * (100 / max(percent, 50)) ** 4)))
+    return np.array(edges, dtype=np.int64)
+
+
+def keys(s: np.ndarray, percent: int, classes: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """The keys of a set: two sets of the asked similarity share one.
+
+    A key is a shingle and a band of sizes: the set's own, and the next one if a similar set can be so large.
+    """
     n = len(s)
     first = n + percent * n // -100 + 1  # n - ceil(percent * n / 100) + 1
     order = np.lexsort((s, classes[counter(s)]))
-    return s[order[:first]]
+    chosen = s[order[:first]]
+    band = int(np.searchsorted(bands, n, side="right"))
+    last = int(np.searchsorted(bands, 100 * n // percent, side="right"))
+    return np.concatenate([mix(chosen + np.uint64(b) * np.uint64(0x9E3779B97F4A7C15)) for b in range(band, last + 1)])
 
 
 def _set_key(s: np.ndarray) -> tuple[int, int]:
@@ -209,7 +223,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], int] = {}
-        rank = shared.value
+        rank, bands = shared.value, size_bands(percent)
         for batch in batches:
             made, ids = [], []
             held = 0
@@ -218,7 +232,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     continue  # an equal set with a smaller id has given these keys
                 if len(seen) < _SEEN:
                     seen[k] = doc
-                made.append(keys(s, percent, rank))
+                made.append(keys(s, percent, rank, bands))
                 ids.append(doc)
                 held += len(made[-1])
                 if held > 100_000:

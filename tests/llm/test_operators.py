@@ -106,7 +106,7 @@ def test_jaccard_chains_of_near_copies(spark, monkeypatch):
 
 
 def test_keys_meet_whatever_the_edit():
-    from millrace.llm.jaccard import SKETCH, commonness, keys
+    from millrace.llm.jaccard import SKETCH, commonness, keys, size_bands
 
     g = np.random.default_rng(5)
     for classes in (np.zeros(SKETCH, np.uint8), commonness(g.integers(0, 300, SKETCH))):
@@ -118,7 +118,7 @@ def test_keys_meet_whatever_the_edit():
                 t = np.unique(np.concatenate([g.permutation(s)[out:], g.integers(0, 2**63, int(g.integers(0, 1 + n // 10))).astype(np.uint64)]))
                 both = len(np.intersect1d(s, t))
                 if both and 100 * both >= percent * (len(s) + len(t) - both):
-                    assert np.intersect1d(keys(s, percent, classes), keys(t, percent, classes)).size, (n, percent)
+                    assert np.intersect1d(keys(s, percent, classes, size_bands(percent)), keys(t, percent, classes, size_bands(percent))).size, (n, percent)
 
 
 def test_quality_measures(docs, empty, rows, labels):
