@@ -1,7 +1,7 @@
 """Named queries over the tables, and their SQL."""
 
-from millrace.plans import analysis, files, frames, images, more, returns, scores, texts, validation
+from millrace.plans import analysis, files, frames, images, more, returns, scores, studies, texts, validation
 from millrace.plans.registry import ORACLES, QUERIES
 from millrace.streaming import queries as streams
 
-__all__ = ["ORACLES", "QUERIES", "analysis", "files", "frames", "images", "more", "returns", "scores", "streams", "texts", "validation"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "files", "frames", "images", "more", "returns", "scores", "streams", "studies", "texts", "validation"]
