@@ -89,7 +89,7 @@ def keys(s: np.ndarray, percent: int, classes: np.ndarray, bands: np.ndarray) ->
     chosen = s[order[:first]]
     band = int(np.searchsorted(bands, n, side="right"))
     last = int(np.searchsorted(bands, 100 * n // percent, side="right"))
-    return np.concatenate([mix(chosen + np.uint64(b) * np.uint64(0x9E3779B97F4A7C15)) for b in range(band, last + 1)])
+    return np.concatenate([mix(chosen + np.uint64(b * 0x9E3779B97F4A7C15 % 2**64)) for b in range(band, last + 1)])
 
 
 def _set_key(s: np.ndarray) -> tuple[int, int]:
