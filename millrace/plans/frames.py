@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.rolling import full, indicators
-from millrace.operators.calendar import filled, ohlcv, period_end, spine
+from millrace.operators.calendar import ohlcv, period_end, spine
 from millrace.plans.registry import query
 from millrace.plans.returns import with_returns
 from millrace.tables import ARTICLES, DAILY, articles, daily
@@ -24,15 +24,20 @@ def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("volatility", full(7, F.col("return_1d"), F.stddev_samp))
 
 
+ZEROED = ["n", "mean_signal", "mean_confidence", "bullish", "bearish", "open", "high", "low", "close", "volume", "ret", "mean_vol"]
+
+
 def _frame(spark: SparkSession, sf_dir: str, freq: str) -> DataFrame:
+    """A row for each asset and period, periods without articles or prices too: what was written, and the asset's bar."""
     a = articles(spark, sf_dir)
     arts = a.groupBy(period_end(F.col("date"), freq).alias("period")).agg(
         F.count("*").alias("n"), F.round(F.avg("signal"), 6).alias("mean_signal"), F.round(F.avg("confidence"), 6).alias("mean_confidence"),
         F.sum((F.col("bias") == "bullish").cast("long")).alias("bullish"), F.sum((F.col("bias") == "bearish").cast("long")).alias("bearish"),
     )
-    bars = ohlcv(_priced(spark, sf_dir).where("asset = '1-URGENT'"), freq).drop("asset")
-    bars = bars.withColumns({"ret": F.round("ret", 6), "mean_vol": F.round("mean_vol", 6)})
-    return filled(spine(a, "date", freq), arts, bars)
+    priced = _priced(spark, sf_dir)
+    bars = ohlcv(priced, freq).withColumns({"ret": F.round("ret", 6), "mean_vol": F.round("mean_vol", 6)})
+    frame = spine(a, "date", freq).crossJoin(priced.select("asset").distinct())
+    return frame.join(arts, "period", "left").join(bars, ["asset", "period"], "left").na.fill(0, ZEROED)
 
 
 def _frame_sql(freq: str) -> str:
@@ -41,13 +46,13 @@ def _frame_sql(freq: str) -> str:
     days = f"SELECT CAST(unnest(generate_series(min({end}), max({end}), {step})) AS DATE) AS period FROM articles"
     if freq == "M":
         days = "SELECT last_day(CAST(unnest(generate_series(date_trunc('month', min(date)), max(date), INTERVAL 1 MONTH)) AS DATE)) AS period FROM articles"
-    zero = ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("n", "mean_signal", "mean_confidence", "bullish", "bearish", "open", "high", "low", "close", "volume", "ret", "mean_vol"))
-    return f"""WITH {FRAME}, spine AS ({days}),
+    zero = ", ".join(f"coalesce({c}, 0) AS {c}" for c in ZEROED)
+    return f"""WITH {FRAME}, spine AS ({days}), assets AS (SELECT DISTINCT asset FROM daily),
 arts AS (SELECT {end} AS period, count(*) AS n, round(avg(signal), 6) AS mean_signal, round(avg(confidence), 6) AS mean_confidence,
   count(*) FILTER (bias = 'bullish') AS bullish, count(*) FILTER (bias = 'bearish') AS bearish FROM articles GROUP BY 1),
-bars AS (SELECT {end} AS period, arg_min(open, date) AS open, max(high) AS high, min(low) AS low, arg_max(close, date) AS close, sum(volume) AS volume,
-  round(product(1 + return_1d) - 1, 6) AS ret, round(avg(volatility), 6) AS mean_vol FROM priced WHERE asset = '1-URGENT' GROUP BY 1)
-SELECT period, {zero} FROM spine LEFT JOIN arts USING (period) LEFT JOIN bars USING (period)"""
+bars AS (SELECT asset, {end} AS period, arg_min(open, date) AS open, max(high) AS high, min(low) AS low, arg_max(close, date) AS close, sum(volume) AS volume,
+  round(product(1 + return_1d) - 1, 6) AS ret, round(avg(volatility), 6) AS mean_vol FROM priced GROUP BY 1, 2)
+SELECT asset, period, {zero} FROM spine CROSS JOIN assets LEFT JOIN arts USING (period) LEFT JOIN bars USING (asset, period)"""
 
 
 @query(_frame_sql("W"))
@@ -115,42 +120,43 @@ def indicators_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _indicators(spark, sf_dir, "b")
 
 
-MONTHS = f"""{FRAME}, months AS (SELECT last_day(date) AS period, product(1 + return_1d) - 1 AS ret, avg(volatility) AS vol FROM priced WHERE asset = '1-URGENT' GROUP BY 1),
-edges AS (SELECT quantile_cont(vol, 0.33) AS lo, quantile_cont(vol, 0.67) AS hi FROM months),
-regimes AS (SELECT period, ret, vol, CASE WHEN ret <= -0.05 THEN 'bear' WHEN ret <= 0.05 THEN 'sideways' WHEN ret > 0.05 THEN 'bull' END AS return_regime,
-  CASE WHEN vol <= lo THEN 'low' WHEN vol <= hi THEN 'medium' WHEN vol > hi THEN 'high' END AS vol_regime FROM months, edges)"""
+MONTHS = f"""{FRAME}, months AS (SELECT asset, last_day(date) AS period, product(1 + return_1d) - 1 AS ret, avg(volatility) AS vol FROM priced GROUP BY 1, 2),
+edges AS (SELECT asset, quantile_cont(vol, 0.33) AS lo, quantile_cont(vol, 0.67) AS hi FROM months GROUP BY 1),
+regimes AS (SELECT asset, period, ret, vol, CASE WHEN ret <= -0.05 THEN 'bear' WHEN ret <= 0.05 THEN 'sideways' WHEN ret > 0.05 THEN 'bull' END AS return_regime,
+  CASE WHEN vol <= lo THEN 'low' WHEN vol <= hi THEN 'medium' WHEN vol > hi THEN 'high' END AS vol_regime FROM months JOIN edges USING (asset))"""
 
 
 def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Months with their return regime, at -5 and 5 %, and volatility tercile; right ends belong to the lower bin."""
-    m = ohlcv(_priced(spark, sf_dir).where("asset = '1-URGENT'"), "M").select("period", "ret", F.col("mean_vol").alias("vol"))
-    edges = m.agg(F.percentile("vol", F.lit(0.33)).alias("lo"), F.percentile("vol", F.lit(0.67)).alias("hi"))
+    """Each asset's months with their return regime, at -5 and 5 %, and volatility tercile; right ends belong to the lower bin."""
+    m = ohlcv(_priced(spark, sf_dir), "M").select("asset", "period", "ret", F.col("mean_vol").alias("vol"))
+    edges = m.groupBy("asset").agg(F.percentile("vol", F.lit(0.33)).alias("lo"), F.percentile("vol", F.lit(0.67)).alias("hi"))
     r, v = F.col("ret"), F.col("vol")
-    return m.crossJoin(F.broadcast(edges)).select(
-        "period", "ret", "vol",
+    return m.join(edges, "asset").select(
+        "asset", "period", "ret", "vol",
         F.when(r <= -0.05, "bear").when(r <= 0.05, "sideways").when(r > 0.05, "bull").alias("return_regime"),
         F.when(v <= F.col("lo"), "low").when(v <= F.col("hi"), "medium").when(v > F.col("hi"), "high").alias("vol_regime"),
     )
 
 
-@query(f"WITH {MONTHS} SELECT period, round(ret, 6) AS ret, round(vol, 6) AS vol, return_regime, vol_regime FROM regimes")
+@query(f"WITH {MONTHS} SELECT asset, period, round(ret, 6) AS ret, round(vol, 6) AS vol, return_regime, vol_regime FROM regimes")
 def market_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regimes(spark, sf_dir).select("period", F.round("ret", 6).alias("ret"), F.round("vol", 6).alias("vol"), "return_regime", "vol_regime")
+    return regimes(spark, sf_dir).select("asset", "period", F.round("ret", 6).alias("ret"), F.round("vol", 6).alias("vol"), "return_regime", "vol_regime")
 
 
-@query(f"""WITH {MONTHS}, j AS (SELECT return_regime, theme FROM articles a JOIN regimes r ON r.period = last_day(a.date))
+@query(f"""WITH {MONTHS}, j AS (SELECT return_regime, theme FROM articles a JOIN regimes r ON r.asset = a.asset AND r.period = last_day(a.date))
 SELECT return_regime, theme, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY return_regime), 6) AS percent FROM j GROUP BY 1, 2""")
 def regime_theme_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = articles(spark, sf_dir).withColumn("period", F.last_day("date")).join(F.broadcast(regimes(spark, sf_dir)), "period")
+    """Themes of articles by the return regime of their asset's month."""
+    j = articles(spark, sf_dir).withColumn("period", F.last_day("date")).join(regimes(spark, sf_dir), ["asset", "period"])
     n = j.groupBy("return_regime", "theme").agg(F.count("*").alias("n"))
     return n.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(W.partitionBy("return_regime")), 6))
 
 
-@query(f"""WITH {MONTHS}, per AS (SELECT last_day(date) AS period, count(*) AS n, avg(signal) AS signal FROM articles GROUP BY 1)
-SELECT return_regime, vol_regime, count(*) AS months, round(avg(n), 6) AS mean_articles, round(avg(signal), 6) AS mean_signal FROM regimes LEFT JOIN per USING (period) GROUP BY 1, 2""")
+@query(f"""WITH {MONTHS}, per AS (SELECT asset, last_day(date) AS period, count(*) AS n, avg(signal) AS signal FROM articles GROUP BY 1, 2)
+SELECT return_regime, vol_regime, count(*) AS months, round(avg(n), 6) AS mean_articles, round(avg(signal), 6) AS mean_signal FROM regimes LEFT JOIN per USING (asset, period) GROUP BY 1, 2""")
 def regime_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = articles(spark, sf_dir).groupBy(F.last_day("date").alias("period")).agg(F.count("*").alias("n"), F.avg("signal").alias("signal"))
-    return regimes(spark, sf_dir).join(per, "period", "left").groupBy("return_regime", "vol_regime").agg(F.count("*").alias("months"), F.round(F.avg("n"), 6).alias("mean_articles"), F.round(F.avg("signal"), 6).alias("mean_signal"))
+    per = articles(spark, sf_dir).groupBy("asset", F.last_day("date").alias("period")).agg(F.count("*").alias("n"), F.avg("signal").alias("signal"))
+    return regimes(spark, sf_dir).join(per, ["asset", "period"], "left").groupBy("return_regime", "vol_regime").agg(F.count("*").alias("months"), F.round(F.avg("n"), 6).alias("mean_articles"), F.round(F.avg("signal"), 6).alias("mean_signal"))
 
 
 @query(f"""WITH {ARTICLES} SELECT CAST(year(date) AS INTEGER) AS year, {', '.join(f'count(*) FILTER (month(date) = {m}) AS m{m:02d}' for m in range(1, 13))} FROM articles GROUP BY 1""")
@@ -178,24 +184,24 @@ def yoy_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("month", *[F.col(f"`{y}`").alias(f"y{y}") for y in range(1995, 2002)])
 
 
-@query(f"""WITH {MONTHS}, n AS (SELECT *, row_number() OVER (ORDER BY period) - 1 AS i FROM months)
-SELECT count(*) AS n, round(regr_slope(ret, i), 6) AS ret_slope, round(regr_slope(vol, i), 6) AS vol_slope, round(regr_intercept(ret, i), 6) AS ret_intercept, round(corr(ret, vol), 6) AS ret_vol_corr FROM n""")
+@query(f"""WITH {MONTHS}, n AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY period) - 1 AS i FROM months)
+SELECT asset, count(*) AS n, round(regr_slope(ret, i), 6) AS ret_slope, round(regr_slope(vol, i), 6) AS vol_slope, round(regr_intercept(ret, i), 6) AS ret_intercept, round(corr(ret, vol), 6) AS ret_vol_corr FROM n GROUP BY 1""")
 def trend_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = regimes(spark, sf_dir).withColumn("i", F.row_number().over(W.orderBy("period")) - 1)  # months: few rows
-    return m.agg(F.count("*").alias("n"), F.round(F.regr_slope("ret", "i"), 6).alias("ret_slope"), F.round(F.regr_slope("vol", "i"), 6).alias("vol_slope"), F.round(F.regr_intercept("ret", "i"), 6).alias("ret_intercept"), F.round(F.corr("ret", "vol"), 6).alias("ret_vol_corr"))
+    m = regimes(spark, sf_dir).withColumn("i", F.row_number().over(W.partitionBy("asset").orderBy("period")) - 1)
+    return m.groupBy("asset").agg(F.count("*").alias("n"), F.round(F.regr_slope("ret", "i"), 6).alias("ret_slope"), F.round(F.regr_slope("vol", "i"), 6).alias("vol_slope"), F.round(F.regr_intercept("ret", "i"), 6).alias("ret_intercept"), F.round(F.corr("ret", "vol"), 6).alias("ret_vol_corr"))
 
 
-@query(f"""WITH {MONTHS}, {', '.join(f"r{k} AS (SELECT period, CASE WHEN count(ret) OVER (w ROWS {k - 1} PRECEDING) = {k} THEN avg(ret) OVER (w ROWS {k - 1} PRECEDING) END AS m, CASE WHEN count(ret) OVER (w ROWS {k - 1} PRECEDING) = {k} THEN stddev_samp(ret) OVER (w ROWS {k - 1} PRECEDING) END AS s FROM months WINDOW w AS (ORDER BY period))" for k in (3, 6, 12))}
-SELECT r3.period, {', '.join(f'round(r{k}.m, 6) AS mean_{k}, round(r{k}.m - r{k}.s, 6) AS low_{k}, round(r{k}.m + r{k}.s, 6) AS high_{k}, round(greatest(0, 1 - r{k}.s / nullif(abs(r{k}.m), 0)), 6) AS stability_{k}' for k in (3, 6, 12))}
-FROM r3 JOIN r6 USING (period) JOIN r12 USING (period)""")
+@query(f"""WITH {MONTHS}, {', '.join(f"r{k} AS (SELECT asset, period, CASE WHEN count(ret) OVER (w ROWS {k - 1} PRECEDING) = {k} THEN avg(ret) OVER (w ROWS {k - 1} PRECEDING) END AS m, CASE WHEN count(ret) OVER (w ROWS {k - 1} PRECEDING) = {k} THEN stddev_samp(ret) OVER (w ROWS {k - 1} PRECEDING) END AS s FROM months WINDOW w AS (PARTITION BY asset ORDER BY period))" for k in (3, 6, 12))}
+SELECT r3.asset, r3.period, {', '.join(f'round(r{k}.m, 6) AS mean_{k}, round(r{k}.m - r{k}.s, 6) AS low_{k}, round(r{k}.m + r{k}.s, 6) AS high_{k}, round(greatest(0, 1 - r{k}.s / nullif(abs(r{k}.m), 0)), 6) AS stability_{k}' for k in (3, 6, 12))}
+FROM r3 JOIN r6 USING (asset, period) JOIN r12 USING (asset, period)""")
 def rolling_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rolling mean, one-deviation bands and stability of monthly returns over 3, 6 and 12 months."""
-    m = regimes(spark, sf_dir).select("period", "ret")
-    order = W.orderBy("period")  # months: few rows
+    """Rolling mean, one-deviation bands and stability of each asset's monthly returns over 3, 6 and 12 months."""
+    m = regimes(spark, sf_dir).select("asset", "period", "ret")
+    order = W.partitionBy("asset").orderBy("period")
     cols = []
     for k in (3, 6, 12):
         w = order.rowsBetween(-(k - 1), 0)
         whole = F.count("ret").over(w) == k
         mean, sd = F.when(whole, F.avg("ret").over(w)), F.when(whole, F.stddev_samp("ret").over(w))
         cols += [F.round(mean, 6).alias(f"mean_{k}"), F.round(mean - sd, 6).alias(f"low_{k}"), F.round(mean + sd, 6).alias(f"high_{k}"), F.round(F.greatest(F.lit(0.0), 1 - F.try_divide(sd, F.abs(mean))), 6).alias(f"stability_{k}")]
-    return m.select("period", *cols)
+    return m.select("asset", "period", *cols)

@@ -95,23 +95,30 @@ def alert_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered_fold(alert_rows(spark, sf_dir), "asset", "t", alert_step, start, "asset string, event_id long, signature string, sent boolean")
 
 
-@query("""WITH c AS (SELECT event_type AS asset, event_id, ts FROM events WHERE event_id % 3 = 0)
-SELECT asset, event_id, count(*) OVER (PARTITION BY asset ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS last_hour, count(*) OVER (PARTITION BY asset ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS last_day FROM c""")
-def sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A third of the events, as the SQL has it; sliding_counts_all has all."""
-    return sliding(load(spark, sf_dir, "events").where("event_id % 3 = 0"))
+_SLIDING = """SELECT event_type AS asset, event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS last_hour,
+  count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS last_day FROM events"""
+
 
+def sliding(events: DataFrame, bucket_us: int = 86_400_000_000) -> DataFrame:
+    """Of each event, how many of its type came in the hour and in the day up to it.
+
+    Events are counted by type and day: a row sees its own day and, as guests, the rows of the day before, so a type is
+    worked on by as many tasks as it has days.
+    """
+    e = events.select(F.col("event_type").alias("asset"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).withColumn("day", F.floor(F.col("us") / bucket_us))
+    both = e.withColumn("own", F.lit(True)).unionByName(e.withColumns({"day": F.col("day") + 1, "own": F.lit(False)}))
+    w = lambda hours: W.partitionBy("asset", "day").orderBy("us").rangeBetween(-hours * 3_600_000_000, 0)
+    return both.withColumns({"last_hour": F.count("*").over(w(1)), "last_day": F.count("*").over(w(24))}).where("own").select("asset", "event_id", "last_hour", "last_day")
 
-def sliding(events: DataFrame) -> DataFrame:
-    """Of each event, how many of its type came in the hour and in the day up to it."""
-    e = events.select(F.col("event_type").alias("asset"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    w = lambda hours: W.partitionBy("asset").orderBy("us").rangeBetween(-hours * 3_600_000_000, 0)
-    return e.select("asset", "event_id", F.count("*").over(w(1)).alias("last_hour"), F.count("*").over(w(24)).alias("last_day"))
+
+@query(_SLIDING)
+def sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sliding(load(spark, sf_dir, "events"))
 
 
-@query("""SELECT event_type AS asset, event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS last_hour,
-  count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS last_day FROM events""")
+@query(_SLIDING)
 def sliding_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as sliding_counts, under its former name."""
     return sliding(load(spark, sf_dir, "events"))
 
 
@@ -192,7 +199,7 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = min(max(share if share is not None else 0.5, 0.01), 0.99)
     d = d.withColumn("weight", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
     train, test = d.where("fold < 4").cache(), d.where("fold = 4")
-    models = {"boosted_trees": GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.1, weightCol="weight", seed=1), "forest": RandomForestClassifier(numTrees=30, maxDepth=8, weightCol="weight", seed=1), "logistic": LogisticRegression(weightCol="weight")}
+    models = {"boosted_trees": GBTClassifier(maxIter=100, maxDepth=4, stepSize=0.1, weightCol="weight", seed=1), "forest": RandomForestClassifier(numTrees=100, maxDepth=8, weightCol="weight", seed=1), "logistic": LogisticRegression(weightCol="weight")}
     out = None
     for name, model in models.items():
         steps = [VectorAssembler(inputCols=FEATURES, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), model]
@@ -203,7 +210,7 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def monthly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Months grouped by return and volatility."""
+    """Each asset's months, grouped by return and volatility."""
     from pyspark.ml.clustering import KMeans
 
     from millrace.plans.frames import regimes
@@ -211,4 +218,4 @@ def monthly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = regimes(spark, sf_dir).where("ret IS NOT NULL AND vol IS NOT NULL")
     v = VectorAssembler(inputCols=["ret", "vol"], outputCol="raw").transform(m)
     v = StandardScaler(inputCol="raw", outputCol="features").fit(v).transform(v)
-    return KMeans(k=3, seed=1).fit(v).transform(v).select("period", "ret", "vol", F.col("prediction").alias("cluster"))
+    return KMeans(k=3, seed=1).fit(v).transform(v).select("asset", "period", "ret", "vol", F.col("prediction").alias("cluster"))
