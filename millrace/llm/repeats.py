@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import narrowed, written
+from millrace.llm.shared import by_key, dropped, narrowed, written
 from millrace.llm.suffixes import same_as_before, sort_suffixes
 from millrace.llm.textkit import _BYTE, mix, powers, signed, slices
 
@@ -216,19 +216,23 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tex
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())], names=["id", "removed", "spans", "kept", "kept_text"])
 
     measured = written(source.mapInArrow(measure, "id long, n long, sha string"), "measured")
-    firsts = measured.groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    firsts = written(measured.groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "firsts")
     named = measured.groupBy("id").agg(F.min("sha").alias("sha"), F.max("sha").alias("other"), F.max("n").alias("n")).where(f"sha = other AND n >= {WINDOW}")
-    reps = named.join(firsts, "sha").where("id = rep").select("id")
+    reps = named.join(firsts.select(F.col("rep").alias("id"), "sha"), ["id", "sha"]).select("id")
 
-    found = source.mapInArrow(find_anchors, "h long, id long, places array<long>")
-    counted = found.withColumn("occurs", F.expr("sum(size(places)) OVER (PARTITION BY h)")).where("occurs > 1")
+    found = written(source.mapInArrow(find_anchors, "h long, id long, places array<long>"), "anchors")
+    repeated = found.groupBy("h").agg(F.sum(F.size("places")).alias("occurs"), F.count("*").alias("docs")).where("occurs > 1")
+    repeated = written(repeated, "repeated")
+    counted = by_key(narrowed(found, repeated, "h"), repeated, ["h"], n="docs")
     counted = counted.select("h", "id", F.explode("places").alias("place"), "occurs")
     places = counted.join(reps, "id", "left_semi").groupBy("id").agg(F.collect_list(F.struct("place", "h", "occurs")).alias("x"))
     places = written(places.select("id", F.col("x.place").alias("place"), F.col("x.h").alias("h"), F.col("x.occurs").alias("occurs")), "places")
-    strings = narrowed(source, places.select("id"), "id").hint("merge").join(places, "id").select("id", "text", "place", "h", "occurs").mapInArrow(cut_out, "h long, id long, low long, windows long, occurs long, bytes binary")
+    dropped(found, repeated)
+    strings = narrowed(source, places, "id").hint("merge").join(places, "id").select("id", "text", "place", "h", "occurs").mapInArrow(cut_out, "h long, id long, low long, windows long, occurs long, bytes binary")
     salted = strings.withColumn("salt", F.when(F.col("occurs") > HOT, F.pmod(F.xxhash64("id"), F.ceil(F.col("occurs") / SHARE))).otherwise(F.lit(0)).cast("long"))
     sorted_ = salted.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(sort_blocks, "id long, start long, stop long, w1 long, w2 long")
     sorted_ = written(sorted_, "windows")
+    dropped(places)
 
     runs = sorted_.where("stop IS NOT NULL").select("id", "start", "stop")
     left = sorted_.where("stop IS NULL")
@@ -236,9 +240,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tex
     late = left.join(earliest, ["w1", "w2"]).where("struct(id, start) > first").select("id", "start", (F.col("start") + WINDOW).alias("stop"))
     by_doc = runs.unionByName(late).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("x"))
     by_doc = written(by_doc.select("id", F.col("x.start").alias("start"), F.col("x.stop").alias("stop")), "runs")
-    cut = narrowed(source, by_doc.select("id"), "id").hint("merge").join(by_doc, "id").select("id", "text", "start", "stop").mapInArrow(remove, "id long, removed long, spans long, kept string, kept_text string").dropDuplicates(["id"])
+    dropped(sorted_)
+    cut = narrowed(source, by_doc, "id").hint("merge").join(by_doc, "id").select("id", "text", "start", "stop").mapInArrow(remove, "id long, removed long, spans long, kept string, kept_text string").dropDuplicates(["id"])
 
-    out = measured.join(firsts, "sha").select("id", "n", "sha", F.expr(f"id <> rep AND n >= {WINDOW}").alias("copy"))
+    out = by_key(measured, firsts, ["sha"], n="copies").select("id", "n", "sha", F.expr(f"id <> rep AND n >= {WINDOW}").alias("copy"))
     out = out.join(cut, "id", "left")
     empty = hashlib.sha256(b"").hexdigest()
     copy = F.col("copy")
