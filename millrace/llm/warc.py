@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import by_key, written
+
 SEGMENT_BYTES = 32_768
 CHUNK_BYTES = 8_192
 #: Shorter payloads are never revisits.
@@ -68,9 +70,9 @@ def record(headers: dict[str, object], block: bytes) -> str:
     return f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n{block.decode()}"
 
 
-def records(page: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment_bytes: int = SEGMENT_BYTES) -> Iterator[str]:
+def records(name: str, url: str | None, payload: bytes, digest: str, refers_to: str | None, segment_bytes: int = SEGMENT_BYTES) -> Iterator[str]:
     """The records of one page."""
-    own = f"{PREFIX}{page}>"
+    own = f"{PREFIX}{name}>"
     uri = "".join(c if c > " " else f"%{ord(c):02X}" for c in url) if url else None
     common = {"WARC-Date": DATE, "WARC-Target-URI": uri}
     if refers_to is not None:
@@ -90,26 +92,24 @@ def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> No
     """Write pages (page_id, url, html) to WARC files under path.
 
     Of pages with equal payloads (UTF-8 of html; null: empty) of LEAST_REVISIT bytes or more, the one with the largest
-    page_id is the response that all others revisit.  Rows need a page_id: one without raises.  Repeated rows are written
-    each; of rows with one page_id and payload none revisits the others.  Extra columns are ignored.  An empty table
-    gives an empty folder.
+    page_id is the response that all others revisit.  A row without page_id is a response under a name of its own, which
+    no other revisits.  Repeated rows are written each; of rows with one page_id and payload none revisits the others.
+    Extra columns are ignored.  An empty table gives an empty folder.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("sha", F.sha1("html"))
+    rows = rows.withColumn("sha", F.sha1("html")).withColumn("name", F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("unnamed-"), F.monotonically_increasing_id().cast("string"))))
     keyed = rows.select("page_id", "sha", F.octet_length("html").alias("n")).where(f"n >= {LEAST_REVISIT}")
-    largest = keyed.groupBy("sha", "n").agg(F.max("page_id").alias("response"), F.count("*").alias("copies")).where("copies > 1")
-    seen = keyed.join(largest, ["sha", "n"]).where("page_id <> response").select("page_id", "sha", "response").distinct()
+    largest = written(keyed.where("page_id IS NOT NULL").groupBy("sha", "n").agg(F.max("page_id").alias("response"), F.count("*").alias("copies")).where("copies > 1"), "largest")
+    seen = by_key(keyed, largest, ["sha", "n"], n="copies").where("page_id <> response").select("page_id", "sha", "response").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[str] = []
-            for page, url, html, sha, response in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if page is None:
-                    raise ValueError("a page without page_id can't be named in an archive")
-                out.extend(records(page, url, html.encode(), sha, response, segment_bytes))
+            for name, url, html, sha, response in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out.extend(records(name, url, html.encode(), sha, response, segment_bytes))
             yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
 
-    lines = rows.join(seen, ["page_id", "sha"], "left").select("page_id", "url", "html", "sha", "response").mapInArrow(run, "value string")
+    lines = rows.join(seen, ["page_id", "sha"], "left").select("name", "url", "html", "sha", F.col("response").cast("string")).mapInArrow(run, "value string")
     lines.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_A_FILE).option("compression", "gzip").text(path)
 
 
@@ -120,7 +120,7 @@ def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     at = 0
     while at < len(raw):
         stop = raw.index(b"\r\n\r\n", at)
-        version, *lines = raw[at:stop].decode().split("\r\n")
+        version, *lines = raw[at:stop].decode(errors="replace").split("\r\n")
         if not version.startswith("WARC/"):
             raise ValueError(f"no record at byte {at}")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
@@ -167,35 +167,46 @@ def reassemble(parts: DataFrame) -> DataFrame:
     return single.unionByName(whole.select(F.col("origin").alias("record_id"), "type", "uri", "digest", "refers_to", "block", "whole"))
 
 
+def page_of(name: str | None) -> int | None:
+    """The page_id in a record's name, null for names that write() doesn't give."""
+    tail = name[len(PREFIX) : -1] if name and name.startswith(PREFIX) else ""
+    return int(tail) if tail.lstrip("-").isdigit() else None
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per page of the archives: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload, digest_ok.
+    """One row per page of the archives: record_id, page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload, digest_ok.
 
-    A revisit's payload is null, its length and digest are those it was written with.  A record with missing segments or
-    bad framing has a null payload and digest_ok false.
+    Archives may be others' than write()'s: record names are any text, and page_id and refers_to are then null.  Only
+    response, resource and revisit records are pages; warcinfo, request, metadata and the like are passed over.  A
+    resource's block is its payload.  A revisit's payload is null, its length (null if it isn't told) and digest are those
+    it was written with.  A record with missing segments or bad framing has a null payload and digest_ok false;
+    digest_ok is null where a record names no SHA-1 digest in hexadecimal.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for name, kind, uri, digest, refers, block, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                page = lambda x: int(x[len(PREFIX) : -1]) if x else None
-                head, _, body = (block or b"").partition(b"\r\n\r\n")
+                head, _, body = (b"", b"", block or b"") if kind == "resource" else (block or b"").partition(b"\r\n\r\n")
                 http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
                 payload, n = None, None
-                want = (digest or "").removeprefix("sha1:")
+                want = (digest or "").lower().removeprefix("sha1:")
                 if kind == "revisit":
-                    n, ok = int(http.get(b"x-payload-length", 0)), True
+                    told = http.get(b"x-payload-length", b"")
+                    n, ok = int(told) if told.isdigit() else None, True
                 else:
                     try:
-                        payload = (unchunked(body) if http.get(b"transfer-encoding") == b"chunked" else body) if whole else None
+                        payload = (unchunked(body) if http.get(b"transfer-encoding", b"").lower() == b"chunked" else body) if whole else None
                     except ValueError:
                         payload = None
-                    ok = payload is not None and hashlib.sha1(payload).hexdigest() == want
-                    n, want = (len(payload), hashlib.sha1(payload).hexdigest()) if payload is not None else (None, want)
-                rows.append((page(name), uri, kind, page(refers), n, want, payload, ok))
-            types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.bool_()]
-            cols = list(zip(*rows, strict=True)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload", "digest_ok"])
-
-    whole = reassemble(read_records(spark, path)).select("record_id", "type", "uri", "digest", "refers_to", "block", "whole")
-    return whole.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, digest_ok boolean")
+                    own = hashlib.sha1(payload).hexdigest() if payload is not None else None
+                    ok = False if own is None else own == want if len(want) == 40 else None
+                    n, want = (len(payload), own) if payload is not None else (None, want)
+                rows.append((name, page_of(name), uri, kind, page_of(refers), n, want, payload, ok))
+            types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.bool_()]
+            cols = list(zip(*rows, strict=True)) or [()] * 9
+            names = ["record_id", "page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload", "digest_ok"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+    whole = reassemble(read_records(spark, path)).where("type IN ('response', 'resource', 'revisit')").select("record_id", "type", "uri", "digest", "refers_to", "block", "whole")
+    return whole.mapInArrow(run, "record_id string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, digest_ok boolean")
