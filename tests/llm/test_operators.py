@@ -250,10 +250,11 @@ def test_suffix_sort():
 
 
 def test_licenses(spark, docs, empty):
-    from millrace.llm.licenses import MARKS, RULES, SENTENCES, scan
+    from millrace.llm.licenses import ALL_SENTENCES, LINES, MARKS, NAMED, RULES, scan
 
-    assert all(any(m in s for m in MARKS) for s in SENTENCES)
-    assert {x for _, ids in RULES for x in ids} <= set(SENTENCES.values())
+    assert all(any(m in s for m in MARKS) for s in ALL_SENTENCES)
+    known = {y for x in ALL_SENTENCES.values() for y in x.split()} | {f"{x.lower()}-under" for x in NAMED.values()} | {f"spdx-{x}" for x in LINES.values()}
+    assert {x for _, ids in RULES for x in ids} <= known
     texts = ["Prose. Released under the MIT  License.\nAll-Rights reserved.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3", "you may obtain a copy of the License at\nReleased under the MIT License", None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.sentences, r.licenses, r.unmatched) for r in scan(df).collect()}
