@@ -30,12 +30,11 @@ SENTIMENT = {
 OPTION_WORDS = ["call", "put", "option", "strike", "expiry", "delta", "gamma", "theta", "vega", "volatility", "premium", "exercise", "assignment", "otm", "itm", "atm", "spread", "straddle", "strangle", "collar", "butterfly", "condor"]
 SPAM = ["click here", "subscribe now", "limited time", "act now", "free trial", "guaranteed profit"]
 COMMON = ["the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "up", "about", "into", "through", "during", "before", "after", "above", "below", "between", "among", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might"]
-# End of fixed values.
-
 NUMBER = r"[0-9,]+(?:\.[0-9]+)?"
 STRIKE = rf"\$?({NUMBER})[ \t\r\n]*(?:strike|k)"
-NOTIONAL = rf"\$({NUMBER})[ \t\r\n]*(thousand|million|billion|k|m|b)"
+NOTIONAL = rf"\$({NUMBER})[ \t\r\n]*(thousand|million|billion|k|m|b)\b"
 PERCENT = r"([0-9]+(?:\.[0-9]+)?)[ \t\r\n]*%"
+# End of fixed values.
 
 
 def lower(text: Column) -> Column:
@@ -55,23 +54,30 @@ def occurrences(p: Column, phrase: str) -> Column:
     return (F.length(p) - F.length(F.replace(p, F.lit(phrase), F.lit("")))) / len(phrase)
 
 
-def weighted(p: Column, words: Column, terms: list[str]) -> Column:
-    """Single words count one, phrases two."""
-    out = F.size(F.filter(words, lambda w: w.isin([t for t in terms if " " not in t]))).cast("double")
-    for t in terms:
-        if " " in t:
-            out = out + 2 * occurrences(p, t)
-    return out
+def word_count(p: Column) -> Column:
+    """Words of a plain text."""
+    return F.when(p == "", 0).otherwise(F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit(""))) + 1)
+
+
+def words_among(p: Column, terms: list[str]) -> Column:
+    """How many words of a plain text are among terms: one scan of the text, whatever the number of terms."""
+    return F.regexp_count(F.concat(F.lit(" "), p, F.lit(" ")), F.lit(f" (?:{'|'.join(terms)})(?= )"))
 
 
-def counted(p: Column, words: Column, terms: list[str]) -> Column:
-    out = F.size(F.filter(words, lambda w: w.isin([t for t in terms if " " not in t]))).cast("double")
+def counted(p: Column, terms: list[str], phrase: float = 1) -> Column:
+    """Words of a plain text that are among terms, and `phrase` for each occurrence of a term of several words."""
+    out = words_among(p, [t for t in terms if " " not in t]).cast("double")
     for t in terms:
         if " " in t:
-            out = out + occurrences(p, t)
+            out = out + phrase * occurrences(p, t)
     return out
 
 
+def sentence_count(t: Column) -> Column:
+    """Pieces between runs of .!? that aren't blank."""
+    return F.regexp_count(t, F.lit("[ \\n\\r\\t]*+[^ \\n\\r\\t.!?][^.!?]*+"))
+
+
 def numbers(text: Column, pattern: str, group: int = 1) -> Column:
     """The numbers that a pattern's group finds, without their commas; what isn't a number is left out."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -118,28 +124,27 @@ def without_noise(text: Column) -> Column:
     return F.array_join(F.aggregate(F.split(F.coalesce(text, F.lit("")), "\n"), start, step, lambda a: a["out"]), "\n")
 
 
-def english(words: Column) -> Column:
-    """More than a tenth of the words are common English ones."""
-    return F.try_divide(F.size(F.filter(words, lambda w: w.isin(COMMON))), F.size(words)) > 0.1
+def english(p: Column) -> Column:
+    """More than a tenth of a plain text's words are common English ones; null without words."""
+    return F.try_divide(words_among(p, COMMON), word_count(p)) > 0.1
 
 
-def relevance(words: Column) -> Column:
-    """Option words per hundred words, at most one."""
-    n = F.size(words)
-    return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), F.size(F.filter(words, lambda w: w.isin(OPTION_WORDS))) / F.greatest(n / 100, F.lit(1.0))))
+def relevance(p: Column) -> Column:
+    """Option words per hundred words of a plain text, at most one."""
+    n = word_count(p)
+    return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), words_among(p, OPTION_WORDS) / F.greatest(n / 100, F.lit(1.0))))
 
 
 def structure(text: Column) -> Column:
     """0 to 100: less for under two paragraphs, under three sentences, or sentences under 5 or over 50 words on average."""
     t = F.coalesce(text, F.lit(""))
-    sentences = F.filter(F.split(t, "[.!?]+"), lambda s: F.trim(F.translate(s, "\n\r\t", "   ")) != "")
-    lengths = F.aggregate(sentences, F.lit(0), lambda a, s: a + F.size(F.filter(F.split(F.translate(s, "\n\r\t", "   "), " "), lambda w: w != "")))
-    mean = F.try_divide(lengths, F.size(sentences))
-    score = 100.0 - F.when(F.size(F.split(t, "\n\n")) < 2, 20).otherwise(0) - F.when(F.size(sentences) < 3, 30).otherwise(0) - F.when(mean < 5, 15).when(mean > 50, 10).otherwise(0)
-    return F.when(F.size(sentences) == 0, F.when(F.trim(F.translate(t, "\n\r\t", "   ")) == "", 0.0).otherwise(score)).otherwise(score)
+    sentences = sentence_count(t)
+    mean = F.try_divide(F.regexp_count(t, F.lit("[^ \\n\\r\\t.!?]+")), sentences)
+    score = 100.0 - F.when(F.size(F.split(t, "\n\n")) < 2, 20).otherwise(0) - F.when(sentences < 3, 30).otherwise(0) - F.when(mean < 5, 15).when(mean > 50, 10).otherwise(0)
+    return F.when(sentences == 0, F.when(F.trim(F.translate(t, "\n\r\t", "   ")) == "", 0.0).otherwise(score)).otherwise(score)
 
 
-def content_quality(text: Column, title: Column, p: Column, words: Column) -> Column:
+def content_quality(text: Column, title: Column, p: Column) -> Column:
     """0 to 100: length, title, spam, place-holder text and language, four fifths; structure, one fifth."""
     n, m = F.length(F.trim(text)), F.length(F.trim(title))
     spam = sum((p.contains(s).cast("int") for s in SPAM), F.lit(0))
@@ -149,6 +154,6 @@ def content_quality(text: Column, title: Column, p: Column, words: Column) -> Co
         - F.when(m < 10, 15).when(m > 200, 5).otherwise(0)
         - F.least(spam * 15, F.lit(45))
         - F.when(p.contains("lorem ipsum") | p.contains("test test") | (n <= 50), 25).otherwise(0)
-        - F.when(F.coalesce(english(words), F.lit(False)), 0).otherwise(20)
+        - F.when(F.coalesce(english(p), F.lit(False)), 0).otherwise(20)
     )
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 0.8 * score + 0.2 * structure(text)))

@@ -27,9 +27,9 @@ def readability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", F.round(206.835 - 1.015 * n / s - 84.6 * y / n + 3.7e-7, 4).alias("flesch"), F.round(0.39 * n / s + 11.8 * y / n - 15.59 + 3.7e-7, 4).alias("grade"), F.round(0.4 * (n / s + 100 * h / n) + 3.7e-7, 4).alias("fog"), F.round(4.71 * k / n + 0.5 * n / s - 21.43 + 3.7e-7, 4).alias("ari"))
 
 
+# Patterns of option numbers and dates, and phrases that tell a flow's direction.
 GREEKS = r"(?:delta|gamma|theta|vega)[ \t]*(?:of|:)?[ \t]*([0-9]+(?:\.[0-9]+)?)"
 EXPIRY = r"(?:exp|expir|expires?)[ \t]*(?:on|in)?[ \t]*([a-z]{3,9}[ \t]*[0-9]{1,2}(?:st|nd|rd|th)?)"
-# Phrases that tell a flow's direction.
 UP = ["call buying", "put selling", "gamma squeeze", "skew firming", "upside flow", "bullish flow", "call dominance", "positive gamma", "long gamma", "call spread buying", "protective put selling", "vol selling in puts", "skew compression"]
 DOWN = ["put buying", "call selling", "negative gamma", "skew steepening", "downside protection", "bearish flow", "put dominance", "short gamma", "call spread selling", "protective call buying", "put spread buying", "vol buying in puts", "skew expansion"]
 # End of fixed values.

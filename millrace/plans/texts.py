@@ -34,10 +34,9 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
   round((length(text) - length(translate(text, '{T.UPPER}', '')))::DOUBLE / nullif(length(text), 0), 6) AS capital_ratio FROM words_""")
 def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, w = F.col("text"), F.col("w")
-    sentences = F.filter(F.split(F.coalesce(t, F.lit("")), "[.!?]+"), lambda s: F.trim(F.translate(s, "\n\r\t", "   ")) != "")
     return _words(spark, sf_dir).select(
         "doc_id", F.length(F.coalesce(t, F.lit(""))).cast("long").alias("n_chars"), F.size(w).cast("long").alias("n_words"),
-        F.round(F.try_divide(F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)), F.size(w)), 6).alias("mean_word"), F.size(sentences).cast("long").alias("n_sentences"),
+        F.round(F.try_divide(F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)), F.size(w)), 6).alias("mean_word"), T.sentence_count(F.coalesce(t, F.lit(""))).cast("long").alias("n_sentences"),
         F.regexp_count(t, F.lit("!")).cast("long").alias("exclamations"), F.regexp_count(t, F.lit(r"\?")).cast("long").alias("questions"),
         F.round(F.try_divide(F.length(t) - F.length(F.translate(t, T.UPPER, "")), F.length(t)), 6).alias("capital_ratio"))
 
@@ -49,8 +48,8 @@ LEXICONS = {"bullish": T.BULLISH, "bearish": T.BEARISH, "greek": T.GREEK, "vol":
   {', '.join(f'CAST(len(list_filter(w, lambda x: x IN {_in(v)})) AS BIGINT) AS {k}_count' for k, v in T.VOCABULARY.items())} FROM words_)
 SELECT doc_id, {', '.join(f'round({k} / norm, 6) AS {k}_score' for k in LEXICONS)}, round((bullish - bearish) / greatest(bullish + bearish, 1), 6) AS sentiment_ratio, {', '.join(f'{k}_count' for k in T.VOCABULARY)} FROM c""")
 def lexicon_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, w = F.col("p"), F.col("w")
-    c = _words(spark, sf_dir).select("doc_id", F.greatest(F.size(w) / 100, F.lit(1.0)).alias("norm"), *[T.weighted(p, w, v).alias(k) for k, v in LEXICONS.items()], *[T.counted(p, w, v).cast("long").alias(f"{k}_count") for k, v in T.VOCABULARY.items()])
+    p = F.col("p")
+    c = _words(spark, sf_dir).select("doc_id", F.greatest(T.word_count(p) / 100, F.lit(1.0)).alias("norm"), *[T.counted(p, v, 2).alias(k) for k, v in LEXICONS.items()], *[T.counted(p, v).cast("long").alias(f"{k}_count") for k, v in T.VOCABULARY.items()])
     up, down = F.col("bullish"), F.col("bearish")
     return c.select("doc_id", *[F.round(F.col(k) / F.col("norm"), 6).alias(f"{k}_score") for k in LEXICONS], F.round((up - down) / F.greatest(up + down, F.lit(1.0)), 6).alias("sentiment_ratio"), *[f"{k}_count" for k in T.VOCABULARY])
 
@@ -59,7 +58,7 @@ def lexicon_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CASE WHEN bullish > bearish AND bullish > neutral THEN 'bullish' WHEN bearish > bullish AND bearish > neutral THEN 'bearish' ELSE 'neutral' END AS sentiment,
   round(CASE WHEN bullish > bearish AND bullish > neutral THEN least(bullish / 10, 1.0) WHEN bearish > bullish AND bearish > neutral THEN least(bearish / 10, 1.0) ELSE least(neutral / 10, 0.5) END, 6) AS confidence FROM c""")
 def keyword_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _words(spark, sf_dir).select("doc_id", *[T.counted(F.col("p"), F.col("w"), v).alias(k) for k, v in T.SENTIMENT.items()])
+    c = _words(spark, sf_dir).select("doc_id", *[T.counted(F.col("p"), v).alias(k) for k, v in T.SENTIMENT.items()])
     up, down, flat = F.col("bullish"), F.col("bearish"), F.col("neutral")
     is_up, is_down = (up > down) & (up > flat), (down > up) & (down > flat)
     confidence = F.when(is_up, F.least(up / 10, F.lit(1.0))).when(is_down, F.least(down / 10, F.lit(1.0))).otherwise(F.least(flat / 10, F.lit(0.5)))
@@ -96,11 +95,11 @@ m AS (SELECT *, list_sum(list_transform(st, lambda s: len(list_filter(string_spl
 q AS (SELECT *, CASE WHEN len(st) = 0 AND trim(translate(coalesce(text, ''), chr(10) || chr(13) || chr(9), '   ')) = '' THEN 0.0 ELSE 100.0 - CASE WHEN paragraphs < 2 THEN 20 ELSE 0 END - CASE WHEN len(st) < 3 THEN 30 ELSE 0 END - CASE WHEN mean_len < 5 THEN 15 WHEN mean_len > 50 THEN 10 ELSE 0 END END AS structure FROM m),
 v AS (SELECT *, greatest(0.0, least(100.0, 0.8 * (100.0 - CASE WHEN length(trim(text)) < 100 THEN 30 WHEN length(trim(text)) > 50000 THEN 10 ELSE 0 END - CASE WHEN length(trim(title)) < 10 THEN 15 WHEN length(trim(title)) > 200 THEN 5 ELSE 0 END
   - least(({_SPAM}) * 15, 45) - CASE WHEN contains(p, 'lorem ipsum') OR contains(p, 'test test') OR length(trim(text)) <= 50 THEN 25 ELSE 0 END - CASE WHEN is_english THEN 0 ELSE 20 END) + 0.2 * structure)) AS content FROM q)
-SELECT doc_id, is_english, round(relevance, 6) AS relevance, round(structure, 6) AS structure, round(content, 6) AS content_quality, round((0.35 * content + 0.15 * relevance) / 0.5, 6) AS quality, (0.35 * content + 0.15 * relevance) / 0.5 >= 40 AND relevance >= 0.3 AS is_valid FROM v""")
+SELECT doc_id, is_english, round(relevance, 6) AS relevance, CAST(round(structure, 6) AS DOUBLE) AS structure, CAST(round(content, 6) AS DOUBLE) AS content_quality, round((0.35 * content + 0.15 * relevance) / 0.5, 6) AS quality, (0.35 * content + 0.15 * relevance) / 0.5 >= 40 AND relevance >= 0.3 AS is_valid FROM v""")
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The validator: language, relevance, structure and content scores, their weighted mean, and the verdict."""
-    w, p, t = F.col("w"), F.col("p"), F.col("text")
-    s = _words(spark, sf_dir).withColumns({"is_english": F.coalesce(T.english(w), F.lit(False)), "relevance": T.relevance(w), "structure": T.structure(t), "content": T.content_quality(t, F.substring(t, 1, 40), p, w)})
+    p, t = F.col("p"), F.col("text")
+    s = _words(spark, sf_dir).withColumns({"is_english": F.coalesce(T.english(p), F.lit(False)), "relevance": T.relevance(p), "structure": T.structure(t), "content": T.content_quality(t, F.substring(t, 1, 40), p)})
     overall = (0.35 * F.col("content") + 0.15 * F.col("relevance")) / 0.5
     return s.select("doc_id", "is_english", F.round("relevance", 6).alias("relevance"), F.round("structure", 6).alias("structure"), F.round("content", 6).alias("content_quality"), F.round(overall, 6).alias("quality"), ((overall >= 40) & (F.col("relevance") >= 0.3)).alias("is_valid"))
 
