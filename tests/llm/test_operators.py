@@ -312,9 +312,11 @@ def test_language_model(docs, empty, rows, spark):
     # Probabilities sum to one.
     p = context_matrix(np.random.default_rng(1).poisson(2, (20, 20)).astype(float))
     assert np.allclose(p.sum(axis=1), 1)
-    sizes, n_words = np.array([1, 2, 50]), np.array([100, 40, 3])
-    q = rare_probabilities(sizes, n_words)
+    sizes, n_words = spark.createDataFrame([(2, 40), (50, 3), (1, 100)], "c long, words long"), np.array([100, 40, 3])
+    c, q = rare_probabilities(sizes)
+    assert c.tolist() == [1, 2, 50]
     assert math.isclose((q[:-1] * n_words).sum() + q[-1], 1)
+    assert rare_probabilities(sizes.limit(0))[1].tolist() == [1.0]
 
 
 def test_language_model_beats_unigrams_held_out(spark):
