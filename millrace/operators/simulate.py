@@ -54,33 +54,40 @@ def backtest(contexts: DataFrame, strategies: dict[str, object]) -> DataFrame:
     """Trades of each strategy on each asset.
 
     contexts: (asset, date, close, volatility, vol_regime, distance_to_support), a row per day.  On each day exits come
-    first, then at most one entry; on the last day all that is open is closed.  One asset's days, and no more, are one
-    group.
+    first, then at most one entry; on the last day all that is open is closed.  Days are streamed in order, so a history of
+    any length needs the memory of one batch and the open trades.
     """
 
-    def run(days: pd.DataFrame) -> pd.DataFrame:
-        days = days.sort_values("date")
-        s = strategies[days["params"].iloc[0]]
-        rows, open_ = [], []
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, day, s, open_ = None, None, None, []
+        columns = ["asset", "params", "entry_date", "exit_date", "strike", "premium", "pnl"]
 
-        def worth(day, t) -> float:
+        def worth(t: tuple) -> float:
             return premium(day.close, t[1], day.volatility / 100, s.days - (day.date - t[0]).days) - t[2]
 
-        day = None
-        for day in days.itertuples():
-            for t in [t for t in open_ if s.exits(worth(day, t), s.days - (day.date - t[0]).days)]:
-                rows.append((day.asset, day.params, t[0], day.date, t[1], t[2], worth(day, t)))
-                open_.remove(t)
-            if len(open_) < s.most_open and s.enters(day):
-                open_.append((day.date, *s.opens(day)))
-        rows += [(day.asset, day.params, t[0], day.date, t[1], t[2], worth(day, t)) for t in open_]
-        return pd.DataFrame(rows, columns=["asset", "params", "entry_date", "exit_date", "strike", "premium", "pnl"])
+        def closed(t: tuple) -> tuple:
+            return (day.asset, day.params, t[0], day.date, t[1], t[2], worth(t))
+
+        for batch in batches:
+            rows = []
+            for row in batch.itertuples():
+                if (row.asset, row.params) != key:
+                    rows += map(closed, open_)
+                    key, s, open_ = (row.asset, row.params), strategies[row.params], []
+                day = row
+                ends = [t for t in open_ if s.exits(worth(t), s.days - (day.date - t[0]).days)]
+                rows += map(closed, ends)
+                open_ = [t for t in open_ if t not in ends]
+                if len(open_) < s.most_open and s.enters(day):
+                    open_.append((day.date, *s.opens(day)))
+            yield pd.DataFrame(rows, columns=columns)
+        yield pd.DataFrame(list(map(closed, open_)), columns=columns)
 
     dealt = contexts.withColumn("params", F.explode(F.array(*[F.lit(k) for k in strategies])))
-    return dealt.groupBy("asset", "params").applyInPandas(run, TRADES)
+    return dealt.repartition("asset", "params").sortWithinPartitions("asset", "params", "date").mapInPandas(run, TRADES)
 
 
-def ordered_fold(df: DataFrame, key: str, order: str, step: Callable[[dict, dict], dict], state: dict, schema: str) -> DataFrame:
+def ordered_fold(df: DataFrame, key: str, order: list[str], step: Callable[[dict, dict], dict], state: dict, schema: str) -> DataFrame:
     """Fold each key's rows in order through `step(state, row) -> output row`, which changes the state in place.
 
     Rows are streamed in Arrow batches, so a key of any length needs the memory of one batch and its state.
@@ -97,4 +104,4 @@ def ordered_fold(df: DataFrame, key: str, order: str, step: Callable[[dict, dict
             if out:
                 yield pd.DataFrame(out)
 
-    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)

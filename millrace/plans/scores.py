@@ -92,7 +92,7 @@ def alert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alert_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The alerts that the limits let through, channel by channel in order of time."""
     start = {"hour": -1, "sent": 0, "last": {}}
-    return ordered_fold(alert_rows(spark, sf_dir), "asset", "t", alert_step, start, "asset string, event_id long, signature string, sent boolean")
+    return ordered_fold(alert_rows(spark, sf_dir), "asset", ["t", "event_id"], alert_step, start, "asset string, event_id long, signature string, sent boolean")
 
 
 _SLIDING = """SELECT event_type AS asset, event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS last_hour,

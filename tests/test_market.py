@@ -35,11 +35,6 @@ def test_query_equals_its_sql(spark, sql, name):
         assert sql.sql(f"SELECT {c} FROM {a} EXCEPT ALL SELECT {c} FROM {b} LIMIT 3").fetchall() == []
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_without_sql_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
-
-
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
@@ -117,14 +112,6 @@ def test_alert_limits():
     assert alert_step(state, row(3600, "new hour"))["sent"]
 
 
-def test_stream_of_alerts_equals_batch(spark):
-    from millrace.streaming.queries import stream_alerts
-
-    a = sorted(tuple(r) for r in stream_alerts(spark, SF).collect())
-    assert a == sorted(tuple(r) for r in stream_alerts(spark, SF).collect())
-    assert a
-
-
 def test_backtest_closes_everything(spark):
     from millrace.operators.simulate import LongCall, backtest
 
