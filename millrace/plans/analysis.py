@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.stats import correlation, score_bucket, t_p_value
+from millrace.operators.carry import DAY, before, inside, quantiles, with_carry, with_days
 from millrace.plans.registry import query
 from millrace.plans.returns import FACTS, facts
 from millrace.tables import ARTICLES, DAILY, TICKS, articles, ticks
@@ -87,9 +88,10 @@ STEPS = f"{TICKS}, steps AS (SELECT asset, ts, event_id, CASE WHEN lag(price) OV
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(asset, ts, event_id, ret): a tenth of the log step between an asset's ticks, clipped to [-0.99, 10]."""
-    w = W.partitionBy("asset").orderBy("ts", "event_id")
-    ret = F.least(F.lit(10.0), F.greatest(F.lit(-0.99), F.log(F.col("price") / F.lag("price").over(w)) / 10))
-    return ticks(spark, sf_dir).withColumn("ret", F.when(F.lag("price").over(w).isNotNull(), ret)).where("ret IS NOT NULL").select("asset", "ts", "event_id", "ret")
+    t = with_carry(with_days(ticks(spark, sf_dir)), [F.max_by("price", F.struct("ts", "event_id")).alias("close")], {"carried": F.last("close").over(before())})
+    last = F.coalesce(F.lag("price").over(inside("ts", "event_id")), F.col("carried"))
+    ret = F.least(F.lit(10.0), F.greatest(F.lit(-0.99), F.log(F.col("price") / last) / 10))
+    return t.withColumn("ret", F.when(last.isNotNull(), ret)).where("ret IS NOT NULL").select("asset", "day", "ts", "event_id", "ret")
 
 
 @query(f"""WITH {STEPS} SELECT asset, count(*) AS n, round(avg(ret), 6) AS mean, round(stddev_pop(ret), 6) AS sd, round(avg(ret) / nullif(stddev_pop(ret), 0), 6) AS sharpe, round(max(ret), 6) AS best, round(min(ret), 6) AS worst,
@@ -115,10 +117,18 @@ p AS (SELECT *, greatest(1, max(wealth) OVER {ROWS}) AS top, max(total) OVER {RO
 SELECT asset, round(max((top - wealth) / top), 6) AS compound, round(min(total - high), 6) AS additive FROM p GROUP BY 1""")
 def max_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest fall from a peak: of compounded wealth, as a positive fraction, and of the running sum, negative."""
-    w = W.partitionBy("asset").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    c = steps(spark, sf_dir).withColumns({"wealth": F.exp(F.sum(F.log1p("ret")).over(w)), "total": F.sum("ret").over(w)})
-    p = c.withColumns({"top": F.greatest(F.lit(1.0), F.max("wealth").over(w)), "high": F.max("total").over(w)})
-    return p.groupBy("asset").agg(F.round(F.max((F.col("top") - F.col("wealth")) / F.col("top")), 6).alias("compound"), F.round(F.min(F.col("total") - F.col("high")), 6).alias("additive"))
+    so_far = inside("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    r = steps(spark, sf_dir).withColumns({"growth": F.sum(F.log1p("ret")).over(so_far), "gain": F.sum("ret").over(so_far)})
+    # Each day's sums and highest prefixes; days before give where a day starts and the peaks it has to beat.
+    whole = [F.max_by(c, F.struct("ts", "event_id")).alias(f"{c}_of_day") for c in ("growth", "gain")] + [F.max(c).alias(f"{c}_top") for c in ("growth", "gain")]
+    start = {c: F.coalesce(F.sum(f"{c}_of_day").over(before()), F.lit(0.0)) for c in ("growth", "gain")}
+    days = r.groupBy(*DAY).agg(*whole).withColumns({f"{c}_start": x for c, x in start.items()})
+    days = days.withColumns({f"{c}_peak": F.max(F.col(f"{c}_start") + F.col(f"{c}_top")).over(before()) for c in start})
+    p = r.join(days.select(*DAY, *[f"{c}_{x}" for c in start for x in ("start", "peak")]), list(DAY))
+    total = {c: F.col(f"{c}_start") + F.col(c) for c in start}
+    high = {c: F.greatest(F.col(f"{c}_peak"), F.col(f"{c}_start") + F.max(c).over(so_far)) for c in start}
+    p = p.select("asset", F.greatest(F.lit(0.0), high["growth"]).alias("top"), total["growth"].alias("log_wealth"), (total["gain"] - high["gain"]).alias("fall"))
+    return p.groupBy("asset").agg(F.round(F.max(1 - F.exp(F.col("log_wealth") - F.col("top"))), 6).alias("compound"), F.round(F.min("fall"), 6).alias("additive"))
 
 
 @query(f"""WITH {STEPS}, v AS (SELECT asset, quantile_cont(ret, 0.05) AS var95 FROM steps GROUP BY 1)
@@ -126,18 +136,21 @@ SELECT asset, round(var95, 6) AS var95, round(avg(ret) FILTER (ret <= var95), 6)
 FROM steps JOIN v USING (asset) JOIN (SELECT asset, quantile_cont(ret, 0.75) AS p75 FROM steps GROUP BY 1) m USING (asset) GROUP BY asset, var95""")
 def var_cvar(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = steps(spark, sf_dir)
-    v = s.groupBy("asset").agg(F.percentile("ret", F.lit(0.05)).alias("var95"), F.percentile("ret", F.lit(0.75)).alias("p75"))
-    return s.join(F.broadcast(v), "asset").groupBy("asset", "var95", "p75").agg(F.avg(F.when(F.col("ret") <= F.col("var95"), F.col("ret"))).alias("c")).select("asset", F.round("var95", 6).alias("var95"), F.round("c", 6).alias("cvar95"), F.round("p75", 6).alias("p75"))
+    v = quantiles(s, "asset", "ret", {"var95": 0.05, "p75": 0.75})
+    return s.join(v, "asset").groupBy("asset", "var95", "p75").agg(F.avg(F.when(F.col("ret") <= F.col("var95"), F.col("ret"))).alias("c")).select("asset", F.round("var95", 6).alias("var95"), F.round("c", 6).alias("cvar95"), F.round("p75", 6).alias("p75"))
 
 
 @query(f"""WITH {STEPS}, s AS (SELECT asset, ts, event_id, ret > 0 AS win, row_number() OVER (PARTITION BY asset ORDER BY ts, event_id) - row_number() OVER (PARTITION BY asset, ret > 0 ORDER BY ts, event_id) AS island FROM steps WHERE ret <> 0)
 SELECT asset, max(n) FILTER (win) AS longest_win, max(n) FILTER (NOT win) AS longest_loss FROM (SELECT asset, win, island, count(*) AS n FROM s GROUP BY 1, 2, 3) GROUP BY 1""")
 def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest runs of gains and of losses; zeros neither extend nor break one."""
+    at = ("ts", "event_id")
     s = steps(spark, sf_dir).where("ret <> 0").withColumn("win", F.col("ret") > 0)
-    order = ("ts", "event_id")
-    island = F.row_number().over(W.partitionBy("asset").orderBy(*order)) - F.row_number().over(W.partitionBy("asset", "win").orderBy(*order))
-    n = s.withColumn("island", island).groupBy("asset", "win", "island").agg(F.count("*").alias("n"))
+    s = with_carry(s, [F.max_by("win", F.struct(*at)).alias("last_win")], {"carried": F.last("last_win").over(before())})
+    starts = s.withColumn("starts", (~F.col("win").eqNullSafe(F.coalesce(F.lag("win").over(inside(*at)), F.col("carried")))).cast("int"))
+    starts = with_carry(starts, [F.sum("starts").alias("of_day")], {"earlier": F.coalesce(F.sum("of_day").over(before()), F.lit(0))})
+    island = F.col("earlier") + F.sum("starts").over(inside(*at).rowsBetween(W.unboundedPreceding, 0))
+    n = starts.withColumn("island", island).groupBy("asset", "win", "island").agg(F.count("*").alias("n"))
     return n.groupBy("asset").agg(F.max(F.when(F.col("win"), F.col("n"))).alias("longest_win"), F.max(F.when(~F.col("win"), F.col("n"))).alias("longest_loss"))
 
 

@@ -158,3 +158,16 @@ def test_dates_of_the_fold(spark):
     step = lambda s, r: s.update(n=s["n"] + 1) or {"k": r["k"], "i": r["i"], "n": s["n"]}
     got = sorted(tuple(r) for r in ordered_fold(df, "k", ["t", "i"], step, {"n": 0}, "k string, i long, n long").collect())
     assert got == [("a", 1, 2), ("a", 3, 3), ("a", 9, 1), ("b", 2, 1)]
+
+
+def test_quantiles(spark):
+    import random
+
+    import numpy as np
+    from millrace.operators.carry import quantiles
+
+    r = random.Random(2)
+    rows = [("a", r.gauss(0, 1)) for _ in range(3000)] + [("b", float(r.randrange(3))) for _ in range(50)] + [("c", 4.0), ("d", None), ("e", 1.0), ("e", None), ("e", 2.0)]
+    got = {x.k: (x.lo, x.hi) for x in quantiles(spark.createDataFrame(rows, "k string, v double"), "k", "v", {"lo": 0.05, "hi": 0.75}, bins=40).collect()}
+    want = {k: tuple(np.quantile([v for x, v in rows if x == k and v is not None], q) for q in (0.05, 0.75)) for k in "abce"}
+    assert {k: tuple(map(pytest.approx, v)) for k, v in want.items()} == got
