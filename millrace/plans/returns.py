@@ -216,7 +216,7 @@ def current_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {DAILY}, s AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM daily)
 SELECT a.asset, s.date FROM s, (SELECT DISTINCT asset FROM daily) a EXCEPT SELECT asset, date FROM daily""")
 def missing_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from millrace.operators.calendar import spine
-
     p = daily(spark, sf_dir)
-    return spine(p, "date", "D", "date").crossJoin(F.broadcast(p.select("asset").distinct())).select("asset", "date").join(p, ["asset", "date"], "left_anti")
+    ends = p.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    days = p.select("asset").distinct().crossJoin(F.broadcast(ends)).select("asset", F.explode(F.sequence("lo", "hi")).alias("date"))
+    return days.join(p, ["asset", "date"], "left_anti")
