@@ -1,7 +1,7 @@
 """A training corpus from raw documents: quality rules, near duplicates, repeated passages, source weights, packing.
 
 Each stage takes (spark, docs, sf_dir) and all rows that the one before kept; all but the last return the columns of
-documents.
+documents, whatever further columns those are.  A null text counts as empty, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -14,27 +14,46 @@ from millrace.llm.mixing import mix
 from millrace.llm.packing import pack
 from millrace.llm.quality import keep
 from millrace.llm.repeats import repeats
-from millrace.llm.shared import narrowed, without, written
+from millrace.llm.shared import distilled, narrowed, without, written
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name like this one that docs doesn't have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; every row, repeated ones and those without id too, is judged on its own text."""
     return keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group whose five-word shingles are alike at 0.8 or more; of repeated rows, one."""
-    classes = written(jaccard_join(docs, n=5, percent=80), "near")
+    """One document, that with the smallest id, of each group whose five-word shingles are alike at 0.8 or more.
+
+    Of rows with one id, one stays, whatever their texts.  Rows without id, and texts without words, are like nothing and stay.
+    """
+    classes = distilled(lambda: jaccard_join(docs, n=5, percent=80), "near")
     twice = classes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     docs = without(docs, classes.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id")
     return without(docs, twice, "doc_id").unionByName(docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that 100-byte strings repeat from earlier; those of which nothing is left go."""
-    cut = written(repeats(docs, texts=True).where("n_removed > 0").select("doc_id", F.col("kept_text").alias("_cut_text")), "cut")
+    """Documents without the bytes that 100-byte strings repeat from earlier; those of which nothing is left go.
+
+    Repeated rows of one id are cut alike; rows without id stay as they are, but count as earlier than all others.
+    """
+    left = unused(docs, "cut_text")
+
+    def changed() -> DataFrame:
+        found = repeats(docs, texts=True).where("n_removed > 0 AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+        return found.select("doc_id", F.col("kept_text").alias(left))
+
+    cut = distilled(changed, "cut")
     ids = cut.select("doc_id")
-    new = narrowed(docs, ids, "doc_id").hint("merge").join(cut, "doc_id").withColumn("text", F.col("_cut_text")).where("text <> ''")
+    new = narrowed(docs, ids, "doc_id").hint("merge").join(cut, "doc_id").withColumn("text", F.col(left)).where("text <> ''")
     new = new.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
     return without(docs, ids, "doc_id").unionByName(new)
 
@@ -44,14 +63,14 @@ def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Rows with one id, source and size stand together, at the first of their slots.
     """
-    key = ["_id", "_source", "_chars"]
-    slots = mix(docs, whole=True).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("chars").alias("_chars")).agg(F.min("slot").alias("_slot"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.coalesce("source", F.lit("")) == F.col("_source")) & (F.coalesce(F.length("text"), F.lit(0)) == F.col("_chars"))
-    return docs.join(written(slots, "slots"), same).orderBy("_slot", "doc_id").drop(*key, "_slot")
+    i, source, chars, slot = (unused(docs, x) for x in ("of_id", "of_source", "of_chars", "slot"))
+    slots = mix(docs, whole=True).groupBy(F.col("doc_id").alias(i), F.col("source").alias(source), F.col("chars").alias(chars)).agg(F.min("slot").alias(slot))
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.coalesce("source", F.lit("")) == F.col(source)) & (F.coalesce(F.length("text"), F.lit(0)) == F.col(chars))
+    return docs.join(written(slots, "slots"), same).orderBy(slot, "doc_id").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' ids, packed into sequences."""
+    """Pieces of the documents' ids, packed into sequences; repeated rows are packed each."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -65,7 +84,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Shingle components, suffix sorts and token ids have no SQL form; tests hold the stages against brute force.
+#: Suffix sorts and token ids have no SQL form; tests hold every stage's rows against plain Python.
 ORACLE_SQL = None
 
 

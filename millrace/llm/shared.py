@@ -3,26 +3,45 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.sources.scratch import fresh
 
 
+_made: ContextVar[tuple[str, ...]] = ContextVar("made", default=())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here, and lost executors lose nothing of it."""
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
+    _made.set((*_made.get(), path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables that written() made and that nothing will read again."""
     for df in tables:
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, path)
+
+
+def distilled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make()'s rows as a written table; all tables that it wrote on the way are deleted."""
+    before = _made.get()
+    out = written(make(), name)
+    for path in _made.get()[len(before) : -1]:
+        _delete(out.sparkSession, path)
+    _made.set((*before, _made.get()[-1]))
+    return out
 
 
 #: Bits of the map that narrows a table, whatever the number of keys: 8 MB are broadcast at most.
