@@ -13,7 +13,7 @@ from millrace.llm.jaccard import jaccard_join
 from millrace.llm.mixing import mix
 from millrace.llm.packing import pack
 from millrace.llm.quality import keep
-from millrace.llm.repeats import repeats
+from millrace.llm.repeats import changes, text_without
 from millrace.llm.shared import distilled, narrowed, without, written
 
 
@@ -45,17 +45,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Repeated rows of one id are cut alike; rows without id stay as they are, but count as earlier than all others.
     """
-    left = unused(docs, "cut_text")
-
-    def changed() -> DataFrame:
-        found = repeats(docs, texts=True).where("n_removed > 0 AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-        return found.select("doc_id", F.col("kept_text").alias(left))
-
-    cut = distilled(changed, "cut")
-    ids = cut.select("doc_id")
-    new = narrowed(docs, ids, "doc_id").hint("merge").join(cut, "doc_id").withColumn("text", F.col(left)).where("text <> ''")
-    new = new.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
-    return without(docs, ids, "doc_id").unionByName(new)
+    copies, start, stop = (unused(docs, x) for x in ("copies", "start", "stop"))
+    lost = distilled(lambda: changes(docs), "lost").toDF("doc_id", copies, start, stop)
+    ids = lost.select("doc_id")
+    new = narrowed(docs, ids, "doc_id").hint("merge").join(lost, "doc_id").where(~F.array_contains(copies, F.sha2(F.coalesce("text", F.lit("")), 256)))
+    cut = new.where(F.size(start) > 0).withColumn("text", text_without("text", start, stop)).withColumn("n_chars", F.length("text").cast("long"))
+    whole = new.where(F.size(start) == 0)
+    return without(docs, ids, "doc_id").unionByName(whole.select(*docs.columns)).unionByName(cut.where("text <> ''").select(*docs.columns))
 
 
 def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,9 +20,10 @@ from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import by_key, dropped, narrowed, written
@@ -120,18 +121,12 @@ def _find(ids: np.ndarray, lows: np.ndarray, counts: np.ndarray, hot: np.ndarray
     return runs, [ids[k], lows[k] + left - begin[k], signed(w1), signed(w2)]
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes kept); with texts, also kept_text, null
-    where nothing is removed.
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("id"), F.col(text_col).cast("string").alias("text"))
 
-    A byte of the UTF-8 text goes if a 100-byte string that covers it also starts earlier: in a document with a smaller
-    id, or earlier in the same one.  Strings may overlap, never cross documents, and are judged on the input.
-    kept_text leaves out what a cut leaves of a character.  Null text counts as empty.  Repeated rows
-    count as one document, so neither is earlier; an id must name one text: rows of an id with several texts go whole
-    where they are copies and else stay whole.  A null id counts as the smallest, and stays null.  Extra columns are
-    ignored; an empty table gives no rows.
-    """
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+def _search(source: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, n, sha) of all rows; (sha, rep, copies) of all texts; (id, start, stop) of the covered runs, which may overlap."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,16 +200,6 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tex
         if held:
             yield from solve(pa.concat_tables(held))
 
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, text, first, last in zip(*(batch.column(i) for i in range(4)), strict=True):
-                raw = text.as_py().encode()
-                runs = merge(list(zip(first.as_py(), last.as_py(), strict=True)))
-                left = b"".join(raw[b:a] for (_, b), (a, _) in pairwise([(0, 0), *runs, (len(raw), 0)]))
-                rows.append((doc.as_py(), len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left.decode(errors="ignore") if texts else None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())], names=["id", "removed", "spans", "kept", "kept_text"])
-
     measured = written(source.mapInArrow(measure, "id long, n long, sha string"), "measured")
     firsts = written(measured.groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "firsts")
     named = measured.groupBy("id").agg(F.min("sha").alias("sha"), F.max("sha").alias("other"), F.max("n").alias("n")).where(f"sha = other AND n >= {WINDOW}")
@@ -241,19 +226,67 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tex
     by_doc = runs.unionByName(late).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("x"))
     by_doc = written(by_doc.select("id", F.col("x.start").alias("start"), F.col("x.stop").alias("stop")), "runs")
     dropped(sorted_)
-    cut = narrowed(source, by_doc, "id").hint("merge").join(by_doc, "id").select("id", "text", "start", "stop").mapInArrow(remove, "id long, removed long, spans long, kept string, kept_text string").dropDuplicates(["id"])
+    return measured, firsts, by_doc
+
+
+def without_runs(raw: bytes, first: list[int], last: list[int]) -> tuple[bytes, int]:
+    """What is left of raw without the runs, and how many maximal ones they are."""
+    runs = merge(list(zip(first, last, strict=True)))
+    return b"".join(raw[b:a] for (_, b), (a, _) in pairwise([(0, 0), *runs, (len(raw), 0)])), len(runs)
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes kept).
+
+    A byte of the UTF-8 text goes if a 100-byte string that covers it also starts earlier: in a document with a smaller
+    id, or earlier in the same one.  Strings may overlap, never cross documents, and are judged on the input.
+    Null text counts as empty.  Repeated rows count as one document, so neither is earlier; an id must name one text:
+    rows of an id with several texts go whole where they are copies and else stay whole.  A null id counts as the
+    smallest, and stays null.  Extra columns are ignored; an empty table gives no rows.
+    """
+    source = _source(docs, id_col, text_col)
+    measured, firsts, by_doc = _search(source)
 
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, text, first, last in zip(*(batch.column(i) for i in range(4)), strict=True):
+                raw = text.as_py().encode()
+                left, runs = without_runs(raw, first.as_py(), last.as_py())
+                rows.append((doc.as_py(), len(raw) - len(left), runs, hashlib.sha256(left).hexdigest()))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 4, types, strict=True)], names=["id", "removed", "spans", "kept"])
+
+    cut = narrowed(source, by_doc, "id").hint("merge").join(by_doc, "id").select("id", "text", "start", "stop").mapInArrow(remove, "id long, removed long, spans long, kept string").dropDuplicates(["id"])
     out = by_key(measured, firsts, ["sha"], n="copies").select("id", "n", "sha", F.expr(f"id <> rep AND n >= {WINDOW}").alias("copy"))
     out = out.join(cut, "id", "left")
     empty = hashlib.sha256(b"").hexdigest()
     copy = F.col("copy")
-    cols = [
+    return out.select(
         F.when(F.col("id") != _NONE, F.col("id")).alias("doc_id"),
         F.col("n").alias("n_bytes"),
         F.when(copy, F.col("n")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
         F.when(copy, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copy, empty).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
-    ]
-    if texts:
-        cols.append(F.when(copy, "").otherwise(F.col("kept_text")).alias("kept_text"))
-    return out.select(*cols)
+    )
+
+
+def changes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per id that loses something by repeats(): doc_id, copies (SHA-256 of its texts that go whole), start and stop (runs of
+    bytes that go from its one text, which may overlap).  Rows without id aren't listed."""
+    measured, firsts, by_doc = _search(_source(docs, id_col, text_col))
+    copies = by_key(measured, firsts, ["sha"], n="copies").where(f"id <> rep AND n >= {WINDOW}").groupBy("id").agg(F.collect_set("sha").alias("copies"))
+    both = copies.join(by_doc, "id", "full")
+    none = F.array().cast("array<long>")
+    return both.where(F.col("id") != _NONE).select(F.col("id").alias("doc_id"), F.coalesce("copies", F.array().cast("array<string>")).alias("copies"), F.coalesce("start", none).alias("start"), F.coalesce("stop", none).alias("stop"))
+
+
+def text_without(text: Column, start: Column, stop: Column) -> Column:
+    """A text without runs of its UTF-8 bytes; what a cut leaves of a character goes too.  Null stays null."""
+
+    # Not declared deterministic, so that filters on the result don't have it worked out twice.
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else without_runs(t.encode(), list(a), list(b))[0].decode(errors="ignore") for t, a, b in zip(texts, starts, stops, strict=True)], dtype=object)
+
+    return cut.asNondeterministic()(text, start, stop)
