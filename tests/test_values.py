@@ -171,3 +171,13 @@ def test_quantiles(spark):
     got = {x.k: (x.lo, x.hi) for x in quantiles(spark.createDataFrame(rows, "k string, v double"), "k", "v", {"lo": 0.05, "hi": 0.75}, bins=40).collect()}
     want = {k: tuple(np.quantile([v for x, v in rows if x == k and v is not None], q) for q in (0.05, 0.75)) for k in "abce"}
     assert {k: tuple(map(pytest.approx, v)) for k, v in want.items()} == got
+
+
+def test_return_regression(spark):
+    from millrace.plans.extras import return_regression
+
+    rows = sorted(return_regression(spark, SF).collect(), key=lambda r: r.part)
+    assert [r.part for r in rows] == [1, 2, 3] and all(r.n > 100 for r in rows)
+    for r in rows:
+        assert r.mae <= math.sqrt(r.mse) + 1e-9 and r.r2 < 1 and 0 <= r.confidence <= 1
+        assert sum(v for k, v in r.asDict().items() if k.endswith("_importance")) == pytest.approx(1)
