@@ -116,28 +116,35 @@ metrics AS (SELECT w1, w2, w3, count(*) AS n, avg(pnl) / nullif(stddev_pop(pnl),
 @query(f"""WITH {_SEARCH} SELECT round(w1 / (w1 + w2 + w3), 6) AS signal_weight, round(w2 / (w1 + w2 + w3), 6) AS bias_weight, round(w3 / (w1 + w2 + w3), 6) AS confidence_weight, n, round(ir, 6) AS information_ratio, round(hit, 6) AS hit_rate, round(r, 6) AS correlation, round(0.4 * ir + 0.3 * hit + 0.3 * abs(r), 6) AS combined FROM metrics""")
 def weight_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate set of weights against all articles, in one grouping: information ratio, hit rate, correlation and their blend."""
+    m = candidates(spark, sf_dir)
+    total = F.col("w1") + F.col("w2") + F.col("w3")
+    names = ("signal_weight", "bias_weight", "confidence_weight")
+    shares = [F.round(F.col(f"w{i}") / total, 6).alias(n) for i, n in enumerate(names, 1)]
+    return m.select(*shares, "n", F.round("ir", 6).alias("information_ratio"), F.round("hit", 6).alias("hit_rate"), F.round("r", 6).alias("correlation"), F.round("combined", 6).alias("combined"))
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(w1, w2, w3, n, ir, hit, r, combined) of every set of weights in GRID."""
     f = facts(spark, sf_dir).where("days = 7 AND ret IS NOT NULL AND confidence >= 0.3")
     side = F.when(F.col("bias") == "bullish", 1.0).when(F.col("bias") == "bearish", -1.0).otherwise(0.0)
     base = f.select("ret", (F.col("signal") - 0.5).alias("x1"), side.alias("x2"), (F.col("confidence") - 0.5).alias("x3"))
     grid = spark.createDataFrame(GRID, "w1 double, w2 double, w3 double")
-    w = [F.col(f"w{i}") for i in (1, 2, 3)]
-    s = sum((a * F.col(f"x{i}") for i, a in enumerate(w, 1)), F.lit(0.0))
+    s = sum((F.col(f"w{i}") * F.col(f"x{i}") for i in (1, 2, 3)), F.lit(0.0))
     e = base.crossJoin(F.broadcast(grid)).withColumn("s", s).withColumn("pnl", F.signum("s") * F.col("ret"))
     m = e.groupBy("w1", "w2", "w3").agg(F.count("*").alias("n"), F.try_divide(F.avg("pnl"), F.stddev_pop("pnl")).alias("ir"), F.avg((F.col("pnl") > 0).cast("double")).alias("hit"), F.corr("s", "ret").alias("r"))
-    names = ("signal_weight", "bias_weight", "confidence_weight")
-    return m.select(*[F.round(a / (w[0] + w[1] + w[2]), 6).alias(n) for a, n in zip(w, names, strict=True)], "n", F.round("ir", 6).alias("information_ratio"), F.round("hit", 6).alias("hit_rate"), F.round("r", 6).alias("correlation"), F.round(0.4 * F.col("ir") + 0.3 * F.col("hit") + 0.3 * F.abs("r"), 6).alias("combined"))
+    return m.withColumn("combined", 0.4 * F.col("ir") + 0.3 * F.col("hit") + 0.3 * F.abs("r"))
 
 
 @query(f"""WITH {_SEARCH}, c AS (SELECT *, 0.4 * ir + 0.3 * hit + 0.3 * abs(r) AS combined FROM metrics), b AS (SELECT ir AS ir0, hit AS hit0, combined AS c0 FROM c WHERE w1 = 0.3 AND w2 = 0.4 AND w3 = 0.2)
 SELECT count(*) AS candidates, round(max(combined), 6) AS best, round(max(combined) - any_value(c0), 6) AS improvement, round(avg(combined - c0), 6) AS mean_improvement, count(*) FILTER (combined > c0) AS better, round(max(ir) - any_value(ir0), 6) AS ir_improvement, round(max(hit) - any_value(hit0), 6) AS hit_improvement FROM c, b""")
 def optimization_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the search gains over the weights 0.3, 0.4, 0.2: best and mean improvement, and how many candidates are better."""
-    m = weight_search(spark, sf_dir)
-    base = m.where((F.abs(F.col("signal_weight") - 0.333333) < 1e-6) & (F.abs(F.col("bias_weight") - 0.444444) < 1e-6) & (F.abs(F.col("confidence_weight") - 0.222222) < 1e-6)).select(F.col("information_ratio").alias("ir0"), F.col("hit_rate").alias("hit0"), F.col("combined").alias("c0"))
+    m = candidates(spark, sf_dir)
+    base = m.where("w1 = 0.3D AND w2 = 0.4D AND w3 = 0.2D").select(F.col("ir").alias("ir0"), F.col("hit").alias("hit0"), F.col("combined").alias("c0"))
     gain = F.col("combined") - F.col("c0")
     return m.crossJoin(F.broadcast(base)).agg(
-        F.count("*").alias("candidates"), F.max("combined").alias("best"), F.round(F.max(gain), 6).alias("improvement"), F.round(F.avg(gain), 6).alias("mean_improvement"), F.count_if(gain > 0).alias("better"),
-        F.round(F.max(F.col("information_ratio") - F.col("ir0")), 6).alias("ir_improvement"), F.round(F.max(F.col("hit_rate") - F.col("hit0")), 6).alias("hit_improvement"))
+        F.count("*").alias("candidates"), F.round(F.max("combined"), 6).alias("best"), F.round(F.max(gain), 6).alias("improvement"), F.round(F.avg(gain), 6).alias("mean_improvement"), F.count_if(gain > 0).alias("better"),
+        F.round(F.max(F.col("ir") - F.col("ir0")), 6).alias("ir_improvement"), F.round(F.max(F.col("hit") - F.col("hit0")), 6).alias("hit_improvement"))
 
 
 # ---- frames
