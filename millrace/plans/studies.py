@@ -126,7 +126,7 @@ _STRATEGIES = """CASE WHEN vol_regime IN ('high', 'extreme') THEN CASE WHEN mark
   CASE WHEN bias = 'bullish' THEN 'long_calls bull_spreads' WHEN bias = 'bearish' THEN 'long_puts bear_spreads' END"""
 
 
-@query(f"""WITH {CONTENT}, spine AS (SELECT DISTINCT v.asset, CAST(d AS DATE) AS date FROM vols v, (SELECT unnest(generate_series(min(date), min(date) + INTERVAL 400 DAY, INTERVAL 1 DAY)) AS d FROM daily)),
+@query(f"""WITH {CONTENT}, spine AS (SELECT DISTINCT v.asset, CAST(d AS DATE) AS date FROM vols v, (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS d FROM daily)),
 known AS (SELECT s.asset, s.date, v.date AS as_of, v.close, v.r7 * 100 AS change_7d, v.vol FROM spine s ASOF LEFT JOIN vols v ON v.asset = s.asset AND v.date <= s.date),
 charts AS (SELECT date, CASE WHEN count(*) FILTER (bias = 'bullish') > count(*) FILTER (bias = 'bearish') THEN 'bullish' WHEN count(*) FILTER (bias = 'bearish') > count(*) FILTER (bias = 'bullish') THEN 'bearish' ELSE 'neutral' END AS chart FROM articles WHERE article_id % 4 = 0 GROUP BY 1),
 regimes AS (SELECT k.*, coalesce(chart, 'none') AS chart, CASE WHEN vol >= 100 THEN 'extreme' WHEN vol >= 75 THEN 'high' WHEN vol >= 40 THEN 'normal' WHEN vol >= 20 THEN 'low' WHEN vol IS NOT NULL THEN 'very_low' ELSE 'unknown' END AS vol_regime,
@@ -135,14 +135,14 @@ votes AS (SELECT *, CAST(coalesce(change_7d > 5, false) AS INT) + CAST(chart = '
 biased AS (SELECT *, CASE WHEN up > down THEN 'bullish' WHEN down > up THEN 'bearish' ELSE 'neutral' END AS bias FROM votes)
 SELECT asset, date, as_of, round(change_7d, 4) AS change_7d, chart, vol_regime, market, bias, concat_ws(' ', {_STRATEGIES}) AS strategies FROM biased""")
 def unified_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every asset and each of 401 days: the last prices known by then, regimes, that day's charts, the bias they vote for, and strategies."""
+    """For every asset and day of the whole span: the last prices known by then, regimes, that day's charts, the bias they vote for, and strategies."""
     from millrace.operators.asof import last_before
 
     d = daily(spark, sf_dir)
     days = W.partitionBy("asset").orderBy("date")
     p = indicators(d).select("asset", "date", (F.col("volatility_30d") / 100).alias("vol"), ((F.try_divide("close", F.lag("close", 7).over(days)) - 1) * 100).alias("change_7d"))
     p = p.withColumn("x", F.struct(F.col("date").alias("as_of"), "change_7d", "vol")).withColumn("o", F.lit(0))
-    start = d.agg(F.min("date").alias("d")).select(F.explode(F.sequence(F.col("d"), F.date_add("d", 400))).alias("date"))
+    start = d.agg(F.min("date").alias("d"), F.max("date").alias("last")).select(F.explode(F.sequence("d", "last")).alias("date"))
     spine = d.select("asset").distinct().crossJoin(start)
     known = last_before(spine, p, "asset", "date", "date", "x", "o").select("asset", "date", "x.*")
     bull, bear = F.count_if(F.col("bias") == "bullish"), F.count_if(F.col("bias") == "bearish")
