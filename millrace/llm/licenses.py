@@ -134,7 +134,7 @@ STEPS = [
     ("license-identifier:[ \\t]*", "license-identifier "),
     (r"\+(?:[^a-z0-9+]|$)", "-plus "),
     ("[.!?;:][ \\t\\r\\f\\x0B\\n]+", "\x01"),
-    ("\\n(?:[^a-z0-9\\n\x01]*\\n)+", "\x01"),
+    ("\\n[^a-z0-9\x01]*\\n", "\x01"),
     ("[^a-z0-9\\n\x01]+", " "),
     (" ?([\\n\x01]) ?", "\\1"),
 ]
@@ -162,10 +162,10 @@ def identifiers(text: Column) -> Column:
         spdx = F.transform(parts, lambda p: F.concat(F.lit("spdx-"), F.coalesce(F.try_element_at(lines, F.trim(p)), F.lit("other"))))
         return F.when(x == "", F.array(F.lit("\x01"))).when(x.startswith("spdx "), spdx).otherwise(F.coalesce(F.split(F.try_element_at(known, x), " "), F.array(F.concat(F.lower(granted), F.lit("-under")))))
 
-    joined = F.array_join(F.flatten(F.transform(found, names)), "\x02")
-    joined = F.regexp_replace(joined, "(?:(?:^|\x02)\x01)+$|^(?:\x01\x02)+", "")
-    joined = F.regexp_replace(joined, f"(?:\x02\x01){{{GAP + 2},}}\x02", "\x02#\x02")
-    return F.filter(F.split(joined, "\x02"), lambda x: (x != "") & (x != "\x01"))
+    # Repeated groups would overflow the matcher's stack on long texts, so ends are single characters and identifiers stand apart.
+    marks = F.transform(F.flatten(F.transform(found, names)), lambda x: F.when(x == "\x01", x).otherwise(F.concat(F.lit("\x02"), x, F.lit("\x02"))))
+    joined = F.regexp_replace(F.btrim(F.array_join(marks, ""), F.lit("\x01")), f"\x01{{{GAP + 2},}}", "\x02#\x02")
+    return F.filter(F.split(F.replace(joined, F.lit("\x01"), F.lit("")), "\x02"), lambda x: x != "")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,8 +212,8 @@ WITH cut AS (SELECT doc_id, list_transform(regexp_extract_all({s}, {q(PATTERN)},
 tables AS MATERIALIZED (SELECT {table(ALL_SENTENCES)} AS known, {table(NAMED)} AS named, {table(LINES)} AS lines),
 named AS (SELECT doc_id, list_transform(found, lambda x: CASE WHEN x = '' THEN '\x01' WHEN starts_with(x, 'spdx ') THEN array_to_string(list_transform({parts}, lambda p: 'spdx-' || coalesce(lines[trim(p)], 'other')), '\x02')
   ELSE coalesce(replace(known[x], ' ', '\x02'), lower(named[{name}]) || '-under') END) AS n FROM cut, tables),
-joined AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(array_to_string(n, '\x02'), ''), '(?:(?:^|\x02)\x01)+$|^(?:\x01\x02)+', '', 'g'), '(?:\x02\x01){{{GAP + 2},}}\x02', '\x02#\x02', 'g') AS j FROM named),
-listed AS (SELECT doc_id, list_filter(string_split(j, '\x02'), lambda x: x <> '' AND x <> '\x01') AS every FROM joined),
+joined AS (SELECT doc_id, replace(regexp_replace(trim(coalesce(array_to_string(list_transform(n, lambda x: CASE WHEN x = '\x01' THEN x ELSE '\x02' || x || '\x02' END), ''), ''), '\x01'), '\x01{{{GAP + 2},}}', '\x02#\x02', 'g'), '\x01', '') AS j FROM named),
+listed AS (SELECT doc_id, list_filter(string_split(j, '\x02'), lambda x: x <> '') AS every FROM joined),
 ruled AS (SELECT doc_id, list_filter(every, lambda x: x <> '#') AS ids, string_split_regex({left}, '\\|+') AS l FROM listed)
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, ' '), '') AS sentences,
   coalesce((SELECT string_agg(x, ' ' ORDER BY i) FROM (SELECT substr(u, 2) AS x, min(i) AS i FROM (SELECT unnest(l) AS u, generate_subscripts(l, 1) AS i) WHERE u LIKE '=%' GROUP BY 1)), '') AS licenses,
