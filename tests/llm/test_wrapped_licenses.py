@@ -113,3 +113,11 @@ def test_scan_equals_its_sql(spark):
     con.sql(f"CREATE TABLE want AS {sql()}")
     assert con.sql("SELECT * FROM want EXCEPT ALL SELECT * FROM got").fetchall() == []
     assert con.sql("SELECT * FROM got EXCEPT ALL SELECT * FROM want").fetchall() == []
+
+
+def test_very_long_texts(spark):
+    """Hundreds of thousands of sentences and blank lines."""
+    from millrace.llm.licenses import scan
+
+    long = "A word. " * 100_000 + "Released under the MIT License. " + "\n\n. " * 100_000
+    assert [r.licenses for r in scan(spark.createDataFrame([(0, long), (1, "License.\n" * 50_000)], "doc_id long, text string")).orderBy("doc_id").collect()] == ["MIT", ""]
