@@ -174,3 +174,30 @@ scored AS (SELECT item_id, r, any_value(doc_id) AS doc_id, CAST(sum(w * ((100000
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) <= 10
 """
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_collocations"] = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+ws AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+f1 AS MATERIALIZED (SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(w) AS x FROM ws) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY lang),
+f2 AS MATERIALIZED (SELECT lang, x, y, count(*) AS f FROM (SELECT lang, w[i] AS x, w[i + 1] AS y FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM ws)) GROUP BY ALL),
+f3 AS MATERIALIZED (SELECT lang, x, y, z, count(*) AS f FROM (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM ws)) GROUP BY ALL HAVING count(*) >= 10),
+longer AS (SELECT lang, x, y, max(f) AS f FROM (SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y, z, f FROM f3) GROUP BY ALL),
+cuts AS (
+  SELECT p.lang, p.x || ' ' || p.y AS phrase, 1 AS k, p.f AS a, b.f AS l, c.f AS r FROM f2 p JOIN f1 b ON b.lang = p.lang AND b.x = p.x JOIN f1 c ON c.lang = p.lang AND c.x = p.y
+    LEFT JOIN longer g ON g.lang = p.lang AND g.x = p.x AND g.y = p.y WHERE p.f >= 10 AND coalesce(100 * g.f < 50 * p.f, true)
+  UNION ALL SELECT p.lang, p.x || ' ' || p.y || ' ' || p.z, 1, p.f, b.f, c.f FROM f3 p JOIN f1 b ON b.lang = p.lang AND b.x = p.x JOIN f2 c ON c.lang = p.lang AND c.x = p.y AND c.y = p.z
+  UNION ALL SELECT p.lang, p.x || ' ' || p.y || ' ' || p.z, 2, p.f, b.f, c.f FROM f3 p JOIN f2 b ON b.lang = p.lang AND b.x = p.x AND b.y = p.y JOIN f1 c ON c.lang = p.lang AND c.x = p.z),
+scored AS (SELECT *, CAST(1000000::HUGEINT * a * a // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, score FROM least JOIN totals USING (lang)
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER w <= 2000
+"""

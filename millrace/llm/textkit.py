@@ -73,10 +73,11 @@ TERM = np.zeros(256, dtype=bool)
 TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def words(data: np.ndarray, offs: np.ndarray, lower: bool = True, of: np.ndarray = WORD, upto: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offs: np.ndarray, lower: bool = True, of: np.ndarray = WORD, upto: int = 0, table: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words [^\\x20\\x09-\\x0D]+ (or runs of the bytes in `of`) of each row: (64-bit hash of each word, its row's word range as offsets, word byte starts).
 
-    Words never run from a row into the next.  upto: only that many first bytes of each word are hashed.
+    Words never run from a row into the next.  upto: only that many first bytes of each word are hashed.  table: the
+    bytes' values, another hash function for each.
     """
     n = len(data)
     if not n:
@@ -95,7 +96,7 @@ def words(data: np.ndarray, offs: np.ndarray, lower: bool = True, of: np.ndarray
     if upto:
         end = np.minimum(end, begin + upto)
     up, down = powers(n + 1)
-    values = _BYTE[_LOWER[data]] if lower else _BYTE[data]
+    values = table[_LOWER[data]] if lower else table[data]
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(values * up[:n], out=total[1:])
     hashes = mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
