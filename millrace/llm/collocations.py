@@ -221,7 +221,7 @@ def _collocations(docs: DataFrame, lang_col: str, text_col: str, least: int, bes
         clash = hashed.groupBy("h").agg(F.min("word").alias("a"), F.max("word").alias("b"), F.max("c").alias("c")).where(f"a <> b AND c >= {least}")
         if clash.isEmpty():
             break
-        table = mix(table + np.uint64(attempt + 1))
+        table = mix(table + np.arange(256 * attempt + 1, 256 * attempt + 257, dtype=np.uint64))
     else:
         raise ValueError("frequent words have one hash under four hash functions")
     totals = written(counted.groupBy("lang").agg(F.sum("c").alias("n")), "totals")
