@@ -6,36 +6,38 @@ than once, each time newer: the last of each key counts, so a repeated batch cha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.operators.dedupe import latest
 from millrace.plans.registry import query
-from millrace.plans.scores import alert_step
 from millrace.sources.scratch import fresh
+from millrace.streaming.alerts import ROCKSDB, limited
 
 EVENTS = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream, with a watermark of ten minutes."""
+def events(spark: SparkSession, sf_dir: str, delay: str = "10 minutes") -> DataFrame:
+    """The events as a stream, with a watermark."""
     files = spark.readStream.schema(EVENTS).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{sf_dir}/event*.parquet")
-    return files.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
+    return files.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
 def drained(stream: DataFrame, keys: list[str] | None, mode: str = "update") -> DataFrame:
     """Run a stream over what there is; the last row of each key, or all rows."""
     spark = stream.sparkSession
     path, at = fresh(spark, "stream"), fresh(spark, "stream-state")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        stream.writeStream.outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
     out = spark.read.schema(stream.select("*", F.lit(0).alias("_batch")).schema).option("recursiveFileLookup", True).parquet(path)
     return (latest(out, keys, ["_batch"]) if keys else out).drop("_batch")
 
@@ -62,26 +64,28 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
+def first_of_day(events: DataFrame) -> DataFrame:
+    """Each user's first row of a type and day, from a stream with a watermark on ts.
+
+    A key is kept until the watermark has passed its first row by the watermark's delay: with a day's delay that is as
+    long as another row of its day can come, and no longer.
+    """
+    e = events.select("user_id", "event_type", F.date_trunc("day", "ts").alias("day"), "ts")
+    return e.dropDuplicatesWithinWatermark(["user_id", "event_type", "day"])
+
+
 @query("SELECT DISTINCT user_id, event_type, time_bucket(INTERVAL 1 DAY, ts) AS day FROM events")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's first event of a type and day; later ones are dropped by state."""
-    e = events(spark, sf_dir).select("user_id", "event_type", F.date_trunc("day", "ts").alias("day"))
-    return drained(e.dropDuplicates(["user_id", "event_type", "day"]), None, "append").select("user_id", "event_type", F.col("day").cast("timestamp_ntz").alias("day"))
+    """Each user's first event of a type and day; later ones are dropped by state that the watermark evicts."""
+    e = events(spark, sf_dir, "24 hours")
+    return drained(first_of_day(e), None, "append").select("user_id", "event_type", F.col("day").cast("timestamp_ntz").alias("day"))
 
 
-def limit_alerts(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """alert_step over a channel's rows in order of time, from batch to batch."""
-    hour, sent, names, times = state.get if state.exists else (-1, 0, [], [])
-    now = {"hour": hour, "sent": sent, "last": dict(zip(names, times, strict=True))}
-    rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
-    out = [alert_step(now, r) for r in rows.to_dict("records")]
-    state.update((now["hour"], now["sent"], list(now["last"]), list(now["last"].values())))
-    yield pd.DataFrame(out, columns=["asset", "event_id", "signature", "sent"])
+def alert_stream(events: DataFrame) -> DataFrame:
+    return events.where("value > 20").select(F.col("event_type").alias("asset"), "event_id", F.unix_timestamp("ts").alias("t"), F.concat_ws("_", "event_type", F.round(F.col("value") / 50, 1).cast("string")).alias("signature"), "ts")
 
 
 @query()
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alerts under the hourly cap and the cool-down, with keyed state."""
-    e = events(spark, sf_dir).where("value > 20").select(F.col("event_type").alias("asset"), "event_id", F.unix_timestamp("ts").alias("t"), F.concat_ws("_", "event_type", F.round(F.col("value") / 50, 1).cast("string")).alias("signature"))
-    limited = e.groupBy("asset").applyInPandasWithState(limit_alerts, "asset string, event_id long, signature string, sent boolean", "hour long, sent long, names array<string>, times array<long>", "append", GroupStateTimeout.NoTimeout)
-    return drained(limited, None, "append")
+    """Alerts under the hourly cap and the cool-down, with keyed state that is forgotten after an hour and a day."""
+    return drained(limited(alert_stream(events(spark, sf_dir))), None, "append").select("asset", "event_id", "signature", "sent")
