@@ -61,7 +61,7 @@ def tuned(train: DataFrame, test: DataFrame, seed: int = 42, size: int = 20, gen
     out = []
     for k, (name, f) in enumerate(zip(TARGETS, found, strict=True)):
         w = f.point[:4] / f.point[:4].sum()
-        gain = (f.score - base[k]) / abs(base[k]) * 100 if base[k] and np.isfinite(base[k]) else None
+        gain = float((f.score - base[k]) / abs(base[k]) * 100) if base[k] and np.isfinite(base[k]) else None
         number = lambda x: float(x) if np.isfinite(x) else None
         out.append((name, number(base[k]), number(f.score), gain, *map(float, w), float(f.point[4]), number(later[k, k]), f.generations, f.converged))
     return out
