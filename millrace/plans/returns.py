@@ -18,19 +18,28 @@ DAYS_AHEAD = [1, 3, 7, 14, 30]
 OFF_TIES = 3.7e-9
 
 
+def horizon_points(events: DataFrame, least_confidence: float = 0.5) -> DataFrame:
+    """Each event with enough confidence, five times: `at` is its publication or a horizon after it, tol the tolerance there."""
+    horizons = events.sparkSession.createDataFrame([(n, h * HOUR, int(t * HOUR)) for n, h, t in HORIZONS], "name string, shift long, tol long")
+    kept = events.where(F.col("confidence") >= least_confidence)
+    return kept.crossJoin(F.broadcast(horizons)).withColumn("at", F.timestamp_micros(micros(F.col("ts")) + F.col("shift")))
+
+
+def returns_of(found: DataFrame) -> DataFrame:
+    """One row per event of (article_id, asset, ts, confidence, name, price), with log returns; those without a price at publication go."""
+    wide = found.groupBy("article_id", "asset", "ts", "confidence").agg(*[F.max(F.when(F.col("name") == n, F.col("price"))).alias(f"price_{n}") for n, _, _ in HORIZONS])
+    returns = [F.round(F.when((F.col("price_at_pub") > 0) & (F.col(f"price_{n}") > 0), F.log(F.col(f"price_{n}") / F.col("price_at_pub"))), 6).alias(f"ret_{n}") for n, _, _ in HORIZONS[1:]]
+    return wide.where("price_at_pub IS NOT NULL").select("article_id", "asset", "confidence", *[f"price_{n}" for n, _, _ in HORIZONS], *returns)
+
+
 def event_returns_of(events: DataFrame, prices: DataFrame, least_confidence: float = 0.5) -> DataFrame:
     """events (article_id, asset, ts, confidence) with the prices nearest to publication and to each horizon, and log returns.
 
     Events below least_confidence go, and so do those without a price at publication.
     """
-    spark = events.sparkSession
-    horizons = spark.createDataFrame([(n, h * HOUR, int(t * HOUR)) for n, h, t in HORIZONS], "name string, shift long, tol long")
-    kept = events.where(F.col("confidence") >= least_confidence)
-    points = kept.crossJoin(F.broadcast(horizons)).withColumn("at", F.timestamp_micros(micros(F.col("ts")) + F.col("shift")))
+    points = horizon_points(events, least_confidence)
     found = nearest(points, prices, "asset", "at", "ts", "price", ["article_id", "asset", "ts", "confidence", "name"], F.col("tol"), 4 * HOUR, "event_id")
-    wide = found.groupBy("article_id", "asset", "ts", "confidence").agg(*[F.max(F.when(F.col("name") == n, F.col("price"))).alias(f"price_{n}") for n, _, _ in HORIZONS])
-    returns = [F.round(F.when((F.col("price_at_pub") > 0) & (F.col(f"price_{n}") > 0), F.log(F.col(f"price_{n}") / F.col("price_at_pub"))), 6).alias(f"ret_{n}") for n, _, _ in HORIZONS[1:]]
-    return wide.where("price_at_pub IS NOT NULL").select("article_id", "asset", "confidence", *[f"price_{n}" for n, _, _ in HORIZONS], *returns)
+    return returns_of(found)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
