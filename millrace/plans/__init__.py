@@ -1,7 +1,7 @@
 """Named queries over the tables, and their SQL."""
 
-from millrace.plans import analysis, extras, files, frames, images, more, pages, reports, returns, scores, stored, studies, texts, tuning, validation
+from millrace.plans import analysis, extras, files, frames, images, more, pages, reports, returns, scores, stored, strategies, studies, texts, tuning, validation
 from millrace.plans.registry import ORACLES, QUERIES
 from millrace.streaming import queries as streams
 
-__all__ = ["ORACLES", "QUERIES", "analysis", "extras", "files", "frames", "images", "more", "pages", "reports", "returns", "scores", "stored", "streams", "studies", "texts", "tuning", "validation"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "extras", "files", "frames", "images", "more", "pages", "reports", "returns", "scores", "stored", "strategies", "streams", "studies", "texts", "tuning", "validation"]
