@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.sources.scratch import kept
+
 DAY = ("asset", "day")
 
 
@@ -29,23 +31,48 @@ def with_carry(df: DataFrame, of_day: list[Column], carried: dict[str, Column])
     return df.join(days.select(*DAY, *[c.alias(k) for k, c in carried.items()]), list(DAY))
 
 
-def quantiles(df: DataFrame, key: str, value: str, shares: dict[str, float], bins: int = 10_000) -> DataFrame:
-    """Exact interpolated quantiles of each key, without any key's values in one place: bins are counted first, and only the
-    bins that hold a wanted rank are sorted.  Null values don't count; a key without values has no row."""
-    v = F.col(value)
-    ends = df.groupBy(key).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.count(v).alias("_n")).where("_n > 0")
-    at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))).otherwise(0)
-    binned = df.where(v.isNotNull()).join(ends, key).select(key, v.alias("_v"), at.cast("int").alias("_bin"), "_n")
-    counts = binned.groupBy(key, "_bin", "_n").agg(F.count("*").alias("_c"))
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(W.partitionBy(key).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    ranks = F.array(*[f(q * (F.col("_n") - 1)).cast("long") for q in shares.values() for f in (F.floor, F.ceil)])
-    wanted = counts.withColumn("_ranks", F.array_distinct(F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c"))))).where(F.size("_ranks") > 0)
-    rows = binned.join(wanted.select(key, "_bin", "_before", "_ranks"), [key, "_bin"])
-    rank = F.col("_before") + F.row_number().over(W.partitionBy(key, "_bin").orderBy("_v")) - 1
-    picked = rows.withColumn("_rank", rank).where(F.array_contains("_ranks", F.col("_rank"))).groupBy(key, "_n").agg(F.map_from_entries(F.collect_list(F.struct(F.col("_rank").cast("long"), "_v"))).alias("_m"))
-    out = {}
-    for name, q in shares.items():
-        x = q * (F.col("_n") - 1)
-        low, high = (F.element_at("_m", f(x).cast("long")) for f in (F.floor, F.ceil))
-        out[name] = low + (high - low) * (x - F.floor(x))
-    return picked.select(key, *[c.alias(k) for k, c in out.items()])
+#: Rank error of the first bounds, as a share of a key's rows, is 1 / ACCURACY; splitters of what lies between them.
+ACCURACY, SPLITTERS = 10_000, 100
+
+
+def quantiles(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles of each key; no key's values, and no range of them, come together in one task.
+
+    1. A sketch of each key bounds each wanted rank by two values that at most 4 / ACCURACY of the key's rows lie between.
+    2. Rows below the bounds are counted, those between are grouped by value, so repeated values are one row.
+    3. Of these, splitters (again from a sketch) make up to 100 bins; the bins with a wanted rank, and only they, are sorted.
+    Bounds that miss their rank are replaced by the key's least and largest value, so the sketches decide the cost and not the result.
+    How the values are spread plays no part.  Null values and null keys don't count; a key without values has no row.
+    """
+    names = list(shares)
+    base = kept(df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key).alias("_k"), F.col(value).alias("_v")), "values")
+    ps = [min(1.0, max(0.0, q + d * 2 / ACCURACY)) for q in shares.values() for d in (-1, 1)]
+    bounds = base.groupBy("_k").agg(F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.percentile_approx("_v", ps, ACCURACY).alias("_p"))
+    counts = [f(F.col("_v"), i).alias(f"_{w}{i}") for i in range(len(names)) for w, f in (("b", lambda v, i: F.count_if(v < F.get("_p", 2 * i))), ("i", lambda v, i: F.count_if(v.between(F.get("_p", 2 * i), F.get("_p", 2 * i + 1)))))]
+    first = base.join(bounds.select("_k", "_p"), "_k").groupBy("_k").agg(*counts).join(bounds, "_k")
+    wanted = []
+    for i, q in enumerate(shares.values()):
+        at = F.lit(q) * (F.col("_n") - 1)
+        low, high = F.floor(at).cast("long"), F.ceil(at).cast("long")
+        ok = (F.col(f"_b{i}") <= low) & (high < F.col(f"_b{i}") + F.col(f"_i{i}"))
+        wanted.append(F.struct(F.lit(i).alias("q"), at.alias("at"), low.alias("low"), high.alias("high"), F.when(ok, F.col(f"_b{i}")).otherwise(0).alias("before"), F.when(ok, F.get("_p", 2 * i)).otherwise(F.col("_min")).alias("lo"), F.when(ok, F.get("_p", 2 * i + 1)).otherwise(F.col("_max")).alias("hi")))
+    wanted = kept(first.select("_k", F.array(*wanted).alias("_w")), "wanted")
+    near = base.join(wanted, "_k").select("_k", "_v", F.explode(F.filter("_w", lambda w: F.col("_v").between(w["lo"], w["hi"]))).alias("w"))
+    by = ["_k", "_q"]
+    counted = near.groupBy("_k", F.col("w.q").alias("_q"), "_v").agg(F.count("*").alias("_c"))
+    splitters = counted.groupBy(*by).agg(F.percentile_approx("_v", [j / SPLITTERS for j in range(1, SPLITTERS)], 10 * SPLITTERS).alias("_s"))
+    binned = counted.join(splitters, by).withColumn("_bin", F.size(F.filter("_s", lambda s: s < F.col("_v")))).drop("_s")
+    asked = wanted.select("_k", F.explode("_w").alias("w")).select("_k", F.col("w.q").alias("_q"), "w.at", "w.low", "w.high", "w.before")
+    running = lambda *parts: F.coalesce(F.sum("_c").over(W.partitionBy(*by, *parts[:-1]).orderBy(parts[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bins = binned.groupBy(*by, "_bin").agg(F.sum("_c").alias("_c")).withColumn("_below", running("_bin")).join(asked, by).withColumn("_below", F.col("_below") + F.col("before"))
+    holds = lambda a, n: ((F.col("low") >= a) & (F.col("low") < a + n)) | ((F.col("high") >= a) & (F.col("high") < a + n))
+    bins = bins.where(holds(F.col("_below"), F.col("_c"))).drop("_c", "before")
+    rows = binned.join(bins, [*by, "_bin"]).withColumn("_below", F.col("_below") + running("_bin", "_v")).where(holds(F.col("_below"), F.col("_c")))
+    has = lambda rank: F.max(F.when((F.col(rank) >= F.col("_below")) & (F.col(rank) < F.col("_below") + F.col("_c")), F.col("_v")))
+    ends = rows.groupBy(*by).agg(has("low").alias("a"), has("high").alias("b"), F.max(F.col("at") - F.col("low")).alias("f")).withColumn("x", F.col("a") + (F.col("b") - F.col("a")) * F.col("f"))
+    return ends.groupBy(F.col("_k").alias(key)).agg(*[F.max(F.when(F.col("_q") == i, F.col("x"))).alias(n) for i, n in enumerate(names)])
+
+
+def cuts(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row with exact quantiles of a whole column; no row if it has no values."""
+    return quantiles(df.select(F.lit(0).alias("_all"), value), "_all", value, shares).drop("_all")

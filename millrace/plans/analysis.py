@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.stats import correlation, score_bucket, t_p_value
-from millrace.operators.carry import DAY, before, inside, quantiles, with_carry, with_days
+from millrace.operators.carry import DAY, before, cuts, inside, quantiles, with_carry, with_days
 from millrace.plans.registry import query
 from millrace.plans.returns import FACTS, facts
 from millrace.tables import ARTICLES, DAILY, TICKS, articles, ticks
@@ -36,10 +36,10 @@ labelled AS (SELECT facts.*, CASE WHEN signal <= a THEN 'low' WHEN signal <= b T
 
 def quartiles(df: DataFrame, column: str = "signal") -> DataFrame:
     """df with `quartile`: right-closed bins at the interpolated quartiles."""
-    cuts = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    at = cuts(df, column, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75})
     x = F.col(column)
-    label = F.when(x <= F.get("_q", 0), "low").when(x <= F.get("_q", 1), "mid_low").when(x <= F.get("_q", 2), "mid_high").otherwise("high")
-    return df.crossJoin(F.broadcast(cuts)).withColumn("quartile", label).drop("_q")
+    label = F.when(x <= F.col("_q1"), "low").when(x <= F.col("_q2"), "mid_low").when(x <= F.col("_q3"), "mid_high").otherwise("high")
+    return df.join(F.broadcast(at), F.lit(True), "left").withColumn("quartile", label).drop("_q1", "_q2", "_q3")
 
 
 @query(f"""WITH {QUARTERS} SELECT CASE WHEN GROUPING(theme) = 0 THEN 'theme' WHEN GROUPING(bias) = 0 THEN 'bias' WHEN GROUPING(y) = 0 THEN 'period' ELSE 'quartile' END AS part,

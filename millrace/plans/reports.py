@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators.carry import quantiles
 from millrace.plans.frames import MONTHS, _frame, _frame_sql, regimes
 from millrace.plans.registry import query
 from millrace.plans.returns import FACTS, facts
@@ -29,12 +30,12 @@ def score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _scored(spark, sf_dir).withColumns({"r": F.round("score", 9), "c": F.round("confidence", 9)}).where("c > 0.3")
     r, share = F.col("r"), lambda c: F.round(F.avg(c.cast("double")), 6)
     bins = {"strong_bullish": r > 0.5, "moderate_bullish": (r > 0.1) & (r <= 0.5), "neutral": r.between(-0.1, 0.1), "moderate_bearish": (r >= -0.5) & (r < -0.1), "strong_bearish": r < -0.5}
-    cuts = F.percentile("score", F.array(*[F.lit(p / 100) for p in (10, 25, 50, 75, 90)]))
+    at = quantiles(s, "event_type", "score", {f"p{p}": p / 100 for p in (10, 25, 50, 75, 90)}).withColumnRenamed("event_type", "asset")
     g = s.groupBy(F.col("event_type").alias("asset")).agg(
         F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("sd"), F.round(F.min("score"), 6).alias("least"), F.round(F.max("score"), 6).alias("most"), F.round(F.avg("confidence"), 6).alias("confidence"),
         share(r > 0.1).alias("bullish"), share(r < -0.1).alias("bearish"), share(F.col("c") > 0.7).alias("sure"), *[F.count_if(c).alias(k) for k, c in bins.items()],
-        *[F.round(F.abs(F.avg(k)) * w, 6).alias(f"{k}_contribution") for k, w in COMPONENTS.items()], cuts.alias("cuts"))
-    return g.select("*", *[F.round(F.get("cuts", i), 6).alias(f"p{p}") for i, p in enumerate((10, 25, 50, 75, 90))]).drop("cuts")
+        *[F.round(F.abs(F.avg(k)) * w, 6).alias(f"{k}_contribution") for k, w in COMPONENTS.items()])
+    return g.join(at, "asset").select(*g.columns, *[F.round(f"p{p}", 6).alias(f"p{p}") for p in (10, 25, 50, 75, 90)])
 
 
 @query(f"""WITH {SCORES}, last AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY asset ORDER BY ts DESC, event_id DESC) <= 100), l20 AS (SELECT * FROM last QUALIFY row_number() OVER (PARTITION BY asset ORDER BY ts DESC, event_id DESC) <= 20),

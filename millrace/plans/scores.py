@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import scoring as S
 from millrace.functions import text as T
 from millrace.functions.rolling import indicators
+from millrace.operators.carry import cuts
 from millrace.operators.simulate import LongCall, backtest, ordered_fold
 from millrace.plans.registry import query
 
@@ -166,8 +167,8 @@ def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.try_divide(F.length(t) - F.length(F.translate(t, T.UPPER, "")), F.length(t)), F.lit(0.0)).alias("capital"),
         F.coalesce(F.try_divide(F.length(t) - F.length(F.translate(t, "#*$%&|<>!", "")), F.length(t)), F.lit(0.0)).alias("symbols"),
         F.size(F.split(t, "\n")).cast("double").alias("lines"))
-    cuts = d.agg(F.percentile("doc_id", F.array(*[F.lit(i / 5) for i in range(1, 5)])).alias("c"))
-    return d.crossJoin(F.broadcast(cuts)).withColumn("fold", F.size(F.filter("c", lambda x: x < F.col("doc_id")))).drop("c")
+    at = cuts(d, "doc_id", {f"c{i}": i / 5 for i in range(1, 5)}).select(F.array("c1", "c2", "c3", "c4").alias("c"))
+    return d.join(F.broadcast(at), F.lit(True), "left").withColumn("fold", F.size(F.filter("c", lambda x: x < F.col("doc_id")))).drop("c")
 
 
 @query("""WITH d AS (SELECT doc_id, quality FROM documents JOIN labels USING (doc_id)), c AS (SELECT quantile_cont(doc_id, 0.2) AS a, quantile_cont(doc_id, 0.4) AS b, quantile_cont(doc_id, 0.6) AS c, quantile_cont(doc_id, 0.8) AS e FROM d)
