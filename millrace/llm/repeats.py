@@ -3,12 +3,13 @@
 1. Equal texts: all copies but the one with the smallest id go whole (if they have 100 bytes).
 2. Which strings can be equal?  Each 100-byte window has an anchor: its 32-byte string with the least hash.  Equal windows
    have equal anchors at the same place, so a window whose anchor occurs once in the corpus is unique.  Anchors are
-   about one in 35 positions; only their hashes are shuffled and counted.
+   about one in 35 positions; only their hashes are shuffled and counted.  Neighbouring windows whose anchors have one hash, as in
+   a run of one character or of a short period, are one stretch, cut into pieces of PIECE windows.
 3. The windows of each repeated anchor, with the bytes around it, go to the anchor's hash partition, and a two-stage
    suffix sort of the partition's strings, block by block, followed by common prefixes of neighbours, finds the
    classes of equal windows: all but the earliest are covered.
-4. An anchor that occurs very often is dealt to many sorts by document.  Each leaves one earliest window per class;
-   their 128-bit hashes are then reduced by min() over the corpus.
+4. An anchor that occurs very often is dealt to many sorts by document and place.  Each leaves one earliest window per
+   class; their 128-bit hashes are then reduced by min() over the corpus.
 
 So no task holds all occurrences of a common passage, and every document is compared with all others.
 """
@@ -31,12 +32,16 @@ from millrace.llm.suffixes import same_as_before, sort_suffixes
 from millrace.llm.textkit import _BYTE, mix, powers, signed, slices
 
 WINDOW, GRAM = 100, 32
-#: Occurrences of an anchor from which it is dealt to several sorts, and how many each of them then gets, about.
-HOT, SHARE = 2_000, 1_000
+#: Occurrences of an anchor from which it is dealt to several sorts, and how many each of them then gets, about; a stretch counts
+#: once for each WEIGHT windows.
+HOT, SHARE, WEIGHT = 2_000, 1_000, 128
+#: Most windows of a stretch that go to one sort as one string.
+PIECE = 1 << 12
 #: Bytes in one suffix sort, about.
 BLOCK = 1 << 20
 _SEEN = 100_000
-_NONE = -(1 << 63)
+#: Rows without id get ids below all others, one for each text.
+_FIRST, _NONE = -(1 << 63), -(1 << 63) + (1 << 40)
 
 
 def gram_hashes(data: np.ndarray, size: int, table: np.ndarray = _BYTE) -> np.ndarray:
@@ -48,12 +53,12 @@ def gram_hashes(data: np.ndarray, size: int, table: np.ndarray = _BYTE) -> np.nd
     return mix((total[size:] - total[:-size]) * down[: n - size + 1])
 
 
-def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each anchor of the rows: its hash, and the first and last start of the windows that have it."""
+def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each anchor of the rows: its hash, the first and last start of the windows that have it, and whether it is several in a row."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < WINDOW:
-        return none.view(np.uint64), none, none
+        return none.view(np.uint64), none, none, none.astype(bool)
     h = gram_hashes(data, GRAM)
     # The least of each run of grams that a window holds: by 32 bits of hash, the leftmost of equals.
     low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
@@ -74,7 +79,20 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | (at[1:] != at[:-1])
     first, last = np.flatnonzero(starts), np.flatnonzero(ends)
-    return h[at[first]], first, last
+    return pieces(h[at[first]], first, last)
+
+
+def pieces(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring windows of one hash as one stretch, and stretches cut into pieces of PIECE windows; the last array marks stretches of
+    several anchors, within which windows may be equal."""
+    if not len(h):
+        return h, first, last, np.zeros(0, bool)
+    heads = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (first[1:] != last[:-1] + 1)]))
+    several = np.diff(np.append(heads, len(h))) > 1
+    h, first, last = h[heads], first[heads], last[np.append(heads[1:], len(last)) - 1]
+    n = (last - first) // PIECE + 1
+    start = np.repeat(first, n) + PIECE * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    return np.repeat(h, n), start, np.minimum(start + PIECE - 1, np.repeat(last, n)), np.repeat(several, n)
 
 
 def merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -102,8 +120,8 @@ def _find(ids: np.ndarray, lows: np.ndarray, counts: np.ndarray, hot: np.ndarray
     of = np.searchsorted(end, order, side="right")
     heads = np.concatenate([[True], ~same_as_before(order, words, WINDOW)])
     classes = np.cumsum(heads) - 1
-    least = np.minimum.reduceat(rank[of], np.flatnonzero(heads))
-    covered = rank[of] != least[classes]
+    at = rank[of] << 32 | (order - begin[of])  # by string, and within it
+    covered = at != np.minimum.reduceat(at, np.flatnonzero(heads))[classes]
     at = np.sort(order[covered])
     runs: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
     if len(at):
@@ -122,7 +140,8 @@ def _find(ids: np.ndarray, lows: np.ndarray, counts: np.ndarray, hot: np.ndarray
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST) + F.pmod(F.xxhash64(text), F.lit(1 << 40))).alias("id"), text.alias("text"))
 
 
 def _search(source: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -138,7 +157,7 @@ def _search(source: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for first, _, data, offs in slices(batch.column(1)):
-                h, low, high = anchors(data, offs)
+                h, low, high, several = anchors(data, offs)
                 row = np.searchsorted(offs, low, side="right") - 1
                 # An equal text with a smaller id has given its anchors: copies among a task's rows go now.
                 skip = np.zeros(len(offs) - 1, dtype=bool)
@@ -148,8 +167,8 @@ def _search(source: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                     if len(seen) < _SEEN:
                         seen.setdefault(key, doc)
                 use = ~skip[row]
-                h, low, high, row = h[use], low[use], high[use], row[use]
-                where = (low - offs[row] << 8) | (high - low)
+                h, low, high, several, row = h[use], low[use], high[use], several[use], row[use]
+                where = (low - offs[row] << 16) | (several.astype(np.int64) << 15) | (high - low)
                 # One row for an anchor and document, however often a line repeats in it.
                 order = np.lexsort((where, h, row))
                 h, row, where = h[order], row[order], where[order]
@@ -162,7 +181,7 @@ def _search(source: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             for doc, text, places, hashes, counts in zip(*(batch.column(i) for i in range(5)), strict=True):
                 raw = text.as_py().encode()
                 places, hashes = places.values.to_numpy(), hashes.values
-                low, more = places >> 8, places & 255
+                low, more = places >> 16, places & 32767
                 strings = [raw[a : a + m + WINDOW] for a, m in zip(low.tolist(), more.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([hashes, pa.array(np.full(len(low), doc.as_py())), pa.array(low), pa.array(more + 1), counts.values, pa.array(strings, pa.binary())], names=["h", "id", "low", "windows", "occurs", "bytes"])
 
@@ -206,7 +225,9 @@ def _search(source: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     reps = named.join(firsts.select(F.col("rep").alias("id"), "sha"), ["id", "sha"]).select("id")
 
     found = written(source.mapInArrow(find_anchors, "h long, id long, places array<long>"), "anchors")
-    repeated = found.groupBy("h").agg(F.sum(F.size("places")).alias("occurs"), F.count("*").alias("docs")).where("occurs > 1")
+    weight = F.aggregate("places", F.lit(0).cast("long"), lambda a, p: a + 1 + F.floor(p.bitwiseAND(32767) / WEIGHT))
+    stretched = F.exists("places", lambda p: p.bitwiseAND(32768) != 0)
+    repeated = found.groupBy("h").agg(F.sum(weight).alias("occurs"), F.count("*").alias("docs"), F.max(stretched).alias("stretched")).where("occurs > 1 OR stretched").drop("stretched")
     repeated = written(repeated, "repeated")
     counted = by_key(narrowed(found, repeated, "h"), repeated, ["h"], n="docs")
     counted = counted.select("h", "id", F.explode("places").alias("place"), "occurs")
@@ -214,7 +235,7 @@ def _search(source: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     places = written(places.select("id", F.col("x.place").alias("place"), F.col("x.h").alias("h"), F.col("x.occurs").alias("occurs")), "places")
     dropped(found, repeated)
     strings = narrowed(source, places, "id").hint("merge").join(places, "id").select("id", "text", "place", "h", "occurs").mapInArrow(cut_out, "h long, id long, low long, windows long, occurs long, bytes binary")
-    salted = strings.withColumn("salt", F.when(F.col("occurs") > HOT, F.pmod(F.xxhash64("id"), F.ceil(F.col("occurs") / SHARE))).otherwise(F.lit(0)).cast("long"))
+    salted = strings.withColumn("salt", F.when(F.col("occurs") > HOT, F.pmod(F.xxhash64("id", "low"), F.ceil(F.col("occurs") / SHARE))).otherwise(F.lit(0)).cast("long"))
     sorted_ = salted.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(sort_blocks, "id long, start long, stop long, w1 long, w2 long")
     sorted_ = written(sorted_, "windows")
     dropped(places)
@@ -241,8 +262,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     A byte of the UTF-8 text goes if a 100-byte string that covers it also starts earlier: in a document with a smaller
     id, or earlier in the same one.  Strings may overlap, never cross documents, and are judged on the input.
     Null text counts as empty.  Repeated rows count as one document, so neither is earlier; an id must name one text:
-    rows of an id with several texts go whole where they are copies and else stay whole.  A null id counts as the
-    smallest, and stays null.  Extra columns are ignored; an empty table gives no rows.
+    rows of an id with several texts go whole where they are copies and else stay whole.  Rows without id count as
+    earlier than all others, each text as a document of its own (in the order of a hash of theirs), and their id stays null.  Extra columns are ignored; an empty table gives no rows.
     """
     source = _source(docs, id_col, text_col)
     measured, firsts, by_doc = _search(source)
@@ -263,7 +284,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     empty = hashlib.sha256(b"").hexdigest()
     copy = F.col("copy")
     return out.select(
-        F.when(F.col("id") != _NONE, F.col("id")).alias("doc_id"),
+        F.when(F.col("id") >= _NONE, F.col("id")).alias("doc_id"),
         F.col("n").alias("n_bytes"),
         F.when(copy, F.col("n")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
         F.when(copy, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
@@ -278,7 +299,7 @@ def changes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     copies = by_key(measured, firsts, ["sha"], n="copies").where(f"id <> rep AND n >= {WINDOW}").groupBy("id").agg(F.collect_set("sha").alias("copies"))
     both = copies.join(by_doc, "id", "full")
     none = F.array().cast("array<long>")
-    return both.where(F.col("id") != _NONE).select(F.col("id").alias("doc_id"), F.coalesce("copies", F.array().cast("array<string>")).alias("copies"), F.coalesce("start", none).alias("start"), F.coalesce("stop", none).alias("stop"))
+    return both.where(F.col("id") >= _NONE).select(F.col("id").alias("doc_id"), F.coalesce("copies", F.array().cast("array<string>")).alias("copies"), F.coalesce("start", none).alias("start"), F.coalesce("stop", none).alias("stop"))
 
 
 def text_without(text: Column, start: Column, stop: Column) -> Column:
