@@ -1,8 +1,8 @@
 """License scans: known licence sentences, and ordered rules over their sequence.  DataFrame functions only.
 
 A text is cut into sentences, each is normalised, and those that are known give the document's sequence of sentence
-identifiers.  Known are the sentences of notices (SENTENCES), grants that name a licence ("released under the ...", NAMES)
-and SPDX lines (SPDX).  A sentence may be wrapped over lines, with comment marks before each.  RULES are tried in order,
+identifiers.  Known are the sentences of notices (SENTENCES), those with a name in them (NAMED_SLOTS), grants that name a
+licence ("released under the ...", NAMES) and SPDX lines (SPDX).  A sentence may be wrapped over lines, with comment marks before each.  RULES are tried in order,
 longest and most specific first: each takes all places where its identifiers follow one another with at most GAP sentences
 between two, so that a later rule only sees what earlier ones left.
 """
@@ -30,6 +30,19 @@ SENTENCES = {
     _BSD: "bsd-binary",
     f"neither the name of the copyright holder nor the names of its contributors {_ENDORSE}": "bsd-names",
     "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "mit-notice",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd-advertising",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgment": "bsd-advertising",
+    "apache license version 2 0 january 2004": "apache2-text",
+    "mozilla public license version 2 0": "mpl2-text",
+    "boost software license version 1 0 august 17th 2003": "bsl1-text",
+    "eclipse public license v 2 0": "epl2-text",
+    "gnu general public license version 2 june 1991": "gpl2-text",
+    "gnu general public license version 3 29 june 2007": "gpl3-text",
+    "gnu lesser general public license version 2 1 february 1999": "lgpl2.1-text",
+    "gnu lesser general public license version 3 29 june 2007": "lgpl3-text",
+    "gnu affero general public license version 3 19 november 2007": "agpl3-text",
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "cc0-waiver",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-permit",
     "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-permit",
     "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-permit",
@@ -41,9 +54,6 @@ SENTENCES = {
     "this program is free software": "gpl-free",
     "this library is free software": "gpl-free",
     "this file is free software": "gpl-free",
-    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-redistribute",
-    "either version 3 of the license or at your option any later version": "gpl3-or-later",
-    "either version 2 of the license or at your option any later version": "gpl2-or-later",
     "this work is dedicated to the public domain": "public-domain",
     "all rights reserved": "reserved",
 }
@@ -68,8 +78,10 @@ SPDX = ["0BSD", "AFL-3.0", "Apache-1.1", "Apache-2.0", "Artistic-2.0", "BSD-2-Cl
 # Licences and the identifier sequences that grant them, in the order of trial.
 NOTICE_RULES = [
     ("Apache-2.0", ["apache2-the", "apache2-comply", "license-copy-at"]),
+    ("BSD-4-Clause", ["bsd-permit", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-names"]),
     ("BSD-3-Clause", ["bsd-permit", "bsd-source", "bsd-binary", "bsd-names"]),
     ("BSD-3-Clause", ["bsd-permit", "bsd-source", "bsd-names"]),
+    ("BSD-3-Clause", ["bsd-permit", "bsd-binary", "bsd-names"]),
     ("BSD-2-Clause", ["bsd-permit", "bsd-source", "bsd-binary"]),
     ("BSD-2-Clause", ["bsd-permit", "bsd-source"]),
     ("MIT", ["mit-grant", "mit-notice"]),
@@ -78,15 +90,35 @@ NOTICE_RULES = [
     ("Zlib", ["zlib-permit"]),
     ("EPL-2.0", ["epl2-available"]),
     ("Unlicense", ["unlicense-free"]),
+    ("CC0-1.0", ["cc0-waiver"]),
+    ("Apache-2.0", ["apache2-text"]),
+    ("MPL-2.0", ["mpl2-text"]),
+    ("BSL-1.0", ["bsl1-text"]),
+    ("EPL-2.0", ["epl2-text"]),
+    ("GPL-2.0", ["gpl2-text"]),
+    ("GPL-3.0", ["gpl3-text"]),
+    ("LGPL-2.1", ["lgpl2.1-text"]),
+    ("LGPL-3.0", ["lgpl3-text"]),
+    ("AGPL-3.0", ["agpl3-text"]),
     ("Public-Domain", ["public-domain"]),
     ("All-Rights-Reserved", ["reserved"]),
 ]
 # End of fixed values.
 
+#: Sentences with slots of bounded length: a start, a pattern (underscores are spaces) and the identifier.  An endorsement clause counts
+#: whatever its wording, so that a notice that has one is never taken for one that hasn't.
+_SLOT = lambda n: f"(?:_[a-z0-9]+){{0,{n}}}"
+NAMED_SLOTS = [
+    ("endorse or promote products derived from", f"[a-z0-9]+{_SLOT(30)}_endorse_or_promote_products_derived_from{_SLOT(24)}", "bsd-names"),
+    ("to the extent possible under law", f"to_the_extent_possible_under_law{_SLOT(16)}_(?:has|have)_waived_all_copyright_and_related_or_neighboring_rights_to{_SLOT(12)}", "cc0-waiver"),
+]
+#: What may follow the name in a grant: where the licence is to be found.
+TAIL = f"(?:_(?:see|found_in|as_found_in|which_can_be_found|a_copy_of_which){_SLOT(16)})?"
+_TAIL = " (?:see|found in|as found in|which can be found|a copy of which)(?: .*)?$"
 #: Most sentences between two of one rule.
 GAP = 8
 #: Each known sentence has one of these words or word beginnings, so a text without them needs no further look.
-MARKS = ("licen", "reserved", "permission", "redistribut", "software", "domain", "under", "mpl")
+MARKS = ("licen", "reserved", "permission", "redistribut", "software", "domain", "under", "mpl", "endorse")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands before a licence's name in a grant, as a pattern; underscores are spaces.
 GRANT = "(?:(?:this|the)_(?:work|project|software|program|library|package|code|file)_is_)?(?:licensed|released|distributed|available|published)_under_(?:the_terms_of_)?(?:the_|a_|an_)?"
@@ -105,10 +137,16 @@ def _families() -> tuple[dict[str, str], dict[str, list[str]], list[str], list[t
             mark = f"{kind.lower()}{version.removesuffix('.0')}"
             head = f"you can redistribute it and or modify it under the terms of the {words}"
             both = f"{kind.lower()}-redistribute {mark}-or-later"
+            halves = f"{kind.lower()}-redistribute v{version}-or-later", f"{kind.lower()}-redistribute v{version}-only"
+            # After a semicolon the version stands in a sentence of its own, whatever the family.
+            sentences[f"{head} as published by the free software foundation"] = f"{kind.lower()}-redistribute"
+            sentences[f"either version {short} of the license or at your option any later version"] = f"v{version}-or-later"
+            sentences[f"version {short} of the license"] = f"v{version}-only"
             sentences[f"{head} as published by the free software foundation either version {short} of the license or at your option any later version"] = both
             sentences[f"{head} as published by the free software foundation version {short} of the license"] = f"{mark}-only"
             sentences[f"{head} version {short} as published by the free software foundation"] = f"{mark}-only"
             rules += [(f"{kind}-{version}-or-later", ["gpl-free", *both.split()]), (f"{kind}-{version}-or-later", both.split()), (f"{kind}-{version}-only", ["gpl-free", f"{mark}-only"]), (f"{kind}-{version}-only", [f"{mark}-only"])]
+            rules += [(f"{kind}-{version}-{how}", [*free, *half.split()]) for free in (["gpl-free"], []) for how, half in zip(("or-later", "only"), halves, strict=True)]
             names[f"{kind}-{version}"] = [f"{words} version {short}", f"{words} v{short}", f"gnu {kind.lower()} version {short}", f"gnu {kind.lower()} v{short}", f"{kind.lower()} version {short}", f"{kind.lower()} v{short}", f"{kind.lower()}v{short}", f"{kind.lower()} {plain_words(version)}"]
             spdx += [f"{kind}-{version}-only", f"{kind}-{version}-or-later", f"{kind}-{version}", f"{kind}-{version}+"]
     for kind, words in _KINDS.items():
@@ -128,11 +166,12 @@ RULES = [*_RULES, *NOTICE_RULES, *((x, [f"{x.lower()}-under"]) for x in {**NAMES
 
 #: A known sentence between two ends or line ends, of which each stands twice, so that neighbours don't share one; or an end.
 _GRANTED = "(?:" + "|".join(sorted(NAMED, key=lambda x: (-len(x), x))).replace(" ", "_") + ")"
-PATTERN = "[\n\x01](" + "|".join([*(x.replace(" ", "_") for x in sorted(ALL_SENTENCES, key=lambda x: (-len(x), x))), GRANT + _GRANTED, "spdx_license_identifier_[a-z0-9 ]+"]).replace("_", "(?: |\n\n)") + ")[\n\x01]|\x03"
+PATTERN = "[\n\x01](?:[0-9a-f]_)?(".replace("_", " ") + "|".join([*(x.replace(" ", "_") for x in sorted(ALL_SENTENCES, key=lambda x: (-len(x), x))), GRANT + _GRANTED + TAIL, *(x for _, x, _ in NAMED_SLOTS), "spdx_license_identifier_[a-z0-9 ]+"]).replace("_", "(?: |\n\n)") + ")[\n\x01]|\x03"
 #: The steps from a lower-case text to words, line ends and ends: pattern and replacement; \1 is what was found.
 STEPS = [
     ("license-identifier:[ \\t]*", "license-identifier "),
     (r"\+(?:[^a-z0-9+]|$)", "-plus "),
+    ("[.]([ \\t\\r\\f\\x0B]*(?:\\n[^a-z0-9\\n]*)?nor )", "\\1"),
     ("[.!?;:][ \\t\\r\\f\\x0B\\n]+", "\x01"),
     ("\\n[^a-z0-9\x01]*\\n", "\x01"),
     ("[^a-z0-9\\n\x01]+", " "),
@@ -157,10 +196,13 @@ def identifiers(text: Column) -> Column:
 
     def names(x: Column) -> Column:
         x = F.regexp_replace(x, "\n\n", " ")
-        granted = F.try_element_at(named, F.regexp_extract(x, " under (?:the terms of )?(?:the |a |an )?(.*)$", 1))
+        granted = F.try_element_at(named, F.regexp_extract(F.regexp_replace(x, _TAIL, ""), " under (?:the terms of )?(?:the |a |an )?(.*)$", 1))
         parts = F.split(F.replace(F.regexp_extract(x, "^spdx license identifier (.*)$", 1), F.lit(" or later"), F.lit(" orlater")), " (?:or|and) ")
-        spdx = F.transform(parts, lambda p: F.concat(F.lit("spdx-"), F.coalesce(F.try_element_at(lines, F.trim(p)), F.lit("other"))))
-        return F.when(x == "", F.array(F.lit("\x01"))).when(x.startswith("spdx "), spdx).otherwise(F.coalesce(F.split(F.try_element_at(known, x), " "), F.array(F.concat(F.lower(granted), F.lit("-under")))))
+        spdx = F.transform(parts, lambda p: F.concat(F.lit("spdx-"), F.coalesce(F.try_element_at(lines, F.trim(F.regexp_replace(p, " with .*$", ""))), F.lit("other"))))
+        slots = F.when(x == "", F.array(F.lit("\x01")))
+        for part, _, identifier in NAMED_SLOTS:
+            slots = slots.when(x.contains(part), F.array(F.lit(identifier)))
+        return slots.when(x.startswith("spdx "), spdx).otherwise(F.coalesce(F.split(F.try_element_at(known, x), " "), F.array(F.concat(F.lower(granted), F.lit("-under")))))
 
     # Repeated groups would overflow the matcher's stack on long texts, so ends are single characters and identifiers stand apart.
     marks = F.transform(F.flatten(F.transform(found, names)), lambda x: F.when(x == "\x01", x).otherwise(F.concat(F.lit("\x02"), x, F.lit("\x02"))))
@@ -171,7 +213,7 @@ def identifiers(text: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_sentences (known ones), sentences, licenses, unmatched.
 
-    sentences: the identifiers joined by spaces.  licenses: the licences of the rules' places in order, each once, joined
+    sentences: the identifiers joined by spaces.  An exception that an SPDX line adds to a licence (WITH) isn't named.  licenses: the licences of the rules' places in order, each once, joined
     by spaces.  unmatched: identifiers that no rule took.  Null, empty and other texts without known sentences have
     zero and empty strings.  Repeated rows are scanned each; extra columns are ignored; an empty table gives no rows.
     """
@@ -205,12 +247,13 @@ def sql() -> str:
     left = "coalesce(list_aggregate(list_transform(every, lambda x: '|' || x || '|'), 'string_agg', ''), '')"
     for licence, ids in RULES:
         left = f"replace({left}, '{''.join(f'|{x}|' for x in ids)}', '|={licence}|')"
-    name = r"regexp_extract(x, ' under (?:the terms of )?(?:the |a |an )?(.*)$', 1)"
+    name = r"regexp_extract(regexp_replace(x, '" + _TAIL + r"', ''), ' under (?:the terms of )?(?:the |a |an )?(.*)$', 1)"
     parts = r"string_split_regex(replace(regexp_extract(x, '^spdx license identifier (.*)$', 1), ' or later', ' orlater'), ' (?:or|and) ')"
+    slots = " ".join(f"WHEN contains(x, '{part}') THEN '{identifier}'" for part, _, identifier in NAMED_SLOTS)
     return f"""
 WITH cut AS (SELECT doc_id, list_transform(regexp_extract_all({s}, {q(PATTERN)}, 1), lambda x: replace(x, '\n\n', ' ')) AS found FROM documents),
 tables AS MATERIALIZED (SELECT {table(ALL_SENTENCES)} AS known, {table(NAMED)} AS named, {table(LINES)} AS lines),
-named AS (SELECT doc_id, list_transform(found, lambda x: CASE WHEN x = '' THEN '\x01' WHEN starts_with(x, 'spdx ') THEN array_to_string(list_transform({parts}, lambda p: 'spdx-' || coalesce(lines[trim(p)], 'other')), '\x02')
+named AS (SELECT doc_id, list_transform(found, lambda x: CASE WHEN x = '' THEN '\x01' {slots} WHEN starts_with(x, 'spdx ') THEN array_to_string(list_transform({parts}, lambda p: 'spdx-' || coalesce(lines[trim(regexp_replace(p, ' with .*$', ''))], 'other')), '\x02')
   ELSE coalesce(replace(known[x], ' ', '\x02'), lower(named[{name}]) || '-under') END) AS n FROM cut, tables),
 joined AS (SELECT doc_id, replace(regexp_replace(trim(coalesce(array_to_string(list_transform(n, lambda x: CASE WHEN x = '\x01' THEN x ELSE '\x02' || x || '\x02' END), ''), ''), '\x01'), '\x01{{{GAP + 2},}}', '\x02#\x02', 'g'), '\x01', '') AS j FROM named),
 listed AS (SELECT doc_id, list_filter(string_split(j, '\x02'), lambda x: x <> '') AS every FROM joined),
