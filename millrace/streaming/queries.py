@@ -23,10 +23,10 @@ def events(spark: SparkSession, sf_dir: str, delay: str = "10 minutes") -> DataF
     return files.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
-def drained(stream: DataFrame, keys: list[str] | None, mode: str = "update") -> DataFrame:
-    """Run a stream over what there is; the last row of each key, or all rows."""
+def drained(stream: DataFrame, keys: list[str] | None, mode: str = "update", at: str | None = None) -> DataFrame:
+    """Run a stream over what there is; the last row of each key, or all rows.  at: the progress of an earlier run, to go on from."""
     spark = stream.sparkSession
-    path, at = fresh(spark, "stream"), fresh(spark, "stream-state")
+    path, at = fresh(spark, "stream"), at or fresh(spark, "stream-state")
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
 
