@@ -43,7 +43,7 @@ def scoring_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_feeds(pages: DataFrame, path: str) -> None:
     """Pages (page_id, url, title, published) as RSS files of at most 200 items."""
-    text = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\x00"), F.lit(""))
+    text = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     date = F.coalesce(F.concat(F.lit("<pubDate>"), F.date_format("published", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000</pubDate>")), F.lit(""))
     item = F.concat(F.lit("<item><title>"), text(F.col("title")), F.lit("</title><link>"), text(F.col("url")), F.lit("</link>"), date, F.lit("</item>"))
     files = pages.withColumn("part", F.floor(F.col("page_id") / 200)).groupBy("part").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.sort_array(F.collect_list(item)), ""), F.lit("</channel></rss>")).alias("value"))
