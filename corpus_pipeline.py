@@ -32,18 +32,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group whose five-word shingles are alike at 0.8 or more.
 
-    Of rows with one id, one stays, whatever their texts.  Rows without id, and texts without words, are like nothing and stay.
+    Of rows with one id, that with the smallest text stays (null first; of equal ones, the smallest other columns).  Rows without id, and texts
+    without words, are like nothing and stay.
     """
     classes = distilled(lambda: jaccard_join(docs, n=5, percent=80), "near")
     twice = classes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     docs = without(docs, classes.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id")
-    return without(docs, twice, "doc_id").unionByName(docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    others = F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])) if len(docs.columns) > 2 else F.lit("")
+    one = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", others)).alias("kept")).select("kept.*")
+    return without(docs, twice, "doc_id").unionByName(one)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that 100-byte strings repeat from earlier; those of which nothing is left go.
 
-    Repeated rows of one id are cut alike; rows without id stay as they are, but count as earlier than all others.
+    Repeated rows of one id are cut alike; rows without id stay as they are, but all their texts count as earlier than all others.
     """
     copies, start, stop = (unused(docs, x) for x in ("copies", "start", "stop"))
     lost = distilled(lambda: changes(docs), "lost").toDF("doc_id", copies, start, stop)
