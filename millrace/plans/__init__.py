@@ -1,7 +1,7 @@
 """Named queries over the tables, and their SQL."""
 
-from millrace.plans import analysis, extras, files, frames, images, more, pages, reports, returns, runs, scores, stored, strategies, studies, texts, tuning, validation, verdicts
+from millrace.plans import analysis, extras, files, frames, images, more, outcomes, pages, reports, returns, runs, scores, sinks, stored, strategies, studies, texts, timing, tuning, validation, verdicts, weekly
 from millrace.plans.registry import ORACLES, QUERIES
 from millrace.streaming import queries as streams
 
-__all__ = ["ORACLES", "QUERIES", "analysis", "extras", "files", "frames", "images", "more", "pages", "reports", "returns", "runs", "scores", "stored", "strategies", "streams", "studies", "texts", "tuning", "validation", "verdicts"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "extras", "files", "frames", "images", "more", "outcomes", "pages", "reports", "returns", "runs", "scores", "sinks", "stored", "strategies", "streams", "studies", "texts", "timing", "tuning", "validation", "verdicts", "weekly"]
