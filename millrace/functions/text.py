@@ -59,14 +59,32 @@ def word_count(p: Column) -> Column:
     return F.when(p == "", 0).otherwise(F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit(""))) + 1)
 
 
-def words_among(p: Column, terms: list[str]) -> Column:
-    """How many words of a plain text are among terms: one scan of the text, whatever the number of terms."""
-    return F.regexp_count(F.concat(F.lit(" "), p, F.lit(" ")), F.lit(f" (?:{'|'.join(terms)})(?= )"))
+def any_of(terms: list[str]) -> str:
+    """A pattern of plain words that shares their beginnings, so that a word is given up at its first letter that leads nowhere."""
+    rest: dict[str, list[str]] = {}
+    for t in sorted(set(terms)):
+        rest.setdefault(t[:1], []).append(t[1:])
+    ends = rest.pop("", None) is not None
+    parts = "|".join(c + any_of(tails) for c, tails in rest.items())
+    return f"(?:{parts})?" if ends and parts else f"(?:{parts})" if len(rest) > 1 else parts
 
 
-def counted(p: Column, terms: list[str], phrase: float = 1) -> Column:
+def hits(p: Column, *lexicons: list[str]) -> Column:
+    """The words of a plain text that are in any of the lexicons, in order: one scan of the text for all of them together."""
+    words = {t for terms in lexicons for t in terms if " " not in t}
+    return F.regexp_extract_all(F.concat(F.lit(" "), p, F.lit(" ")), F.lit(f" ({any_of(sorted(words))})(?= )"), F.lit(1))
+
+
+def words_among(p: Column, terms: list[str], found: Column | None = None) -> Column:
+    """How many words of a plain text are among terms; found: its hits(), of which terms is one lexicon, so that only they are looked at."""
+    if found is not None:
+        return F.size(F.filter(found, lambda x: x.isin(terms)))
+    return F.regexp_count(F.concat(F.lit(" "), p, F.lit(" ")), F.lit(f" {any_of(terms)}(?= )"))
+
+
+def counted(p: Column, terms: list[str], phrase: float = 1, found: Column | None = None) -> Column:
     """Words of a plain text that are among terms, and `phrase` for each occurrence of a term of several words."""
-    out = words_among(p, [t for t in terms if " " not in t]).cast("double")
+    out = words_among(p, [t for t in terms if " " not in t], found).cast("double")
     for t in terms:
         if " " in t:
             out = out + phrase * occurrences(p, t)
@@ -124,15 +142,15 @@ def without_noise(text: Column) -> Column:
     return F.array_join(F.aggregate(F.split(F.coalesce(text, F.lit("")), "\n"), start, step, lambda a: a["out"]), "\n")
 
 
-def english(p: Column) -> Column:
+def english(p: Column, found: Column | None = None) -> Column:
     """More than a tenth of a plain text's words are common English ones; null without words."""
-    return F.try_divide(words_among(p, COMMON), word_count(p)) > 0.1
+    return F.try_divide(words_among(p, COMMON, found), word_count(p)) > 0.1
 
 
-def relevance(p: Column) -> Column:
+def relevance(p: Column, found: Column | None = None) -> Column:
     """Option words per hundred words of a plain text, at most one."""
     n = word_count(p)
-    return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), words_among(p, OPTION_WORDS) / F.greatest(n / 100, F.lit(1.0))))
+    return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), words_among(p, OPTION_WORDS, found) / F.greatest(n / 100, F.lit(1.0))))
 
 
 def structure(text: Column) -> Column:
@@ -144,8 +162,8 @@ def structure(text: Column) -> Column:
     return F.when(sentences == 0, F.when(F.trim(F.translate(t, "\n\r\t", "   ")) == "", 0.0).otherwise(score)).otherwise(score)
 
 
-def content_quality(text: Column, title: Column, p: Column) -> Column:
-    """0 to 100: length, title, spam, place-holder text and language, four fifths; structure, one fifth."""
+def content_quality(text: Column, title: Column, p: Column, is_english: Column, structured: Column) -> Column:
+    """0 to 100: length, title, spam, place-holder text and language, four fifths; structure (structured), one fifth."""
     n, m = F.length(F.trim(text)), F.length(F.trim(title))
     spam = sum((p.contains(s).cast("int") for s in SPAM), F.lit(0))
     score = (
@@ -154,6 +172,6 @@ def content_quality(text: Column, title: Column, p: Column) -> Column:
         - F.when(m < 10, 15).when(m > 200, 5).otherwise(0)
         - F.least(spam * 15, F.lit(45))
         - F.when(p.contains("lorem ipsum") | p.contains("test test") | (n <= 50), 25).otherwise(0)
-        - F.when(F.coalesce(english(p), F.lit(False)), 0).otherwise(20)
+        - F.when(is_english, 0).otherwise(20)
     )
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 0.8 * score + 0.2 * structure(text)))
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 0.8 * score + 0.2 * structured))

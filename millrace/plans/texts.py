@@ -48,8 +48,9 @@ LEXICONS = {"bullish": T.BULLISH, "bearish": T.BEARISH, "greek": T.GREEK, "vol":
   {', '.join(f'CAST(len(list_filter(w, lambda x: x IN {_in(v)})) AS BIGINT) AS {k}_count' for k, v in T.VOCABULARY.items())} FROM words_)
 SELECT doc_id, {', '.join(f'round({k} / norm, 6) AS {k}_score' for k in LEXICONS)}, round((bullish - bearish) / greatest(bullish + bearish, 1), 6) AS sentiment_ratio, {', '.join(f'{k}_count' for k in T.VOCABULARY)} FROM c""")
 def lexicon_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.col("p")
-    c = _words(spark, sf_dir).select("doc_id", F.greatest(T.word_count(p) / 100, F.lit(1.0)).alias("norm"), *[T.counted(p, v, 2).alias(k) for k, v in LEXICONS.items()], *[T.counted(p, v).cast("long").alias(f"{k}_count") for k, v in T.VOCABULARY.items()])
+    p, h = F.col("p"), F.col("h")
+    found = _words(spark, sf_dir).drop("w").withColumn("h", T.hits(p, *LEXICONS.values(), *T.VOCABULARY.values()))
+    c = found.select("doc_id", F.greatest(T.word_count(p) / 100, F.lit(1.0)).alias("norm"), *[T.counted(p, v, 2, h).alias(k) for k, v in LEXICONS.items()], *[T.counted(p, v, found=h).cast("long").alias(f"{k}_count") for k, v in T.VOCABULARY.items()])
     up, down = F.col("bullish"), F.col("bearish")
     return c.select("doc_id", *[F.round(F.col(k) / F.col("norm"), 6).alias(f"{k}_score") for k in LEXICONS], F.round((up - down) / F.greatest(up + down, F.lit(1.0)), 6).alias("sentiment_ratio"), *[f"{k}_count" for k in T.VOCABULARY])
 
@@ -99,7 +100,9 @@ SELECT doc_id, is_english, round(relevance, 6) AS relevance, CAST(round(structur
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The validator: language, relevance, structure and content scores, their weighted mean, and the verdict."""
     p, t = F.col("p"), F.col("text")
-    s = _words(spark, sf_dir).withColumns({"is_english": F.coalesce(T.english(p), F.lit(False)), "relevance": T.relevance(p), "structure": T.structure(t), "content": T.content_quality(t, F.substring(t, 1, 40), p)})
+    h = F.col("h")
+    s = _words(spark, sf_dir).drop("w").withColumn("h", T.hits(p, T.COMMON, T.OPTION_WORDS)).withColumns({"is_english": F.coalesce(T.english(p, h), F.lit(False)), "relevance": T.relevance(p, h), "structure": T.structure(t)})
+    s = s.withColumn("content", T.content_quality(t, F.substring(t, 1, 40), p, F.col("is_english"), F.col("structure")))
     overall = (0.35 * F.col("content") + 0.15 * F.col("relevance")) / 0.5
     return s.select("doc_id", "is_english", F.round("relevance", 6).alias("relevance"), F.round("structure", 6).alias("structure"), F.round("content", 6).alias("content_quality"), F.round(overall, 6).alias("quality"), ((overall >= 40) & (F.col("relevance") >= 0.3)).alias("is_valid"))
 
