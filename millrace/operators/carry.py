@@ -26,9 +26,31 @@ def with_days(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def with_carry(df: DataFrame, of_day: list[Column], carried: dict[str, Column]) -> DataFrame:
-    """df with columns carried into each day: of_day are aggregates of a day, `carried` expressions over before() on them."""
-    days = df.groupBy(*DAY).agg(*of_day)
-    return df.join(days.select(*DAY, *[c.alias(k) for k, c in carried.items()]), list(DAY))
+    """df with columns carried into each day: of_day are aggregates of a day, `carried` expressions over before() on them.  Null keys and days are ones like others."""
+    days = df.groupBy(*DAY).agg(*of_day).select(*[F.col(c).alias(f"_{c}") for c in DAY], *[c.alias(k) for k, c in carried.items()])
+    return df.join(days, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in DAY]).drop(*[f"_{c}" for c in DAY])
+
+
+#: Rows of one range, about, where rows are numbered.
+RANGE_ROWS = 500_000
+
+
+def numbered(df: DataFrame, shard: Column, order: str, name: str) -> DataFrame:
+    """df with `name`, each row's number from 1 in its shard by `order`, which must be distinct and not null.
+
+    Rows are numbered within ranges of `order` that a sketch makes about equal, and each range then adds the counts of those below it, so
+    a shard of any size is numbered by many tasks.  Where the ranges end makes no difference to the numbers.
+    """
+    n = df.count()
+    ps = [i / k for k in [max(1, min(10_000, n // RANGE_ROWS))] for i in range(1, k)]
+    ends = df.agg(F.percentile_approx(order, ps, 100 * (len(ps) + 1)).alias("p")).first().p if ps else []
+    x = df.withColumns({"_shard": shard, "_range": F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e < F.col(order))) if ends else F.lit(0)})
+    counts = x.groupBy("_shard", "_range").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(W.partitionBy("_shard").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("_shard").alias("_s"), F.col("_range").alias("_r"), before.alias("_before"))
+    x = x.join(counts, F.col("_shard").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
+    place = F.row_number().over(W.partitionBy("_shard", "_range").orderBy(order)) + F.col("_before")
+    return x.withColumn(name, place.cast("long")).drop("_shard", "_range", "_s", "_r", "_before")
 
 
 #: Rank error of the first bounds, as a share of a key's rows, is 1 / ACCURACY; splitters of what lies between them.

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators.simulate import fold_to_one
+
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the largest order for each key: what merging the rows in order leaves.  An aggregate, so keys of any size are fine."""
@@ -22,11 +24,14 @@ def first_by_content(df: DataFrame, content: str, order: str) -> DataFrame:
 def best_of(df: DataFrame, key: str, order: str, measures: list[str]) -> DataFrame:
     """Fold each key's rows in order: a row replaces the kept one if any measure is larger.  (A ranking can't say this.)
 
-    Nulls count as smaller than anything.  Only the key, order and measures are gathered.
+    Nulls count as smaller than anything.  Only the key, order and measures are moved, and a key's rows are streamed.
     """
-    rows = F.sort_array(F.collect_list(F.struct(order, *measures)))
-    step = lambda a, x: F.when(F.greatest(*[F.coalesce(x[m] > a[m], a[m].isNull() & x[m].isNotNull()).cast("int") for m in measures]) == 1, x).otherwise(a)
-    return df.groupBy(key).agg(rows.alias("_rows")).select(key, F.aggregate("_rows", F.get("_rows", F.lit(0)), step).alias("_kept")).select(key, "_kept.*")
+
+    def step(kept: dict | None, row: dict) -> dict:
+        better = kept is None or any(row[m] is not None and (kept[m] is None or row[m] > kept[m]) for m in measures)
+        return row if better else kept
+
+    return fold_to_one(df.select(key, order, *measures), key, [order], step)
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:

@@ -8,6 +8,7 @@ from math import sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,3 +106,29 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], step: Callable[[dict
                 yield pd.DataFrame(out)
 
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
+def fold_to_one(df: DataFrame, key: str, order: list[str], step: Callable[[dict | None, dict], dict]) -> DataFrame:
+    """One row of df's columns per key: what step(kept row or None, next row) leaves after all of the key's rows in order.
+
+    Rows are streamed in Arrow batches, so a key of any length needs the memory of one batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, some = None, False
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if some and row[key] == held[key]:
+                    held = step(held, row)
+                else:
+                    if some:
+                        out.append(held)
+                    held, some = step(None, row), True
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
+            schema = batch.schema
+        if some:
+            yield pa.RecordBatch.from_pylist([held], schema=schema)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, df.schema)

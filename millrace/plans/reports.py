@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.operators.carry import quantiles
+from millrace.operators.carry import before, inside, quantiles, with_carry, with_days
 from millrace.plans.frames import MONTHS, _frame, _frame_sql, regimes
 from millrace.plans.registry import query
 from millrace.plans.returns import FACTS, facts
@@ -100,9 +100,13 @@ def session_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + 3.7e-7, 4) AS running_mean FROM events""")
 def running_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mean of each user's values so far, after every event."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    return load(spark, sf_dir, "events").select("user_id", "event_id", F.round(F.avg("value").over(w) + 3.7e-7, 4).alias("running_mean"))
+    """The mean of each user's values so far, after every event: by day, with sums and counts carried from the days before."""
+    e = with_days(load(spark, sf_dir, "events").select(F.col("user_id").alias("asset"), "event_id", "ts", "value"))
+    so_far = inside("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    carried = {k: F.coalesce(F.sum(c).over(before()), F.lit(0)) for k, c in (("sum_before", "_sum"), ("n_before", "_n"))}
+    x = with_carry(e, [F.sum("value").alias("_sum"), F.count("value").alias("_n")], carried)
+    mean = F.try_divide(F.col("sum_before") + F.coalesce(F.sum("value").over(so_far), F.lit(0.0)), F.col("n_before") + F.count("value").over(so_far))
+    return x.select(F.col("asset").alias("user_id"), "event_id", F.round(mean + 3.7e-7, 4).alias("running_mean"))
 
 
 # ---- search for weights and thresholds

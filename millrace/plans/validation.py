@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions import validate as V
+from millrace.operators.carry import numbered
 from millrace.plans.registry import query
+from millrace.sources.scratch import kept
 from millrace.tables import load
 
 AS_OF = "2024-06-01"
@@ -142,12 +144,10 @@ def date_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, length(text) AS n_chars, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) AS place FROM u WHERE i = 1 AND length(text) > 200""")
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows fit for training: one of each text, with a body of more than 200 characters, numbered within sixteen shards."""
-    from pyspark.sql import Window as W
-
     d = load(spark, sf_dir, "documents").where("text IS NOT NULL")
     first = d.groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("doc_id"), F.max(F.length("text")).cast("long").alias("n_chars"))
-    kept = first.where("n_chars > 200")
-    return kept.select("doc_id", "n_chars", F.row_number().over(W.partitionBy(F.col("doc_id") % 16).orderBy("doc_id")).cast("long").alias("place"))
+    fit = kept(first.where("n_chars > 200").select("doc_id", "n_chars"), "fit")
+    return numbered(fit, F.col("doc_id") % 16, "doc_id", "place")
 
 
 @query("""SELECT page_id, array_to_string(list_transform(string_split(regexp_extract(url, '([^/?#]+)/?(?:[?#].*)?$', 1), '-'), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title FROM pages""")
