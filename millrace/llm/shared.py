@@ -68,6 +68,12 @@ def narrowed(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(bits), on_map, "left_semi")
 
 
+def surely_without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key's bit isn't on the keys' bitmap: none is among keys, and few others are left out.  Nothing is shuffled."""
+    bits, on_map = _may_be_among(lambda c: df[c], keys, key)
+    return df.join(F.broadcast(bits), on_map, "left_anti")
+
+
 def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows of df whose key is not among keys; null keys stay.  Only rows that the bitmap can't tell apart are shuffled."""
     bits, on_map = _may_be_among(lambda c: df[c], keys, key)

@@ -4,21 +4,25 @@ Writing: one HTTP response per page, its body in chunked transfer coding; a reco
 continuation records.  Pages whose payload equals that of another are revisits of one response.  Spark's text writer
 makes the files: a record is a row, and the line separator is the blank lines that end a record.
 
-Reading: each file is parsed record by record by Content-Length; continuation records are grouped by the identifier of
-the record they continue, ordered by segment number and checked against the total length; then chunked framing is decoded.
+Reading: each file is streamed, decompressed and parsed record by record by Content-Length; continuation records are grouped by
+the identifier of the record they continue, ordered by segment number and checked against the total length; then chunked
+framing is decoded.  A broken record is told as such, and reading goes on at the next one.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import re
+import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import by_key, written
+from millrace.llm.shared import by_key, narrowed, surely_without, written
 
 SEGMENT_BYTES = 32_768
 CHUNK_BYTES = 8_192
@@ -70,13 +74,13 @@ def record(headers: dict[str, object], block: bytes) -> str:
     return f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n{block.decode()}"
 
 
-def records(name: str, url: str | None, payload: bytes, digest: str, refers_to: str | None, segment_bytes: int = SEGMENT_BYTES) -> Iterator[str]:
-    """The records of one page."""
+def records(name: str, url: str | None, payload: bytes | int, digest: str, refers_to: str | None, segment_bytes: int = SEGMENT_BYTES) -> Iterator[str]:
+    """The records of one page; a revisit's payload is only its length."""
     own = f"{PREFIX}{name}>"
     uri = "".join(c if c > " " else f"%{ord(c):02X}" for c in url) if url else None
     common = {"WARC-Date": DATE, "WARC-Target-URI": uri}
     if refers_to is not None:
-        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX-Payload-Length: {len(payload)}\r\n\r\n".encode()
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX-Payload-Length: {payload}\r\n\r\n".encode()
         yield record({"WARC-Type": "revisit", "WARC-Record-ID": own, **common, "WARC-Payload-Digest": f"sha1:{digest}", "WARC-Refers-To": f"{PREFIX}{refers_to}>", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "Content-Type": "application/http;msgtype=response"}, block)
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
@@ -97,72 +101,225 @@ def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> No
     Extra columns are ignored.  An empty table gives an empty folder.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("sha", F.sha1("html")).withColumn("name", F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("unnamed-"), F.monotonically_increasing_id().cast("string"))))
-    keyed = rows.select("page_id", "sha", F.octet_length("html").alias("n")).where(f"n >= {LEAST_REVISIT}")
-    largest = written(keyed.where("page_id IS NOT NULL").groupBy("sha", "n").agg(F.max("page_id").alias("response"), F.count("*").alias("copies")).where("copies > 1"), "largest")
-    seen = by_key(keyed, largest, ["sha", "n"], n="copies").where("page_id <> response").select("page_id", "sha", "response").distinct()
+    rows = rows.withColumn("sha", F.sha1("html")).withColumn("name", F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("unnamed-"), F.monotonically_increasing_id().cast("string")))).withColumn("key", F.concat_ws(":", "name", "sha"))
+    keyed = rows.select("page_id", "key", "name", "url", "sha", F.octet_length("html").alias("n")).where(f"page_id IS NOT NULL AND n >= {LEAST_REVISIT}")
+    largest = written(keyed.groupBy("sha", "n").agg(F.max("page_id").alias("response"), F.count("*").alias("copies")).where("copies > 1"), "largest")
+    revisits = written(by_key(keyed, largest, ["sha", "n"], n="copies").where("page_id <> response").select("key", "name", "url", "sha", "n", F.col("response").cast("string").alias("response")), "revisits")
+    # A revisit needs no payload; of the others, those that the bitmap can't tell from revisits are few, and they alone are shuffled.
+    keys = revisits.select("key").distinct()
+    unsure = narrowed(rows.where("page_id IS NOT NULL").select("key"), keys, "key").join(keys, "key", "left_anti").distinct()
+    unsure = written(unsure, "unsure")
+    responses = surely_without(rows, keys, "key").unionByName(narrowed(rows, unsure, "key").join(unsure, "key", "left_semi"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[str] = []
-            for name, url, html, sha, response in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out.extend(records(name, url, html.encode(), sha, response, segment_bytes))
+            for name, url, html, sha, n, response in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out.extend(records(name, url, n if html is None else html.encode(), sha, response, segment_bytes))
             yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
 
-    lines = rows.join(seen, ["page_id", "sha"], "left").select("name", "url", "html", "sha", F.col("response").cast("string")).mapInArrow(run, "value string")
+    none = F.lit(None).cast("string")
+    every = responses.select("name", "url", "html", "sha", F.lit(0).alias("n"), none.alias("response")).unionByName(revisits.select("name", "url", none.alias("html"), "sha", "n", "response"))
+    lines = every.mapInArrow(run, "value string")
     lines.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_A_FILE).option("compression", "gzip").text(path)
 
 
-def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-cased name, block) of each record of a file, plain or in gzip members."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
-    at = 0
-    while at < len(raw):
-        stop = raw.index(b"\r\n\r\n", at)
-        version, *lines = raw[at:stop].decode(errors="replace").split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+#: Bytes that are read at once, and most bytes of a record's headers.
+READ_BYTES, MOST_HEADERS = 1 << 20, 1 << 20
+_START = re.compile(rb"(?:\r?\n)WARC/[0-9]")
+_BLANK = re.compile(rb"\r?\n\r?\n")
+
+
+def plain(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Bytes as they are, or what gzip members hold; a broken member ends in a blank line, and the next one goes on."""
+    first = next(chunks, b"")
+    if first[:2] != b"\x1f\x8b":
+        yield first
+        yield from chunks
+        return
+    raw, d = first, zlib.decompressobj(31)
+    while True:
+        before = d.copy()
+        try:
+            out = d.decompress(raw, READ_BYTES)
+        except zlib.error:
+            yield from _upto_error(before, raw)
+            yield b"\r\n\r\n"
+            raw, d = raw[1:], zlib.decompressobj(31)
+            while b"\x1f\x8b\x08" not in raw:
+                more = next(chunks, b"")
+                if not more:
+                    return
+                raw = raw[-2:] + more
+            raw = raw[raw.index(b"\x1f\x8b\x08") :]
+            continue
+        if out:
+            yield out
+        if d.eof:
+            raw, d = d.unused_data.lstrip(b"\0"), zlib.decompressobj(31)
+        else:
+            raw = d.unconsumed_tail
+        if not raw and len(out) < READ_BYTES:  # else more may be to come of what went in
+            raw = next(chunks, b"")
+            if not raw:
+                return
+
+
+def _upto_error(d, raw: bytes) -> Iterator[bytes]:
+    """What a member gives before it breaks, but for the last few bytes."""
+    try:
+        while out := d.decompress(raw, 256):
+            yield out
+            raw = d.unconsumed_tail
+    except zlib.error:
+        return
+
+
+class _Bytes:
+    """What is at hand of a stream, and more on demand."""
+
+    def __init__(self, chunks: Iterator[bytes]) -> None:
+        self.chunks, self.held, self.ended = chunks, bytearray(), False
+
+    def upto(self, n: int) -> bool:
+        """Hold n bytes, if there are so many."""
+        while len(self.held) < n and not self.ended:
+            more = next(self.chunks, None)
+            if more is None:
+                self.ended = True
+            else:
+                self.held += more
+        return len(self.held) >= n
+
+    def find(self, pattern: re.Pattern, start: int, most: int | None = None) -> re.Match | None:
+        """The first match from start on, reading on for it, `most` bytes at most."""
+        at = start
+        while True:
+            m = pattern.search(self.held, at)
+            if m and (m.end() < len(self.held) or self.ended):
+                return m
+            if self.ended or most is not None and len(self.held) - start > most:
+                return m
+            at = max(start, len(self.held) - 16)
+            self.upto(len(self.held) + 1)
+
+
+def parse(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """(headers by lower-cased name, block) of each record of a file, given in pieces, plain or in gzip members.
+
+    Lines may end in LF alone, and blank lines may stand between records.  The block is null, and reading goes on at the next
+    record's start, where a length is missing or isn't that of the block, and where the file ends within it; what isn't a record
+    at all comes without headers.
+    """
+    s = _Bytes(plain(chunks))
+    while True:
+        s.upto(16)
+        blank = re.match(rb"(?:\r?\n)*", s.held).end()
+        if blank:
+            del s.held[:blank]
+            continue
+        if not s.held:
+            return
+        end = s.find(_BLANK, 0, MOST_HEADERS) if s.held[:5] == b"WARC/" else None
+        if end is None:
+            yield {}, None
+            following = s.find(_START, 0)
+            if not following:
+                return
+            del s.held[: following.start()]
+            continue
+        lines = bytes(s.held[: end.start()]).decode(errors="replace").splitlines()[1:]
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        start = stop + 4
-        n = int(headers["content-length"])
-        if raw[start + n : start + n + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} doesn't end where its length says")
-        yield headers, raw[start : start + n]
-        at = start + n + 4
+        n, start = headers.get("content-length", ""), end.end()
+        if n.isascii() and n.isdigit() and s.upto(start + int(n)):
+            stop = start + int(n)
+            s.upto(stop + 16)
+            tail = re.match(rb"(?:\r?\n)*", s.held[stop : stop + 16]).end()
+            lines_between = s.held[stop : stop + tail].count(b"\n")
+            if lines_between > 1 or lines_between and s.held[stop + tail : stop + tail + 5] == b"WARC/" or len(s.held) == stop + tail and s.ended:
+                yield headers, bytes(s.held[start:stop])
+                del s.held[:stop]
+                continue
+        yield headers, None
+        following = s.find(_START, start - 2)
+        if not following:
+            return
+        del s.held[: following.start()]
 
 
 RECORDS = "record_id string, type string, uri string, digest string, refers_to string, origin string, segment int, total long, block binary"
+#: The type of what stands in an archive and is no record.
+UNREADABLE = "unreadable"
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives under path, as it stands there."""
+    """One row per record of the archives under path, as it stands there; a broken one has a null block.
+
+    Files are streamed by the tasks, through pyarrow's file systems, so they may be of any size.  Of a store that only Spark can read
+    each file comes as one row, of 2 GB at most.
+    """
     fields = ("warc-record-id", "warc-type", "warc-target-uri", "warc-payload-digest", "warc-refers-to")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    try:
+        _opened(path)
+        streamed = True
+    except (pa.ArrowInvalid, OSError):
+        streamed = False
+
+    def pieces(x: pa.Scalar) -> Iterator[bytes]:
+        if not streamed:
+            yield x.as_py()
+            return
+        fs, name = _opened(x.as_py())
+        with fs.open_input_stream(name, compression=None) as f:
+            while piece := f.read(READ_BYTES):
+                yield piece
+
+    def number(x: str | None) -> int | None:
+        return int(x) if x and x.isascii() and x.isdigit() and len(x) < 19 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column(0):
-                rows = []
-                for h, block in parse(raw.as_py()):
-                    own = h.get("warc-segment-origin-id", h["warc-record-id"])
-                    rows.append((*(h.get(f) for f in fields), own, int(h.get("warc-segment-number", 0)), int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, block))
-                types = [pa.string()] * 6 + [pa.int32(), pa.int64(), pa.binary()]
-                cols = list(zip(*rows, strict=True)) or [()] * 9
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["record_id", "type", "uri", "digest", "refers_to", "origin", "segment", "total", "block"])
+        types = [pa.string()] * 6 + [pa.int32(), pa.int64(), pa.binary()]
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORDS)
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) or [()] * 9
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["record_id", "type", "uri", "digest", "refers_to", "origin", "segment", "total", "block"])
+
+        for batch in batches:
+            for x in batch.column(0):
+                rows, size = [], 0
+                for h, block in parse(pieces(x)):
+                    name, kind, *more = (h.get(f) for f in fields)
+                    own, segment = h.get("warc-segment-origin-id", name), number(h.get("warc-segment-number")) or 0
+                    if own is None:  # nothing to put its segments together by
+                        segment = 0
+                    rows.append((name, kind or UNREADABLE, *more, own, segment if segment < 1 << 31 else 0, number(h.get("warc-segment-total-length")), block))
+                    size += len(block or b"")
+                    if size >= 8 * READ_BYTES:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                yield batch_of(rows)
+
+    return files.select("path" if streamed else "content").mapInArrow(run, RECORDS)
+
+
+def _opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path as Spark writes it, and the path there."""
+    if path.startswith("file:") or "://" not in path:
+        return pafs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+    return pafs.FileSystem.from_uri(quote(path, safe=":/@"))
 
 
 def reassemble(parts: DataFrame) -> DataFrame:
     """Whole records: segments in order of number, one after another; `whole` tells whether all are there and the length is right.
 
-    Records without segments pass as they are.  Repeated segments count once.  Only segmented records are shuffled.
+    Records without segments pass as they are, whole unless they are broken.  Repeated segments count once.  Only segmented records are shuffled.
     """
-    single = parts.where("segment = 0").select("record_id", "type", "uri", "digest", "refers_to", "block", F.lit(True).alias("whole"))
-    split = parts.where("segment > 0").dropDuplicates(["origin", "segment"])
+    single = parts.where("segment = 0").select("record_id", "type", "uri", "digest", "refers_to", "block", F.col("block").isNotNull().alias("whole"))
+    split = parts.where("segment > 0 AND block IS NOT NULL").dropDuplicates(["origin", "segment"])
     first = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c)
     joined = split.groupBy("origin").agg(*(first(c) for c in ("type", "uri", "digest", "refers_to")), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("x"), F.max("total").alias("total"), F.max("segment").alias("n"))
-    block = F.aggregate("x.block", F.lit(b""), lambda a, b: F.concat(a, b))
+    block = F.unhex(F.array_join(F.transform("x.block", F.hex), ""))  # one pass, however many segments
     whole = joined.withColumn("block", block).withColumn("whole", (F.size("x") == F.col("n")) & F.coalesce(F.octet_length("block") == F.col("total"), F.lit(False)))
     return single.unionByName(whole.select(F.col("origin").alias("record_id"), "type", "uri", "digest", "refers_to", "block", "whole"))
 
@@ -177,9 +334,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """One row per page of the archives: record_id, page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload, digest_ok.
 
     Archives may be others' than write()'s: record names are any text, and page_id and refers_to are then null.  Only
-    response, resource and revisit records are pages; warcinfo, request, metadata and the like are passed over.  A
+    response, resource and revisit records are pages, and what is no record (UNREADABLE); warcinfo, request, metadata and the like are passed over.  A
     resource's block is its payload.  A revisit's payload is null, its length (null if it isn't told) and digest are those
-    it was written with.  A record with missing segments or bad framing has a null payload and digest_ok false;
+    it was written with.  A broken record, or one with missing segments or bad framing, has a null payload and digest_ok false;
     digest_ok is null where a record names no SHA-1 digest in hexadecimal.
     """
 
@@ -187,13 +344,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             rows = []
             for name, kind, uri, digest, refers, block, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                head, _, body = (b"", b"", block or b"") if kind == "resource" else (block or b"").partition(b"\r\n\r\n")
-                http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
+                block = block or b""
+                end = _BLANK.search(block) if kind != "resource" else None
+                head, body = (block[: end.start()], block[end.end() :]) if end else (b"", block) if kind == "resource" else (block, b"")
+                http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.splitlines()[1:])}
                 payload, n = None, None
                 want = (digest or "").lower().removeprefix("sha1:")
                 if kind == "revisit":
                     told = http.get(b"x-payload-length", b"")
-                    n, ok = int(told) if told.isdigit() else None, True
+                    n, ok = int(told) if told.isdigit() else None, whole
                 else:
                     try:
                         payload = (unchunked(body) if http.get(b"transfer-encoding", b"").lower() == b"chunked" else body) if whole else None
@@ -208,5 +367,5 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             names = ["record_id", "page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload", "digest_ok"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    whole = reassemble(read_records(spark, path)).where("type IN ('response', 'resource', 'revisit')").select("record_id", "type", "uri", "digest", "refers_to", "block", "whole")
+    whole = reassemble(read_records(spark, path)).where(f"type IN ('response', 'resource', 'revisit', '{UNREADABLE}')").select("record_id", "type", "uri", "digest", "refers_to", "block", "whole")
     return whole.mapInArrow(run, "record_id string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, digest_ok boolean")
