@@ -132,7 +132,9 @@ _BLANK = re.compile(rb"\r?\n\r?\n")
 
 def plain(chunks: Iterator[bytes]) -> Iterator[bytes]:
     """Bytes as they are, or what gzip members hold; a broken member ends in a blank line, and the next one goes on."""
-    first = next(chunks, b"")
+    first = b""
+    while len(first) < 2 and (piece := next(chunks, b"")):
+        first += piece
     if first[:2] != b"\x1f\x8b":
         yield first
         yield from chunks
