@@ -103,3 +103,24 @@ def noiseless_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     has = F.lower("text").rlike(r"(^|\n)[ ]*(disclaimer|author\(s\)|recent articles)[ ]*(\n|$)")
     return d.where(~has).select("doc_id", F.md5(without_noise(F.col("text"))).alias("noiseless_md5"))
+
+
+@query(f"WITH {DAILY} SELECT asset, 1 AS files, count(*) AS rows FROM daily GROUP BY 1")
+def price_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which assets a folder of price files has, with their files and rows, from the files themselves."""
+    path = fresh(spark, "catalog")
+    writers.price_files(daily(spark, sf_dir).repartition("asset"), path)
+    f = spark.read.parquet(path).select(F.regexp_extract("_metadata.file_path", "asset=([^/]*)/", 1).alias("folder"), F.col("_metadata.file_path").alias("file"), "asset")
+    return f.groupBy("asset").agg(F.countDistinct("file").alias("files"), F.count("*").alias("rows"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS title, 'theme' || CAST(o_custkey % 6 AS VARCHAR) AS primary_theme FROM orders WHERE (o_orderkey // 1000) % 4 < 2")
+def tolerant_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of a folder in which every fourth file isn't JSON and every fourth lacks the articles: the others come whole."""
+    path = fresh(spark, "tolerant")
+    o = load(spark, sf_dir, "orders").withColumn("part", F.floor(F.col("o_orderkey") / 1000))
+    one = F.struct(F.col("o_orderkey").cast("string").alias("title"), F.struct(F.concat(F.lit("theme"), (F.col("o_custkey") % 6).cast("string")).alias("primary_theme")).alias("classification"))
+    files = o.groupBy("part").agg(F.to_json(F.struct(F.collect_list(one).alias("unified_articles"))).alias("whole"))
+    kind = F.col("part") % 4
+    files.select("part", F.when(kind == 2, F.concat(F.lit("{"), "whole")).when(kind == 3, '{"articles": []}').otherwise(F.col("whole")).alias("value")).write.partitionBy("part").text(path)
+    return readers.articles_json(spark, path, lines=True).select("title", "primary_theme")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.rolling import indicators, last
 from millrace.operators.asof import last_before, micros, nearest
-from millrace.plans.registry import query
-from millrace.plans.returns import HOUR
+from millrace.plans.registry import ORACLES, query
+from millrace.plans.returns import HOUR, _events, event_returns
 from millrace.tables import DAILY, TICKS, daily, load, ticks
 
 DAY_US = 24 * HOUR
@@ -94,3 +94,16 @@ def temporal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
     e = e.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now"))))
     return e.select("event_id", *[c.alias(k) for k, c in time_features(F.col("ts"), F.col("now")).items()])
+
+
+@query(f"""WITH er AS ({ORACLES['event_returns']}), {TICKS}, e AS (SELECT event_id AS article_id, CASE WHEN user_id % 2 = 0 THEN 'view' ELSE 'click' END AS asset, ts FROM events WHERE event_type = 'signup'),
+d AS (SELECT article_id, min(abs(epoch_us(p.ts) - epoch_us(e.ts))) / {HOUR}.0 AS diff FROM e JOIN ticks p ON p.asset = e.asset AND p.ts BETWEEN e.ts - INTERVAL 1 HOUR AND e.ts + INTERVAL 1 HOUR GROUP BY 1)
+SELECT article_id, {', '.join(f"CASE WHEN asset = '{a}' THEN price_at_pub ELSE 0 END AS {a}_price, CASE WHEN asset = '{a}' THEN round(diff, 6) ELSE 0 END AS {a}_hours_off, {', '.join(f"CASE WHEN asset = '{a}' THEN ret_{h} END AS {a}_ret_{h}" for h in ('4h', '24h', '72h', '7d'))}" for a in ('view', 'click'))} FROM er JOIN d USING (article_id)""")
+def market_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each article's market data as columns of its asset: price at publication, how far off in time it was, and the returns after it, which look ahead."""
+    er, events, t = event_returns(spark, sf_dir), _events(spark, sf_dir), ticks(spark, sf_dir)
+    hit = nearest(events, t.withColumn("us", micros(F.col("ts"))), "asset", "ts", "ts", "us", ["article_id", "asset", "ts"], F.lit(HOUR), 4 * HOUR, "event_id")
+    d = hit.select("article_id", (F.abs(F.col("us") - micros(F.col("ts"))) / HOUR).alias("diff"))
+    of = lambda a, c, other=0.0: F.when(F.col("asset") == a, F.col(c)).otherwise(other)
+    j = er.join(d, "article_id").withColumn("diff", F.round("diff", 6))
+    return j.select("article_id", *[x for a in ("view", "click") for x in (of(a, "price_at_pub").alias(f"{a}_price"), of(a, "diff").alias(f"{a}_hours_off"), *[of(a, f"ret_{h}", None).alias(f"{a}_ret_{h}") for h in ("4h", "24h", "72h", "7d")])])
