@@ -14,7 +14,7 @@ from millrace.plans.registry import ORACLES, query
 from millrace.plans.reports import weight_search
 from millrace.plans.returns import FACTS, facts
 from millrace.plans.texts import keyword_sentiment
-from millrace.sources.scratch import fresh
+from millrace.sources.scratch import fresh, kept
 from millrace.tables import ARTICLES, DAILY, articles, daily, load
 
 
@@ -197,7 +197,8 @@ def return_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = f.withColumn("label", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "ret"))).withColumns({"all": F.lit(0), "day": F.datediff("date", F.lit("1970-01-01").cast("date")).cast("double")})
     cuts = quantiles(f, "all", "day", {f"c{k}": k / 4 for k in (1, 2, 3)})
     f = f.join(F.broadcast(cuts), "all").withColumn("part", sum(((F.col("day") > F.col(f"c{k}")).cast("int") for k in (1, 2, 3)), F.lit(0)))
-    f = VectorAssembler(inputCols=names, outputCol="features").transform(f).select("part", "label", "features").cache()
+    f = VectorAssembler(inputCols=names, outputCol="features").transform(f).select("part", "label", "features")
+    f = kept(f, "folds")
     out = None
     for part in (1, 2, 3):
         model = GBTRegressor(maxIter=30, maxDepth=3, stepSize=0.1, seed=1).fit(f.where(F.col("part") < part))

@@ -11,6 +11,10 @@ from millrace.functions import text as T
 from millrace.plans.registry import query
 from millrace.tables import load
 
+# Parts of the names of images that show no content.
+NOT_CONTENT = "logo|icon|avatar|profile|banner|ad[_-]"
+# End of fixed values.
+
 K = "(conv_id * 7 + turn * 13)"
 _SIGNS = lambda words: " + ".join(f"CAST(contains(ocr, '{w}') AS INTEGER)" for w in words)
 _TIMES = lambda words: " + ".join(f"(length(ocr) - length(replace(ocr, '{w}', '')))::DOUBLE / {len(w)}" for w in words)
@@ -176,11 +180,11 @@ def image_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""WITH tags AS (SELECT page_id, unnest(regexp_extract_all(html, '<(?:img|a) [^>]*>')) AS tag FROM pages),
 parts AS (SELECT page_id, tag, regexp_extract(tag, '(?:src|href)="([^"]*)"', 1) AS src, TRY_CAST(regexp_extract(tag, 'width="([0-9]+)"', 1) AS INTEGER) AS width, TRY_CAST(regexp_extract(tag, 'height="([0-9]+)"', 1) AS INTEGER) AS height FROM tags)
-SELECT page_id, count(*) AS tags, count(*) FILTER (coalesce(width >= 100, true) AND coalesce(height >= 100, true) AND NOT regexp_matches(lower(src), 'logo|icon|avatar|profile|banner|ad[_-]')) AS content FROM parts GROUP BY 1""")
+SELECT page_id, count(*) AS tags, count(*) FILTER (coalesce(width >= 100, true) AND coalesce(height >= 100, true) AND NOT regexp_matches(lower(src), '{NOT_CONTENT}')) AS content FROM parts GROUP BY 1""".replace("{NOT_CONTENT}", NOT_CONTENT))
 def content_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Media and link tags of a page that may show content: large enough where sizes are given, and no logo or the like."""
     tags = load(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<(?:img|a) [^>]*>"), F.lit(0))).alias("tag"))
     side = lambda name: F.regexp_extract("tag", f'{name}="([0-9]+)"', 1).try_cast("int")
     src = F.lower(F.regexp_extract("tag", '(?:src|href)="([^"]*)"', 1))
     large = F.coalesce(side("width") >= 100, F.lit(True)) & F.coalesce(side("height") >= 100, F.lit(True))
-    return tags.groupBy("page_id").agg(F.count("*").alias("tags"), F.count_if(large & ~src.rlike("logo|icon|avatar|profile|banner|ad[_-]")).alias("content"))
+    return tags.groupBy("page_id").agg(F.count("*").alias("tags"), F.count_if(large & ~src.rlike(NOT_CONTENT)).alias("content"))

@@ -13,7 +13,7 @@ from millrace.functions.rolling import indicators
 from millrace.operators.carry import cuts
 from millrace.operators.simulate import LongCall, backtest, ordered_fold
 from millrace.plans.registry import query
-
+from millrace.sources.scratch import kept
 from millrace.tables import daily, load
 
 DIRECTION = "CASE WHEN user_id % 3 = 0 THEN 'bullish' WHEN user_id % 3 = 1 THEN 'bearish' ELSE 'neutral' END"
@@ -91,9 +91,23 @@ def alert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def alert_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The alerts that the limits let through, channel by channel in order of time."""
-    start = {"hour": -1, "sent": 0, "last": {}}
-    return ordered_fold(alert_rows(spark, sf_dir), "asset", ["t", "event_id"], alert_step, start, "asset string, event_id long, signature string, sent boolean")
+    """The alerts that the limits let through, in order of time."""
+    return limited_alerts(alert_rows(spark, sf_dir))
+
+
+def limited_alerts(rows: DataFrame, cooldown: int = 300) -> DataFrame:
+    """alert_step over (asset, event_id, t, signature), channel by channel.
+
+    Nothing is carried into an hour that begins a cool-down or more after the last alert before it: there a channel is cut, and the
+    pieces are folded by tasks of their own.
+    """
+    rows = kept(rows, "alerts").withColumn("hour", F.floor(F.col("t") / 3600))
+    hours = rows.groupBy("asset", "hour").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    by_hour = W.partitionBy("asset").orderBy("hour")  # a row for each hour of a channel
+    starts = F.coalesce(F.col("first") - F.lag("last").over(by_hour) >= cooldown, F.lit(True)).cast("long")
+    pieces = hours.withColumn("starts", starts).select(F.col("asset").alias("a"), F.col("hour").alias("h"), F.sum("starts").over(by_hour.rowsBetween(W.unboundedPreceding, 0)).alias("piece"))
+    cut = rows.join(pieces, F.col("asset").eqNullSafe(F.col("a")) & (F.col("hour") == F.col("h"))).select("asset", "event_id", "t", "signature", F.concat_ws("@", "asset", F.col("piece").cast("string")).alias("key"))
+    return ordered_fold(cut, "key", ["t", "event_id"], lambda state, row: alert_step(state, row, cooldown=cooldown), {"hour": -1, "sent": 0, "last": {}}, "asset string, event_id long, signature string, sent boolean")
 
 
 _SLIDING = """SELECT event_type AS asset, event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS last_hour,
@@ -199,7 +213,7 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = d.where("fold < 4").agg(F.avg("label")).first()[0]
     share = min(max(share if share is not None else 0.5, 0.01), 0.99)
     d = d.withColumn("weight", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
-    train, test = d.where("fold < 4").cache(), d.where("fold = 4")
+    train, test = kept(d.where("fold < 4"), "train"), d.where("fold = 4")
     models = {"boosted_trees": GBTClassifier(maxIter=100, maxDepth=4, stepSize=0.1, weightCol="weight", seed=1), "forest": RandomForestClassifier(numTrees=100, maxDepth=8, weightCol="weight", seed=1), "logistic": LogisticRegression(weightCol="weight")}
     out = None
     for name, model in models.items():

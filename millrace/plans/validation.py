@@ -97,7 +97,10 @@ def term_context(spark: SparkSession, sf_dir: str) -> DataFrame:
         up.alias("bullish"), down.alias("bearish"), F.round((up - down) / F.greatest(up + down, F.lit(1)), 6).alias("ratio"))
 
 
+# Phrases that a model's input spells out, and how the assets are named.
 _PHRASES = [("gamma squeeze", "rapid upward move"), ("put", "downside option")]
+ONE, TWO, EVERY = r"\b(?:btc|bitcoin)\b", r"\b(?:eth|ethereum)\b", r"\b(?:btc|bitcoin|eth|ethereum|crypto|cryptocurrency)\b"
+# End of fixed values.
 _REPLACED = "trim(coalesce(text, ''))"
 for _old, _new in [*_PHRASES, *V.ABBREVIATIONS]:
     _REPLACED = f"replace({_REPLACED}, '{_old}', '{_new}')"
@@ -112,14 +115,14 @@ def model_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.md5(V.for_model(t, _PHRASES)).alias("model_md5"), F.md5(V.asset_sentences(t, ["the", "data"])).alias("sentences_md5"), F.substring(t, 1, 100).alias("summary"))
 
 
-@query(rf"""WITH c AS (SELECT doc_id, {_LOW} AS t FROM documents), m AS (SELECT doc_id, len(regexp_extract_all(t, '\b(?:btc|bitcoin)\b')) AS one, len(regexp_extract_all(t, '\b(?:eth|ethereum)\b')) AS two,
-  len(regexp_extract_all(t, '\b(?:btc|bitcoin|eth|ethereum|crypto|cryptocurrency)\b')) AS every, len(regexp_extract_all(t, '[a-z0-9_]+')) AS words FROM c)
+@query(rf"""WITH c AS (SELECT doc_id, {_LOW} AS t FROM documents), m AS (SELECT doc_id, len(regexp_extract_all(t, '{ONE}')) AS one, len(regexp_extract_all(t, '{TWO}')) AS two,
+  len(regexp_extract_all(t, '{EVERY}')) AS every, len(regexp_extract_all(t, '[a-z0-9_]+')) AS words FROM c)
 SELECT doc_id, one AS btc_mentions, two AS eth_mentions, round(coalesce(every::DOUBLE / nullif(words, 0), 0), 6) AS density, round(one::DOUBLE / greatest(two, 1), 6) AS asset_ratio FROM m""")
 def asset_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each asset is named, and the share of asset words."""
     t = T.lower(F.col("text"))
     n = lambda p: F.regexp_count(t, F.lit(p)).cast("long")
-    c = load(spark, sf_dir, "documents").select("doc_id", n(r"\b(?:btc|bitcoin)\b").alias("btc_mentions"), n(r"\b(?:eth|ethereum)\b").alias("eth_mentions"), n(r"\b(?:btc|bitcoin|eth|ethereum|crypto|cryptocurrency)\b").alias("every"), n("[a-z0-9_]+").alias("words"))
+    c = load(spark, sf_dir, "documents").select("doc_id", n(ONE).alias("btc_mentions"), n(TWO).alias("eth_mentions"), n(EVERY).alias("every"), n("[a-z0-9_]+").alias("words"))
     return c.select("doc_id", "btc_mentions", "eth_mentions", F.round(F.coalesce(F.try_divide("every", "words"), F.lit(0.0)), 6).alias("density"), F.round(F.col("btc_mentions") / F.greatest("eth_mentions", F.lit(1)), 6).alias("asset_ratio"))
 
 
