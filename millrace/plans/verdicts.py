@@ -66,3 +66,33 @@ def stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = f.where("day > last").drop("day", "last", "label", "ret")
     out = predictions(spark, new, path, list(kinds))
     return out.select("article_id", "asset", "date", *[c for c in out.columns if c.startswith(("p_", "r_"))], "probability", "deviation", "agreement", "consensus", "advice")
+
+
+@query()
+def training_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole training run, a row for each stage: collected, labelled, trained and stored, and validated on the last fifth of the time.
+
+    A stage without rows fails, and those after it are skipped.
+    """
+    stages: list[tuple] = []
+
+    def done(stage: str, rows: int, metric: str | None = None, value: float | None = None) -> bool:
+        stages.append((stage, "success" if rows else "failed", rows, metric, value))
+        return bool(rows)
+
+    f = kept(facts(spark, sf_dir).where("days = 7").select("article_id", "asset", "date", "theme", "bias", "signal", "confidence", "ret"), "collected")
+    if done("data_collection", f.count(), "assets", float(f.select("asset").distinct().count())):
+        labelled = kept(f.where("ret IS NOT NULL").withColumns({"label": (F.col("ret") > 0).cast("double"), "day": F.datediff("date", F.lit("1970-01-01").cast("date"))}), "labelled")
+        share = labelled.agg(F.avg("label")).first()[0]
+        if done("label_generation", labelled.count(), "share_of_gains", share):
+            last = cuts(labelled, "day", {"last": 0.8}).first().last
+            train, test = kept(labelled.where(F.col("day") <= last).drop("day"), "train"), labelled.where(F.col("day") > last).drop("day")
+            path, kinds = fresh(spark, "models"), {k: m for k, m in models(trees=10).items() if k in ("forest", "logistic")}
+            if done("model_training", train.count(), "models", float(len(kinds))):
+                fit_and_store(train, path, kinds)
+                ok = F.avg(((F.col("probability") > 0.5) == (F.col("label") == 1)).cast("double"))
+                m = predictions(spark, test, path, list(kinds)).agg(F.count("*").alias("n"), ok.alias("accuracy")).first()
+                done("ensemble_validation", m.n, "accuracy", m.accuracy)
+    for stage in ("data_collection", "label_generation", "model_training", "ensemble_validation")[len(stages):]:
+        stages.append((stage, "skipped", 0, None, None))
+    return spark.createDataFrame(stages, "stage string, status string, rows long, metric string, value double")

@@ -54,3 +54,14 @@ def test_consensus(spark):
     df = spark.createDataFrame([(0.9, 0.85, 0.95), (0.1, 0.2, 0.15), (0.9, 0.1, 0.9), (0.5, 0.5, 0.5)], "a double, b double, c double")
     got = df.select(*[c.alias(k) for k, c in consensus([F.col(x) for x in "abc"]).items()]).collect()
     assert [(r.agreement, r.advice) for r in got] == [("high", "strong_buy"), ("high", "strong_sell"), ("low", "weak_signal"), ("high", "neutral")]
+
+
+def test_training_runs(spark, tmp_path):
+    from millrace.plans.verdicts import training_run
+
+    rows = {r.stage: r for r in training_run(spark, "/root/testdata/sf0.001").collect()}
+    assert list(rows) == ["data_collection", "label_generation", "model_training", "ensemble_validation"]
+    assert all(r.status == "success" for r in rows.values()) and 0 <= rows["ensemble_validation"].value <= 1
+    assert rows["model_training"].rows + rows["ensemble_validation"].rows == rows["label_generation"].rows
+    spark.read.parquet("/root/testdata/sf0.001/orders.parquet").limit(0).write.parquet(f"{tmp_path}/orders.parquet")
+    assert [r.status for r in training_run(spark, str(tmp_path)).collect()] == ["failed", "skipped", "skipped", "skipped"]
