@@ -57,12 +57,12 @@ def numbered(df: DataFrame, shard: Column, order: str, name: str) -> DataFrame:
 ACCURACY, SPLITTERS = 10_000, 100
 
 
-def quantiles(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, key: str, value: str, shares: dict[str, float], bins: int = SPLITTERS) -> DataFrame:
     """Exact interpolated quantiles of each key; no key's values, and no range of them, come together in one task.
 
     1. A sketch of each key bounds each wanted rank by two values that at most 4 / ACCURACY of the key's rows lie between.
     2. Rows below the bounds are counted, those between are grouped by value, so repeated values are one row.
-    3. Of these, splitters (again from a sketch) make up to 100 bins; the bins with a wanted rank, and only they, are sorted.
+    3. Of these, splitters (again from a sketch) make up to `bins` bins; those with a wanted rank, and only they, are sorted.
     Bounds that miss their rank are replaced by the key's least and largest value, so the sketches decide the cost and not the result.
     How the values are spread plays no part.  Null values and null keys don't count; a key without values has no row.
     """
@@ -82,14 +82,14 @@ def quantiles(df: DataFrame, key: str, value: str, shares: dict[str, float]) ->
     near = base.join(wanted, "_k").select("_k", "_v", F.explode(F.filter("_w", lambda w: F.col("_v").between(w["lo"], w["hi"]))).alias("w"))
     by = ["_k", "_q"]
     counted = near.groupBy("_k", F.col("w.q").alias("_q"), "_v").agg(F.count("*").alias("_c"))
-    splitters = counted.groupBy(*by).agg(F.percentile_approx("_v", [j / SPLITTERS for j in range(1, SPLITTERS)], 10 * SPLITTERS).alias("_s"))
+    splitters = counted.groupBy(*by).agg(F.percentile_approx("_v", [j / bins for j in range(1, bins)], 10 * bins).alias("_s"))
     binned = counted.join(splitters, by).withColumn("_bin", F.size(F.filter("_s", lambda s: s < F.col("_v")))).drop("_s")
     asked = wanted.select("_k", F.explode("_w").alias("w")).select("_k", F.col("w.q").alias("_q"), "w.at", "w.low", "w.high", "w.before")
     running = lambda *parts: F.coalesce(F.sum("_c").over(W.partitionBy(*by, *parts[:-1]).orderBy(parts[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    bins = binned.groupBy(*by, "_bin").agg(F.sum("_c").alias("_c")).withColumn("_below", running("_bin")).join(asked, by).withColumn("_below", F.col("_below") + F.col("before"))
+    held = binned.groupBy(*by, "_bin").agg(F.sum("_c").alias("_c")).withColumn("_below", running("_bin")).join(asked, by).withColumn("_below", F.col("_below") + F.col("before"))
     holds = lambda a, n: ((F.col("low") >= a) & (F.col("low") < a + n)) | ((F.col("high") >= a) & (F.col("high") < a + n))
-    bins = bins.where(holds(F.col("_below"), F.col("_c"))).drop("_c", "before")
-    rows = binned.join(bins, [*by, "_bin"]).withColumn("_below", F.col("_below") + running("_bin", "_v")).where(holds(F.col("_below"), F.col("_c")))
+    held = held.where(holds(F.col("_below"), F.col("_c"))).drop("_c", "before")
+    rows = binned.join(held, [*by, "_bin"]).withColumn("_below", F.col("_below") + running("_bin", "_v")).where(holds(F.col("_below"), F.col("_c")))
     has = lambda rank: F.max(F.when((F.col(rank) >= F.col("_below")) & (F.col(rank) < F.col("_below") + F.col("_c")), F.col("_v")))
     ends = rows.groupBy(*by).agg(has("low").alias("a"), has("high").alias("b"), F.max(F.col("at") - F.col("low")).alias("f")).withColumn("x", F.col("a") + (F.col("b") - F.col("a")) * F.col("f"))
     return ends.groupBy(F.col("_k").alias(key)).agg(*[F.max(F.when(F.col("_q") == i, F.col("x"))).alias(n) for i, n in enumerate(names)])

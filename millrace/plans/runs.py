@@ -13,7 +13,6 @@ from millrace.plans.verdicts import overall_quality
 from millrace.sources import feeds
 from millrace.sources.content import contents, store
 from millrace.sources.scratch import fresh, kept
-from millrace.streaming.queries import drained
 from millrace.tables import load
 
 _FAILED = {"text": "text_conf < 0.3", "image": "image_conf < 0.3", "market": "r IS NULL"}
@@ -53,6 +52,8 @@ def write_feeds(pages: DataFrame, path: str) -> None:
 @query(f"""WITH {PAGES} SELECT url AS link, min(title) AS title, count(*) AS items, count(DISTINCT page_id % 2) AS runs FROM (SELECT page_id, url, title FROM articles_ WHERE trim(url) <> '') GROUP BY 1""")
 def feed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of feed files read by a stream in two runs, each of which takes the files that came since the one before."""
+    from millrace.streaming.queries import drained  # which imports this package
+
     feeds.register(spark)
     pages, path, at = _pages(spark, sf_dir).select("page_id", "url", "title", "published"), fresh(spark, "feeds"), fresh(spark, "feeds-at")
     runs = []

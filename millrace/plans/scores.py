@@ -213,7 +213,8 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = d.where("fold < 4").agg(F.avg("label")).first()[0]
     share = min(max(share if share is not None else 0.5, 0.01), 0.99)
     d = d.withColumn("weight", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
-    train, test = kept(d.where("fold < 4"), "train"), d.where("fold = 4")
+    d = kept(d, "folds")
+    train, test = d.where("fold < 4"), d.where("fold = 4")
     models = {"boosted_trees": GBTClassifier(maxIter=100, maxDepth=4, stepSize=0.1, weightCol="weight", seed=1), "forest": RandomForestClassifier(numTrees=100, maxDepth=8, weightCol="weight", seed=1), "logistic": LogisticRegression(weightCol="weight")}
     out = None
     for name, model in models.items():
