@@ -117,13 +117,25 @@ _SLIDING = """SELECT event_type AS asset, event_id, count(*) OVER (PARTITION BY
 def sliding(events: DataFrame, bucket_us: int = 86_400_000_000) -> DataFrame:
     """Of each event, how many of its type came in the hour and in the day up to it.
 
-    Events are counted by type and day: a row sees its own day and, as guests, the rows of the day before, so a type is
-    worked on by as many tasks as it has days.
+    An event adds one when it comes and takes it back when its hour and its day are over, so that running sums are the counts: work
+    grows with the events and not with how many of them an hour holds.  Types are worked on day by day; each day starts with one row
+    of what the day before leaves it.  Events without a time count one another.
     """
-    e = events.select(F.col("event_type").alias("asset"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).withColumn("day", F.floor(F.col("us") / bucket_us))
-    both = e.withColumn("own", F.lit(True)).unionByName(e.withColumns({"day": F.col("day") + 1, "own": F.lit(False)}))
-    w = lambda hours: W.partitionBy("asset", "day").orderBy("us").rangeBetween(-hours * 3_600_000_000, 0)
-    return both.withColumns({"last_hour": F.count("*").over(w(1)), "last_day": F.count("*").over(w(24))}).where("own").select("asset", "event_id", "last_hour", "last_day")
+    day = lambda us: F.floor(us / bucket_us)
+    us, hour_us, day_us = F.col("us"), 3_600_000_000, 86_400_000_000
+    e = events.select(F.col("event_type").alias("asset"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).withColumn("day", day(us))
+    row = lambda asset, d, at, h, n: [F.col(asset).alias("asset"), d.alias("day"), at.alias("us"), h.cast("long").alias("h"), n.cast("long").alias("n")]
+    own = e.select(*row("asset", F.col("day"), us, F.lit(1), F.lit(1)), "event_id", F.lit(True).alias("own"))
+    one, none = F.lit(1), F.lit(0)
+    over = lambda span, h, n: e.select("asset", "day", (us + span + 1).alias("us")).select(*row("asset", day(us), us, h, n), F.col("day").alias("of"))
+    hours, days_ = over(hour_us, -one, none), over(day_us, none, -one)
+    # What is taken back in a later day than it was added in has to be there when that day starts.
+    left = e.groupBy("asset", "day").agg(F.count("*").alias("n"), F.count_if(day(us + hour_us + 1) > F.col("day")).alias("h")).where("day IS NOT NULL")
+    starts = left.select(*row("asset", F.col("day") + 1, (F.col("day") + 1) * bucket_us, F.col("h"), F.col("n")))
+    ends = hours.unionByName(days_).where("day - of <= 1").drop("of")
+    both = own.unionByName(ends.unionByName(starts), allowMissingColumns=True)
+    w = W.partitionBy("asset", "day").orderBy("us").rangeBetween(W.unboundedPreceding, 0)
+    return both.withColumns({"last_hour": F.sum("h").over(w), "last_day": F.sum("n").over(w)}).where("own").select("asset", "event_id", "last_hour", "last_day")
 
 
 @query(_SLIDING)

@@ -49,3 +49,26 @@ def test_inter_event_returns_all(spark):
     got = [tuple(r) for r in inter_event_returns_all(spark, SF).orderBy("asset", "date").select("asset", "date", "next_date", "gap", "theme", "next_theme", "signal_change", "ret").collect()]
     assert [r[:6] for r in got] == [r[:6] for r in want]
     assert all(a[k] == pytest.approx(b[k], abs=1e-6) for a, b in zip(got, want, strict=True) for k in (6, 7))
+
+
+def test_sliding_counts_grow_with_the_events(spark):
+    """Edges to the microsecond, equal times and missing ones; and no window is gone through row by row, as a frame that moves at both ends is."""
+    import random
+
+    from millrace.plans.scores import sliding
+
+    rng = random.Random(5)
+    hour, day = 3_600_000_000, 86_400_000_000
+    base = [rng.choice([0, 1, hour, day - 1, day, 2 * day - 1, 3 * day]) for _ in range(60)]
+    times = [b + rng.choice([-1, 0, 0, 1, hour, hour + 1, -hour - 1, day]) for b in base] + [None] * 3
+    rows = [(i, rng.choice(["a", "b", None]) if t is not None else "a", t) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "event_id long, event_type string, us long").selectExpr("event_id", "event_type", "timestamp_micros(us) AS ts")
+    out = sliding(df)
+
+    def count(r, span):
+        same = [t for _, a, t in rows if a == r[1]]
+        return sum(t is None for t in same) if r[2] is None else sum(t is not None and 0 <= r[2] - t <= span for t in same)
+
+    assert {r.event_id: (r.last_hour, r.last_day) for r in out.collect()} == {r[0]: (count(r, hour), count(r, day)) for r in rows}
+    frames = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("specifiedwindowframe(")[1:]]
+    assert frames and all("unboundedpreceding" in f.split(")")[0].lower() for f in frames)
