@@ -58,3 +58,14 @@ def test_one_far_value_leaves_the_work_spread(spark):
     near = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in out.inputFiles() if "/wanted-" in f})
     w = near.first()["_w"][0]
     assert df.where(F.col("v").between(w["lo"], w["hi"])).count() <= 4 * 200_000 / carry.ACCURACY + 2
+
+
+def test_sketches_that_never_say_the_same_twice(spark, monkeypatch):
+    """As on a cluster, where a sketch's parts arrive in another order each time that it is worked out."""
+    real = F.percentile_approx
+    once = lambda p, by: [min(1.0, max(0.0, q + by)) for q in p]
+    chance = F.expr("reflect('java.lang.Math', 'random')").cast("double") > 0.5
+    monkeypatch.setattr(carry.F, "percentile_approx", lambda c, p, a=10_000: F.when(chance, real(c, once(p, -0.02), a)).otherwise(real(c, once(p, 0.02), a)))
+    monkeypatch.setattr(carry, "ACCURACY", 25)
+    rng = random.Random(3)
+    held_against_numpy(spark, [(str(k), rng.gauss(0, 1)) for k in range(60) for _ in range(200)])
