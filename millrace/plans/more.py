@@ -19,10 +19,12 @@ SENTENCES = "greatest(1, len(list_filter(string_split_regex(coalesce(text, ''),
 SELECT doc_id, round(206.835 - 1.015 * n / s - 84.6 * syl / n + 3.7e-7, 4) AS flesch, round(0.39 * n / s + 11.8 * syl / n - 15.59 + 3.7e-7, 4) AS grade, round(0.4 * (n / s + 100 * hard / n) + 3.7e-7, 4) AS fog, round(4.71 * letters / n + 0.5 * n / s - 21.43 + 3.7e-7, 4) AS ari FROM c""")
 def readability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flesch ease, Flesch-Kincaid grade, fog and ARI.  A word's syllables are its runs of vowels, one at least."""
-    vowels = lambda x: F.regexp_count(x, F.lit("[aeiouy]+"))
-    total = lambda f: F.aggregate("w", F.lit(0), lambda a, x: a + f(x)).cast("double")
-    sentences = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "[.!?]+"), lambda s: F.trim(F.translate(s, "\n\r\t", "   ")) != "")
-    c = _words(spark, sf_dir).where("size(w) > 0").select("doc_id", F.size("w").cast("double").alias("n"), F.greatest(F.lit(1), F.size(sentences)).cast("double").alias("s"), total(lambda x: F.greatest(F.lit(1), vowels(x))).alias("syl"), F.size(F.filter("w", lambda x: vowels(x) >= 3)).cast("double").alias("hard"), total(F.length).alias("letters"))
+    # Words are counted in the whole plain text, where each stands behind a space; no word is looked at on its own.
+    p, spaced = F.col("p"), F.concat(F.lit(" "), F.col("p"))
+    count = lambda pattern: F.regexp_count(spaced, F.lit(pattern))
+    d = load(spark, sf_dir, "documents").select("doc_id", "text", T.plain(F.col("text")).alias("p")).where("p <> ''")
+    d = d.select("doc_id", "p", T.word_count(p).alias("words"), F.greatest(F.lit(1), T.sentence_count(F.coalesce("text", F.lit("")))).cast("double").alias("s"), count("[aeiouy]++").alias("runs"), count(" [^aeiouy ]++(?![^ ])").alias("without"), count(" [^aeiouy ]*+(?:[aeiouy]++[^aeiouy ]++){2}[aeiouy]").cast("double").alias("hard"))
+    c = d.select("doc_id", F.col("words").cast("double").alias("n"), "s", (F.col("runs") + F.col("without")).cast("double").alias("syl"), "hard", (F.length("p") - F.col("words") + 1).cast("double").alias("letters"))
     n, s, y, h, k = (F.col(x) for x in ("n", "s", "syl", "hard", "letters"))
     return c.select("doc_id", F.round(206.835 - 1.015 * n / s - 84.6 * y / n + 3.7e-7, 4).alias("flesch"), F.round(0.39 * n / s + 11.8 * y / n - 15.59 + 3.7e-7, 4).alias("grade"), F.round(0.4 * (n / s + 100 * h / n) + 3.7e-7, 4).alias("fog"), F.round(4.71 * k / n + 0.5 * n / s - 21.43 + 3.7e-7, 4).alias("ari"))
 
@@ -45,12 +47,12 @@ SELECT doc_id, CAST(greeks AS BIGINT) AS greeks, CAST(expiries AS BIGINT) AS exp
   round(((strikes > 0)::INT + (amounts > 0)::INT + (expiries > 0)::INT + (greeks > 0)::INT + (up + down > 0)::INT) / 5.0, 6) AS confidence FROM c""")
 def structured_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greeks, expiries, option types, the flow's direction (one side's phrases over 1.2 times the other's), and the share of five kinds found."""
-    t, p = T.lower(F.col("text")), F.col("p")
+    t, p = F.col("t"), F.col("p")
     greeks = F.size(F.filter(T.numbers(t, GREEKS), lambda x: x.between(0, 1)))
     found = lambda pattern: F.size(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)))
     hits = lambda terms: sum((p.contains(x).cast("int") for x in terms), F.lit(0))
     has = lambda *w: F.size(F.filter("w", lambda x: x.isin(*w)))
-    c = _words(spark, sf_dir).select("doc_id", greeks.cast("long").alias("greeks"), found(EXPIRY).cast("long").alias("expiries"), has("call", "calls").cast("long").alias("calls"), has("put", "puts").cast("long").alias("puts"), hits(UP).alias("up"), hits(DOWN).alias("down"), found(T.STRIKE).alias("strikes"), found(T.NOTIONAL).alias("amounts"))
+    c = _words(spark, sf_dir).withColumn("t", T.searchable(F.col("text"))).select("doc_id", greeks.cast("long").alias("greeks"), found(EXPIRY).cast("long").alias("expiries"), has("call", "calls").cast("long").alias("calls"), has("put", "puts").cast("long").alias("puts"), hits(UP).alias("up"), hits(DOWN).alias("down"), found(T.STRIKE).alias("strikes"), found(T.NOTIONAL).alias("amounts"))
     kinds = sum(((F.col(x) > 0).cast("int") for x in ("strikes", "amounts", "expiries", "greeks")), (F.col("up") + F.col("down") > 0).cast("int"))
     direction = F.when(F.col("up") > 1.2 * F.col("down"), "bullish").when(F.col("down") > 1.2 * F.col("up"), "bearish").otherwise("neutral")
     return c.select("doc_id", "greeks", "expiries", "calls", "puts", direction.alias("direction"), F.round(kinds / 5.0, 6).alias("confidence"))

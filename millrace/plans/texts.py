@@ -59,7 +59,8 @@ def lexicon_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CASE WHEN bullish > bearish AND bullish > neutral THEN 'bullish' WHEN bearish > bullish AND bearish > neutral THEN 'bearish' ELSE 'neutral' END AS sentiment,
   round(CASE WHEN bullish > bearish AND bullish > neutral THEN least(bullish / 10, 1.0) WHEN bearish > bullish AND bearish > neutral THEN least(bearish / 10, 1.0) ELSE least(neutral / 10, 0.5) END, 6) AS confidence FROM c""")
 def keyword_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _words(spark, sf_dir).select("doc_id", *[T.counted(F.col("p"), v).alias(k) for k, v in T.SENTIMENT.items()])
+    found = _words(spark, sf_dir).select("doc_id", "p", T.hits(F.col("p"), *T.SENTIMENT.values()).alias("h"))
+    c = found.select("doc_id", *[T.counted(F.col("p"), v, found=F.col("h")).alias(k) for k, v in T.SENTIMENT.items()])
     up, down, flat = F.col("bullish"), F.col("bearish"), F.col("neutral")
     is_up, is_down = (up > down) & (up > flat), (down > up) & (down > flat)
     confidence = F.when(is_up, F.least(up / 10, F.lit(1.0))).when(is_down, F.least(down / 10, F.lit(1.0))).otherwise(F.least(flat / 10, F.lit(0.5)))
@@ -76,10 +77,10 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS strikes, round(coalesce(list_avg(s), 0)
   CAST(len(m) AS BIGINT) AS notionals, round(coalesce(list_sum(m), 0), 2) AS total_notional FROM n""")
 def numeric_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strikes in (10, 1e6), percentages in [0, 1000] and dollar amounts."""
-    t = T.lower(F.col("text"))
+    t = F.col("t")
     strikes = F.filter(T.numbers(t, T.STRIKE), lambda x: (x > 10) & (x < 1_000_000))
     percents = F.filter(T.numbers(t, T.PERCENT), lambda x: x.between(0, 1000))
-    n = load(spark, sf_dir, "documents").select("doc_id", strikes.alias("s"), percents.alias("q"), T.notionals(t).alias("m"))
+    n = load(spark, sf_dir, "documents").select("doc_id", T.searchable(F.col("text")).alias("t")).select("doc_id", strikes.alias("s"), percents.alias("q"), T.notionals(t).alias("m"))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     most = lambda c: F.coalesce(F.array_max(c), F.lit(0.0))
     return n.select("doc_id", F.size("s").cast("long").alias("strikes"), F.round(F.coalesce(F.try_divide(total("s"), F.size("s")), F.lit(0.0)), 6).alias("mean_strike"), most("s").alias("max_strike"), F.size("q").cast("long").alias("percentages"), most("q").alias("max_percentage"), F.size("m").cast("long").alias("notionals"), F.round(total("m"), 2).alias("total_notional"))

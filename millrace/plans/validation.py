@@ -31,7 +31,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_set(c: str) -> Column:
-    return F.array_distinct(F.regexp_extract_all(T.lower(F.col(c)), F.lit("[a-z0-9_]+"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(T.searchable(F.col(c)), F.lit("[a-z0-9_]+"), F.lit(0)))
 
 
 @query(f"""WITH {PAGES}, s AS (SELECT *, len(list_intersect({_WORDS('title')}, {_WORDS('url')}))::DOUBLE / nullif(len({_WORDS('title')}), 0) AS share, regexp_extract(lower(url), '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)', 1) AS host FROM articles_)
@@ -89,11 +89,14 @@ _LIST = lambda terms: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN co
 SELECT doc_id, round(least(1.0, o / 5.0), 6) AS relevance, {_LIST(V.OPTION_TERMS)} AS terms, {_LIST(V.STRATEGY_TERMS)} AS strategies, u AS bullish, n AS bearish, round((u - n)::DOUBLE / greatest(u + n, 1), 6) AS ratio FROM c""")
 def term_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which option terms and strategies a text names, its relevance, and how bullish and bearish terms balance."""
-    t = T.lower(F.col("text"))
-    size = lambda terms: F.size(V.terms_in(t, terms))
-    up, down = size(V.UP_TERMS), size(V.DOWN_TERMS)
-    return load(spark, sf_dir, "documents").select(
-        "doc_id", F.round(F.least(F.lit(1.0), size(V.OPTION_TERMS) / 5.0), 6).alias("relevance"), F.array_join(V.terms_in(t, V.OPTION_TERMS), " ").alias("terms"), F.array_join(V.terms_in(t, V.STRATEGY_TERMS), " ").alias("strategies"),
+    t = F.col("t")
+    # Each text is lower-cased once, and each list looked for once.
+    lists = {"o": V.OPTION_TERMS, "s": V.STRATEGY_TERMS, "u": V.UP_TERMS, "n": V.DOWN_TERMS}
+    c = load(spark, sf_dir, "documents").select("doc_id", T.searchable(F.col("text")).alias("t")).select("doc_id", *[V.terms_in(t, v).alias(k) for k, v in lists.items()])
+    c = c.select("doc_id", F.size("o").alias("o"), F.array_join("o", " ").alias("terms"), F.array_join("s", " ").alias("strategies"), F.size("u").alias("u"), F.size("n").alias("n"))
+    up, down = F.col("u"), F.col("n")
+    return c.select(
+        "doc_id", F.round(F.least(F.lit(1.0), F.col("o") / 5.0), 6).alias("relevance"), "terms", "strategies",
         up.alias("bullish"), down.alias("bearish"), F.round((up - down) / F.greatest(up + down, F.lit(1)), 6).alias("ratio"))
 
 
@@ -120,9 +123,9 @@ def model_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, one AS btc_mentions, two AS eth_mentions, round(coalesce(every::DOUBLE / nullif(words, 0), 0), 6) AS density, round(one::DOUBLE / greatest(two, 1), 6) AS asset_ratio FROM m""")
 def asset_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each asset is named, and the share of asset words."""
-    t = T.lower(F.col("text"))
+    t = F.col("t")
     n = lambda p: F.regexp_count(t, F.lit(p)).cast("long")
-    c = load(spark, sf_dir, "documents").select("doc_id", n(ONE).alias("btc_mentions"), n(TWO).alias("eth_mentions"), n(EVERY).alias("every"), n("[a-z0-9_]+").alias("words"))
+    c = load(spark, sf_dir, "documents").select("doc_id", T.searchable(F.col("text")).alias("t")).select("doc_id", n(ONE).alias("btc_mentions"), n(TWO).alias("eth_mentions"), n(EVERY).alias("every"), n("[a-z0-9_]+").alias("words"))
     return c.select("doc_id", "btc_mentions", "eth_mentions", F.round(F.coalesce(F.try_divide("every", "words"), F.lit(0.0)), 6).alias("density"), F.round(F.col("btc_mentions") / F.greatest("eth_mentions", F.lit(1)), 6).alias("asset_ratio"))
 
 

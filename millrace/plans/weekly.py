@@ -37,13 +37,12 @@ def is_weekly(url: Column, category: Column) -> Column:
     return (F.coalesce(url, F.lit("")) != "") & hit
 
 
-def sentiment(p: Column) -> dict[str, Column]:
-    """Probabilities of a plain text from the lexicons' counts, one added to each; the scalar is positive less negative.
+def sentiment(n: dict[str, Column], empty: Column) -> dict[str, Column]:
+    """Probabilities of a plain text from the lexicons' counts n, one added to each; the scalar is positive less negative.
 
     The likeliest counts, of equal ones the first; an empty text is neutral without confidence.
     """
-    n = {k: T.counted(p, T.SENTIMENT[v], 1) + 1.0 for k, v in SIDES.items()}
-    total, empty = n["positive"] + n["neutral"] + n["negative"], p == ""
+    total = n["positive"] + n["neutral"] + n["negative"]
     prob = {k: F.when(empty, EMPTY[k]).otherwise(v / total) for k, v in n.items()}
     most = F.greatest(*n.values())
     primary = F.when(empty, "neutral").when(n["positive"] == most, "positive").when(n["neutral"] == most, "neutral").otherwise("negative")
@@ -59,9 +58,12 @@ felt AS (SELECT {keys}, {', '.join(f"round(CASE WHEN p = '' THEN {EMPTY[k]} ELSE
 
 
 def felt(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    s = sentiment(F.col("_p"))
+    p = F.col("_p")
+    s = sentiment({k: F.col(f"_{k}") for k in SIDES}, F.col("_empty"))
     named = F.create_map(*[F.lit(x) for kv in DIRECTION.items() for x in kv])
-    return df.select(*keys, T.plain(text).alias("_p")).select(
+    # The counts are columns of their own, so that each is worked out once.
+    found = df.select(*keys, T.plain(text).alias("_p")).withColumn("_h", T.hits(p, *T.SENTIMENT.values()))
+    return found.select(*keys, (p == "").alias("_empty"), *[(T.counted(p, T.SENTIMENT[v], 1, F.col("_h")) + 1.0).alias(f"_{k}") for k, v in SIDES.items()]).select(
         *keys, *[F.round(s[k], 6).alias(f"p_{k}") for k in SIDES], F.try_element_at(named, s["primary"]).alias("sentiment"), F.round(s["confidence"], 6).alias("confidence"), F.round(s["scalar"], 6).alias("scalar"))
 
 
