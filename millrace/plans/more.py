@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions.rolling import days, full, indicators, last
 from millrace.plans.registry import query
 from millrace.plans.texts import LOWERED, WORDS, _in, _words
+from millrace.sources.scratch import kept
 from millrace.tables import DAILY, daily, load
 
 SENTENCES = "greatest(1, len(list_filter(string_split_regex(coalesce(text, ''), '[.!?]+'), lambda s: trim(translate(s, chr(10) || chr(13) || chr(9), '   ')) <> '')))"
@@ -74,21 +77,53 @@ def _dates(t, pattern: str, form: str, sure: float):
     return F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), lambda x: F.struct(F.to_date(F.try_to_timestamp(x, F.lit(form))).alias("d"), F.lit(sure).alias("c")))
 
 
+def vocabulary(docs: DataFrame, one: str, size: int = 1000, least: int = 2, share: float = 0.95) -> list[tuple[str, int]]:
+    """The `size` most frequent terms of at least `least` rows and at most `share` of them, with how many rows have each; equally frequent ones by name.
+
+    Terms are the words of the array `one` and pairs of neighbours.  No pair is more frequent than either of its words, so once single words
+    have filled the vocabulary, only pairs of words that are as frequent as its last one are counted: all that can be in it, and no others.
+    """
+    rows = docs.count()
+
+    def most(terms: Column) -> DataFrame:
+        """(term, n, df): occurrences and rows."""
+        each = docs.select(terms.alias("t")).select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+        have = docs.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= least) & (F.col("df") <= share * rows))
+        return each.join(have, "term")
+
+    first = lambda df: df.orderBy(F.desc("n"), "term").limit(size)
+    words = [tuple(r) for r in first(most(F.col(one))).collect()]
+    floor = words[-1][1] if len(words) == size else 1
+    x = F.col(one)
+    if floor > 1:
+        often = docs.select(F.explode(one).alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= floor)
+        keep = [r.term for r in often.collect()]  # the vocabulary's words, and those in too many or too few rows
+        x = F.transform(one, lambda w: F.when(w.isin(keep), w))
+    both = [tuple(r) for r in first(most(F.filter(pairs(x), lambda w: w.isNotNull()))).collect()]
+    return [(t, df) for t, _, df in sorted(words + both, key=lambda r: (-r[1], r[0]))[:size]]
+
+
+def pairs(one: Column) -> Column:
+    """Each two neighbours of an array with a space between; null where either is."""
+    return F.when(F.size(one) < 2, F.array().cast("array<string>")).otherwise(F.zip_with(F.slice(one, 1, F.size(one) - 1), F.slice(one, 2, F.size(one) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
 @query()
 def tfidf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's five heaviest one- and two-word terms, of the 1,000 most frequent in at least two and at most 95 % of documents."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, CountVectorizer, NGram, StopWordsRemover
+    from pyspark.ml.feature import CountVectorizerModel, StopWordsRemover
     from pyspark.ml.functions import vector_to_array
 
-    d = _words(spark, sf_dir).select("doc_id", "w")
-    steps = [StopWordsRemover(inputCol="w", outputCol="one"), NGram(n=2, inputCol="one", outputCol="two")]
-    grams = Pipeline(stages=steps).fit(d).transform(d).select("doc_id", F.concat("one", "two").alias("terms"))
-    counts = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=1000, minDF=2, maxDF=0.95).fit(grams)
-    weighed = counts.transform(grams)
-    x = IDF(inputCol="tf", outputCol="x").fit(weighed).transform(weighed).withColumn("weights", vector_to_array("x"))
-    names = F.split(F.lit("\n".join(counts.vocabulary)), "\n")
-    top = F.slice(F.sort_array(F.filter(F.zip_with("weights", names, lambda a, b: F.struct(a.alias("weight"), b.alias("term"))), lambda z: z["weight"] > 0), asc=False), 1, 5)
+    stop = [w for w in StopWordsRemover.loadDefaultStopWords("english") if w.isalpha()]  # others hold signs that no word here has
+    d = kept(_words(spark, sf_dir).select("doc_id", F.filter("w", lambda w: ~w.isin(stop)).alias("one")), "words")
+    terms = vocabulary(d, "one")
+    if not terms:
+        return spark.createDataFrame([], f"doc_id {d.schema['doc_id'].dataType.simpleString()}, term string, weight double")
+    names, rows = [t for t, _ in terms], d.count()
+    idf = [math.log((rows + 1) / (df + 1)) for _, df in terms]
+    x = CountVectorizerModel.from_vocabulary(names, "terms", "tf").transform(d.select("doc_id", F.concat("one", pairs(F.col("one"))).alias("terms")))
+    weights = F.zip_with(vector_to_array("tf"), F.lit(idf), lambda a, b: a * b)
+    top = F.slice(F.sort_array(F.filter(F.zip_with(weights, F.lit(names), lambda a, b: F.struct(a.alias("weight"), b.alias("term"))), lambda z: z["weight"] > 0), asc=False), 1, 5)
     return x.select("doc_id", F.explode(top).alias("z")).select("doc_id", F.col("z.term").alias("term"), F.round("z.weight", 6).alias("weight"))
 
 

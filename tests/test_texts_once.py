@@ -48,3 +48,20 @@ def test_texts_are_scanned_once(spark, tmp_path):
     context, felt = plan(term_context), plan(article_sentiment)
     assert "translate(" not in context and context.count("lower(") == 1
     assert "translate(" not in felt and felt.count("regexp_extract_all(") == 1 and felt.count("gamma squeeze") == 1
+
+
+def test_vocabulary_is_the_most_frequent_terms(spark):
+    """Against plain counting, ties by name, with more words than fit (pairs are then looked for among frequent words only) and with fewer."""
+    import random
+    from collections import Counter
+
+    from millrace.plans.more import vocabulary
+
+    rng = random.Random(4)
+    docs = [[f"w{min(int(rng.expovariate(0.25)), 30)}" for _ in range(rng.choice([0, 1, 2, 40]))] + ["all", "b"] for _ in range(60)] + [["once"] * 500]
+    df = spark.createDataFrame([(d,) for d in docs], "one array<string>").repartition(4)
+    bags = [Counter(d + [" ".join(x) for x in zip(d, d[1:])]) for d in docs]
+    total, have = sum(bags, Counter()), Counter(t for b in bags for t in b)
+    for size in (8, 25, 1000):
+        usable = sorted((t for t in total if 2 <= have[t] <= 0.95 * len(docs)), key=lambda t: (-total[t], t))[:size]
+        assert vocabulary(df, "one", size) == [(t, have[t]) for t in usable]
