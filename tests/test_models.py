@@ -65,3 +65,21 @@ def test_training_runs(spark, tmp_path):
     assert rows["model_training"].rows + rows["ensemble_validation"].rows == rows["label_generation"].rows
     spark.read.parquet("/root/testdata/sf0.001/orders.parquet").limit(0).write.parquet(f"{tmp_path}/orders.parquet")
     assert [r.status for r in training_run(spark, str(tmp_path)).collect()] == ["failed", "skipped", "skipped", "skipped"]
+
+
+def test_preparation_is_fitted_once(spark, tmp_path, monkeypatch):
+    """For all models together; each stored pipeline is what its own fit would have been."""
+    import datetime as dt
+
+    from millrace.operators import models as M
+
+    rows = [(i / 40, (i * 7 % 10) / 10, dt.date(2024, 1 + i % 12, 1 + i % 28), "abc"[i % 3], "xy"[i % 2], "pq"[i % 2], float(i * 13 % 5 > 2), i * 13 % 5 / 5) for i in range(40)]
+    train = spark.createDataFrame(rows, "signal double, confidence double, date date, bias string, theme string, asset string, label double, ret double").coalesce(1)
+    kinds = {k: m for k, m in M.models(trees=3).items() if k in ("logistic", "forest", "forest_return")}
+    fits, real = [], M.Imputer._fit
+    monkeypatch.setattr(M.Imputer, "_fit", lambda self, df: fits.append(1) or real(self, df))
+    M.fit_and_store(train, str(tmp_path), kinds)
+    assert len(fits) == 1
+    for name, model in M.load(str(tmp_path), list(kinds)).items():
+        own = M.pipeline(kinds[name]).fit(train).transform(train).select("prediction").collect()
+        assert model.transform(train).select("prediction").collect() == own
