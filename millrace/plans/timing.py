@@ -20,15 +20,12 @@ def price_at(points: DataFrame, prices: DataFrame, row: list[str], tolerance_us:
 
     A day that has prices decides alone: a nearer one of the day before doesn't count then.
     """
-    day = F.floor(micros(F.col("at")) / DAY_US)
-    hit = F.struct(micros(F.col("ts")).alias("t"), F.col("price").alias("p"))
-    right = prices.withColumns({"hit": hit, "key": F.concat_ws("@", "asset", F.floor(micros(F.col("ts")) / DAY_US).cast("string"))})
-    left = points.withColumn("key", F.concat_ws("@", "asset", day.cast("string")))
-    own = nearest(left, right, "key", "at", "ts", "hit", [*row, "asset", "at"], F.lit(DAY_US), DAY_US, "event_id").withColumnRenamed("hit", "own")
-    other = nearest(points, right, "asset", "at", "ts", "hit", [*row, "asset", "at"], F.lit(tolerance_us), 4 * HOUR, "event_id")
-    near = F.when(F.abs(F.col("own.t") - micros(F.col("at"))) <= tolerance_us, F.col("own.p"))
-    both = own.join(other, [*row, "asset", "at"])
-    return both.select(*row, "asset", "at", F.when(F.col("own").isNull(), F.col("hit.p")).otherwise(near).alias("price"))
+    day = lambda ts: F.floor(micros(F.col(ts)) / DAY_US)
+    days = prices.select(F.col("asset").alias("_asset"), day("ts").alias("_day")).where("_day IS NOT NULL").distinct()
+    left = points.join(days, (F.col("asset") == F.col("_asset")) & (day("at") == F.col("_day")), "left")
+    # Where the day has prices, neighbours of other days don't count; null ends are no ends.
+    within = (F.col("_day") * DAY_US, (F.col("_day") + 1) * DAY_US - 1)
+    return nearest(left, prices, "asset", "at", "ts", "price", [*row, "asset", "at"], F.lit(tolerance_us), 4 * HOUR, "event_id", within)
 
 
 _ORDER = "(abs(epoch_us(p.ts) - epoch_us(q.at)), p.ts, p.event_id)"
@@ -42,7 +39,7 @@ def timed_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every sign-up the purchase price at its time."""
     t = ticks(spark, sf_dir)
     points = t.where("asset = 'signup'").select(F.col("event_id").alias("id"), F.lit("purchase").alias("asset"), F.col("ts").cast("timestamp").alias("at"))
-    return price_at(points, t, ["id"]).select("id", "price")
+    return price_at(points, t.where("asset = 'purchase'"), ["id"]).select("id", "price")
 
 
 @query(f"""WITH {TICKS}, now_ AS (SELECT max(ts) AS now_at FROM ticks), points AS (SELECT event_id AS id, h AS k, 'view' AS asset, least(ts + INTERVAL 1 DAY * (event_id % 5), now_at) + INTERVAL 1 HOUR * h AS at FROM events, now_, (SELECT unnest([0, 24, 72, 168]) AS h) WHERE event_type = 'signup'), {_PRICE},
@@ -54,7 +51,7 @@ def realized_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.broadcast(t.agg(F.max("ts").cast("timestamp").alias("now")))
     shifted = F.timestamp_micros(micros(F.col("ts")) + (F.col("event_id") % 5) * DAY_US)
     e = t.where("asset = 'signup'").crossJoin(now).select(F.col("event_id").alias("id"), F.lit("view").alias("asset"), F.least(shifted, F.col("now")).alias("pub"), F.explode(F.array(*[F.lit(h) for h in (0, *HORIZONS)])).alias("k"))
-    priced = price_at(e.withColumn("at", F.timestamp_micros(micros(F.col("pub")) + F.col("k") * HOUR)), t, ["id", "k"])
+    priced = price_at(e.withColumn("at", F.timestamp_micros(micros(F.col("pub")) + F.col("k") * HOUR)), t.where("asset = 'view'"), ["id", "k"])
     wide = priced.groupBy("id").agg(*[F.max(F.when(F.col("k") == h, F.col("price"))).alias(f"p{h}") for h in (0, *HORIZONS)])
     return wide.select("id", *[F.round(F.when((F.col("p0") > 0) & (F.col(f"p{h}") > 0), F.log(F.col(f"p{h}") / F.col("p0"))), 6).alias(f"ret_{h}h") for h in HORIZONS])
 
