@@ -79,6 +79,10 @@ class BucketedTable:
         parts = [f"{self.path}/{p}" for b, p in state["parts"].items() if buckets is None or int(b) in buckets]
         return self.spark.read.schema(kind).parquet(*parts) if parts else self.spark.createDataFrame([], kind)
 
+    def has(self, batch: str | None) -> bool:
+        """Whether the newest version has taken in a batch of this name."""
+        return batch is not None and batch in self.state()["batches"]
+
     def _rewrite(self, state: dict, incoming: DataFrame, make: Callable[[DataFrame, DataFrame], DataFrame], batch: str | None) -> bool:
         """Replace the buckets that incoming's keys fall into by make(their rows, incoming)."""
         if batch is not None and batch in state["batches"]:
@@ -103,11 +107,19 @@ class BucketedTable:
     def merge(self, incoming: DataFrame, order: list[str], batch: str | None = None) -> bool:
         """Upsert: of the rows of a key the one with the largest `order` stays, incoming's on a tie.  False if the batch is in already.
 
-        incoming is read twice; columns that it lacks become null.
+        incoming is worked out once and lies beside the table meanwhile; columns that it lacks become null.
         """
         state = self.state()
+        if batch is not None and batch in state["batches"]:
+            return False
+        aside = f"{self.path}/incoming/{uuid.uuid4().hex}"
+        incoming.write.parquet(aside)
+        incoming = self.spark.read.schema(incoming.schema).parquet(aside)
         made = lambda old, new: latest(old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True), state["keys"], [*order, "_new"])
-        return self._rewrite(state, incoming, made, batch)
+        try:
+            return self._rewrite(state, incoming, made, batch)
+        finally:
+            self._files.delete(self._fs.Path(aside), True)
 
     def replace(self, parents: DataFrame, children: DataFrame, batch: str | None = None) -> bool:
         """Delete all rows of the parents' keys, then insert their children; a parent may have none.
