@@ -37,17 +37,18 @@ def evolve(judge: Judge, bounds: list[np.ndarray], start: np.ndarray, seed: int
     low, high = (np.stack([b[:, i] for b in bounds])[:, None, :] for i in (0, 1))
     targets, d = len(bounds), low.shape[2]
 
-    def judged(points: np.ndarray) -> np.ndarray:
-        """Scores (targets, k) of each target's own points."""
-        k = points.shape[1]
-        scores = judge(points.reshape(-1, d)).reshape(targets, k, targets)
-        own = scores[np.arange(targets), :, np.arange(targets)]
+    def judged(points: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Scores (targets, k) of each live target's own points; targets that have ended cost nothing."""
+        k, on = points.shape[1], np.flatnonzero(live)
+        scores = judge(points[on].reshape(-1, d)).reshape(len(on), k, targets)
+        own = np.full((targets, k), -np.inf)
+        own[on] = scores[np.arange(len(on)), :, on]
         return np.where(np.isfinite(own), own, -np.inf)
 
     cells = np.stack([np.stack([rng.permutation(size) for _ in range(d)], axis=1) for _ in range(targets)])
     points = low + (cells + rng.random((targets, size, d))) / size * (high - low)
     points[:, 0] = np.clip(start, low[:, 0], high[:, 0])
-    scores = judged(points)
+    scores = judged(points, np.full(targets, True))
     ended = np.full(targets, -1)
     for g in range(1, generations + 1):
         best = points[np.arange(targets), scores.argmax(axis=1)][:, None, :]
@@ -60,7 +61,7 @@ def evolve(judge: Judge, bounds: list[np.ndarray], start: np.ndarray, seed: int
         cross = rng.random(mutant.shape) < 0.7
         cross[..., :] |= rng.integers(0, d, (targets, size))[..., None] == np.arange(d)
         trial = np.where(cross, mutant, points)
-        new = judged(trial)
+        new = judged(trial, ended < 0)
         better = (new >= scores) & (ended < 0)[:, None]
         points, scores = np.where(better[..., None], trial, points), np.where(better, new, scores)
         spread = scores.max(axis=1) - scores.min(axis=1)
@@ -74,7 +75,7 @@ def evolve(judge: Judge, bounds: list[np.ndarray], start: np.ndarray, seed: int
     ways = np.concatenate([np.eye(d), -np.eye(d)])
     while (step >= least_step).any():
         near = np.clip(best[:, None, :] + step[:, None, None] * ways * (high - low), low, high)
-        new = judged(near)
+        new = judged(near, step >= least_step)
         at, top = new.argmax(axis=1), new.max(axis=1)
         moved = (top > score) & (step >= least_step)
         best, score = np.where(moved[:, None], near[np.arange(targets), at], best), np.where(moved, top, score)
@@ -84,6 +85,8 @@ def evolve(judge: Judge, bounds: list[np.ndarray], start: np.ndarray, seed: int
 
 #: Names of the sums that moments() gives for each point.
 SUMS = ("n", "pnl", "pnl2", "hits", "s", "s2", "s_ret", "ret", "ret2", "strong", "strong_hits")
+#: Rows times points that are multiplied at once: they stay in a core's cache, and too few for numpy to start threads beside the task's own.
+CELLS = 40_000
 
 
 def moments(df: DataFrame, components: list[str], points: np.ndarray, strong: float = 0.1) -> dict[str, np.ndarray]:
@@ -93,20 +96,41 @@ def moments(df: DataFrame, components: list[str], points: np.ndarray, strong: fl
     |s| >= strong counts as strong.  Null components count as 0, rows without ret or confidence don't count.  Each task
     multiplies its rows with all points, batch by batch, and sends one row for each point.
     """
-    weights = points[:, :-1] / points[:, :-1].sum(axis=1, keepdims=True)
-    least = points[:, -1]
+    weights, of = np.unique(points[:, :-1] / points[:, :-1].sum(axis=1, keepdims=True), axis=0, return_inverse=True)
+    of, least = of.reshape(-1), points[:, -1]
+    # Points that differ in their last coordinate alone share a row's score; the others are multiplied in groups of one last coordinate.
+    shared, single = (np.flatnonzero(f(np.bincount(of)[of])) for f in (lambda n: n > 1, lambda n: n == 1))
+    many = [(w, shared[of[shared] == w]) for w in np.unique(of[shared])]
+    groups = [(c, single[least[single] == c]) for c in np.unique(least[single])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(SUMS), len(least)))
         for batch in batches:
             x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)])
-            for a in range(0, x.shape[1], 4_096):
-                *parts, confidence, ret = x[:, a : a + 4_096]
-                use = confidence[:, None] >= least
-                s = np.where(use, np.stack(parts, axis=1) @ weights.T, 0)
-                pnl, r = np.sign(s) * ret[:, None], np.where(use, ret[:, None], 0)
-                hard = use & (np.abs(s) >= strong)
-                total += np.stack([use.sum(0), pnl.sum(0), (pnl**2).sum(0), (pnl > 0).sum(0), s.sum(0), (s**2).sum(0), (s * r).sum(0), r.sum(0), (r**2).sum(0), hard.sum(0), (hard & (pnl > 0)).sum(0)])
+            parts, confidence, ret = x[:-2], x[-2], x[-1]
+            for w, at in many:
+                # A row counts for the points whose last coordinate it reaches: sums by its place among them, added up from the largest.
+                at = at[np.argsort(least[at])]
+                place = np.searchsorted(least[at], confidence, side="right")
+                s = sum(p * y for p, y in zip(parts, weights[w], strict=True))
+                pnl, hard = np.sign(s) * ret, np.abs(s) >= strong
+                for i, v in enumerate((None, pnl, pnl**2, pnl > 0, s, s**2, s * ret, ret, ret**2, hard, hard & (pnl > 0))):
+                    total[i, at] += np.bincount(place, v, len(at) + 1)[:0:-1].cumsum()[::-1]
+            for c, at in groups:
+                use = confidence >= c
+                mine, r = parts[:, use], ret[use]
+                values = np.stack([np.ones(len(r)), r, r**2, r > 0, r < 0])
+                total[np.ix_([SUMS.index(n) for n in ("n", "ret", "ret2")], at)] += values[:3].sum(axis=1)[:, None]
+                step = max(1, CELLS // len(at))
+                for a in range(0, len(r), step):
+                    v = values[:, a : a + step]
+                    s = sum(p[a : a + step, None] * y for p, y in zip(mine, weights[of[at]].T, strict=True))
+                    # Sums of the values over the rows that a score takes up, down, and as far as strong.
+                    up, down, far_up, far_down = (v @ m.astype(float) for m in (s > 0, s < 0, (s >= strong) & (s > 0), (s <= -strong) & (s < 0)))
+                    level = (s == 0).sum(axis=0) if strong <= 0 else 0
+                    found = {"pnl": up[1] - down[1], "pnl2": up[2] + down[2], "hits": up[3] + down[4], "s": s.sum(axis=0), "s2": (s * s).sum(axis=0), "s_ret": v[1] @ s, "strong": far_up[0] + far_down[0] + level, "strong_hits": far_up[3] + far_down[4]}
+                    for n, y in found.items():
+                        total[SUMS.index(n), at] += y
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(least))), *map(pa.array, total)], names=["point", *SUMS])
 
     rows = df.where("ret IS NOT NULL AND confidence IS NOT NULL").select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(components)], F.col("confidence").cast("double"), F.col("ret").cast("double"))

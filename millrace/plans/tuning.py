@@ -73,7 +73,8 @@ def optimization_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Seven seeded searches in step: each generation of all of them is one pass over the articles.
     """
-    f = kept(scored_facts(spark, sf_dir), "scored-facts")
+    # As many files as tasks can run: every generation reads them all.
+    f = kept(scored_facts(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism), "scored-facts")
     span = f.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
     cut = span.a + (span.b - span.a) * 0.8 if span.a else None
     rows = tuned(f.where(F.col("date") <= F.lit(cut)), f.where(F.col("date") > F.lit(cut)))
