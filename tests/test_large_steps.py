@@ -80,7 +80,7 @@ def test_merge_works_a_batch_out_once(spark, tmp_path):
         return x
 
     table = BucketedTable.create(spark, f"file://{tmp_path}/t", "k long, v long", ["k"], 4)
-    rows = spark.range(20).select(F.col("id").alias("k"), F.udf(tell, "long")("id").alias("v"))
+    rows = spark.range(20).select(F.udf(tell, "long")("id").alias("k"), F.col("id").alias("v"))  # the buckets need the function too
     assert table.merge(rows, ["v"], "one") and seen.value == 20
     assert not table.merge(rows, ["v"], "one") and seen.value == 20 and table.has("one") and not table.has("two") and not table.has(None)
     assert sorted(map(tuple, table.read().collect())) == [(i, i) for i in range(20)]
