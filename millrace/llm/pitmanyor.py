@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import written
 from millrace.llm.textkit import per_slice, signed
 
-CLASSES = 512  # M + 1; the last is "rare"
 DISCOUNT, STRENGTH = 0.75, 1.0
 BURN, KEEP = 4, 6
 #: Text bytes whose words are looked up together, about.
@@ -194,7 +193,7 @@ def class_of(h: np.ndarray, top: np.ndarray, order: np.ndarray, rest: int) -> np
     return np.where(top[at] == h, order[at], rest)
 
 
-def _before(k: np.ndarray, at: np.ndarray, end: int) -> np.ndarray:
+def before(k: np.ndarray, at: np.ndarray, end: int) -> np.ndarray:
     """The class before each token; before a text's first stands the end."""
     out = np.empty_like(k)
     out[1:] = k[:-1]
@@ -202,18 +201,8 @@ def _before(k: np.ndarray, at: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, folds: int = 7, left_out: int = 2, classes: int = CLASSES) -> DataFrame:
-    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
-
-    Rows whose crc32(doc_id as text) mod folds is left_out, and rows without id, aren't learned from; only the former are
-    held_out.  score: log10 of the model's probability of the text; base_score: of add-one unigrams.  A null text
-    counts as empty: one end.  Repeated rows are learned from and scored each; extra columns are ignored; an empty table gives
-    no rows.  Words are told apart by 64-bit hashes.
-    """
-    spark = docs.sparkSession
-    fold = F.crc32(F.col("doc_id").cast("string")) % folds
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("fold", fold)
-    train = source.where(F.col("fold") != left_out).select("text")
+def vocabulary_of(train: DataFrame) -> DataFrame:
+    """(h, c): every distinct token of the texts in the one column, and its count."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -234,7 +223,29 @@ def score(docs: DataFrame, folds: int = 7, left_out: int = 2, classes: int = CLA
                     held, size = [], 0
         yield flush()
 
-    vocabulary = written(train.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "vocabulary")
+    return written(train.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "vocabulary")
+
+
+def score(docs: DataFrame, folds: int = 7, left_out: int = 2, classes: int | None = None) -> DataFrame:
+    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    Rows whose crc32(doc_id as text) mod folds is left_out, and rows without id, aren't learned from; only the former are
+    held_out.  score: log10 of the model's probability of the text; base_score: of add-one unigrams.  A null text
+    counts as empty: one end.  Repeated rows are learned from and scored each; extra columns are ignored; an empty table gives
+    no rows.  Words are told apart by 64-bit hashes.  Every previous word has a restaurant (`contexts`); given `classes`, only
+    that many classes of tokens have, rare words share one, and the table of pairs is bounded by their square.
+    """
+    spark = docs.sparkSession
+    fold = F.crc32(F.col("doc_id").cast("string")) % folds
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("fold", fold)
+    held_out = F.coalesce(F.col("fold") == left_out, F.lit(False)).alias("held_out")
+    if classes is None:
+        from millrace.llm import contexts
+
+        return contexts.score(source, left_out).select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    train = source.where(F.col("fold") != left_out).select("text")
+
+    vocabulary = vocabulary_of(train)
     whole = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_tokens, n_words = whole["n"], whole["v"]
     most = vocabulary.orderBy(F.desc("c"), "h").limit(classes - 1).collect()
@@ -249,7 +260,7 @@ def score(docs: DataFrame, folds: int = 7, left_out: int = 2, classes: int = CLA
         for batch in batches:
             for _, _, h, at in tokens(batch.column(0)):
                 k = class_of(h, *lookup)
-                total += np.bincount(_before(k, at, end) * classes + k, minlength=len(total))
+                total += np.bincount(before(k, at, end) * classes + k, minlength=len(total))
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
 
@@ -300,7 +311,7 @@ def score(docs: DataFrame, folds: int = 7, left_out: int = 2, classes: int = CLA
             for first, last, h, at in tokens(batch.column(1)):
                 k = class_of(h, *lookup)
                 is_top = k < classes - 1
-                steps = matrix[_before(k, at, end), k]
+                steps = matrix[before(k, at, end), k]
                 logs = np.zeros(len(h))
                 logs[is_top] = np.log10(top_count[k[is_top]] + 1)
                 of = np.repeat(np.arange(last - first), np.diff(at))
@@ -340,5 +351,4 @@ def score(docs: DataFrame, folds: int = 7, left_out: int = 2, classes: int = CLA
         )
 
     done = answers.groupBy("g").cogroup(waiting.groupBy("group")).applyInArrow(finish, "doc_id long, fold int, n_tokens long, n_known long, base_score double, score double")
-    held_out = F.coalesce(F.col("fold") == left_out, F.lit(False)).alias("held_out")
     return done.select("doc_id", held_out, "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
