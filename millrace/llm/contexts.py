@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.pitmanyor import BURN, DISCOUNT, GROUP_BYTES, KEEP, STRENGTH, before, class_of, seat, tokens, vocabulary_of
+from millrace.llm.pitmanyor import BURN, DISCOUNT, KEEP, STRENGTH, before, class_of, seat, tokens, vocabulary_of
 from millrace.llm.shared import dropped, written
 from millrace.llm.textkit import mix
 from millrace.sources.scratch import fresh
@@ -28,6 +28,8 @@ from millrace.sources.scratch import fresh
 FREQUENT, SPREAD = 50_000, 511
 #: Tokens of a bucket and bytes of text that a token takes, about, and buckets of pairs to one of words: they write to each other in every sweep.
 BUCKET, TOKEN_BYTES, WRITERS = 2_000_000, 6, 8
+#: Bytes of token hashes that are dealt together, about: a task holds some twenty arrays of that size.
+GROUP_BYTES = 6 << 20
 SALT = np.uint64(0x5851F42D4C957F2D)
 
 #: What a row holds: a bucket's pairs and where they stand, its pairs seen twice, lists of words or answers to them, tables, a sum, documents.
@@ -135,6 +137,7 @@ def score(source: DataFrame, left_out: int, burn: int = BURN, keep: int = KEEP,
         def flush() -> pa.RecordBatch:
             ids, folds = (pa.concat_arrays([x[i] for x in held]) for i in (0, 1))
             h, n = (np.concatenate([x[i] for x in held]) for i in (2, 3))
+            held.clear()
             at = np.concatenate([[0], np.cumsum(n)])
             code = class_of(h, top[order], order, known).astype(np.int64)
             sums = [np.add.reduceat(x, at[:-1]) for x in ((code < known).astype(np.int64), logs[code])]
@@ -145,11 +148,14 @@ def score(source: DataFrame, left_out: int, burn: int = BURN, keep: int = KEEP,
             rare = code == known
             others, where = np.unique(h[rare], return_inverse=True)
             code[rare] = known + where
+            del h, rare
             width = known + len(others)
             pair, where = np.unique(before(code, at, int(code[at[1] - 1])) * width + code, return_inverse=True)
+            del code
             entry, times = np.unique(np.repeat(np.arange(len(n)), n) * len(pair) + where, return_counts=True)
             doc, entry = np.divmod(entry, len(pair))
             u, w = np.divmod(pair, width)
+            del where, pair
             key = mix(hashes(u, others))
             both = u < spread
             key[both] = mix(key[both] ^ mix(hashes(w[both], others) + SALT))
